@@ -1,10 +1,15 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes each one's result and reads it again as the next one's documents. All
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import packing, quality
+from tesserae.llm import mixing, ngram_join, packing, quality, secret_scan
 from tesserae.llm._common import shared_dir
 
 
@@ -13,23 +18,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in sequences of 1024 token ids."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id."""
+    return ngram_join.representatives(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with every reported secret replaced by its kind."""
+    return secret_scan.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of its shards."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as pieces of sequences of 1024 token ids."""
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("secrets", secrets), ("source mix", source_mix), ("packing", packed)]
+
+#: Tokenizing and the seeded draws of the mix have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = shared_dir(spark, f"pipeline-{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        if k < len(STAGES) - 1:
+            path = shared_dir(spark, f"stage-{k}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return out

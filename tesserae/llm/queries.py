@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, idfile, packing, quality, tokencount
+from tesserae.llm import chat, idfile, mixing, ngram_join, packing, quality, secret_scan, tokencount, warc
 from tesserae.llm._common import table
 
 
@@ -24,6 +24,26 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read_ids(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    rows = plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents")).drop("reported", "text_hash")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), with_data=False).where("last")
+    digest = F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(F.col("header_digest"))
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,7 +64,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_ids, op9_packing, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_ids, op4_source_mix, op6_ngram_jaccard, op7_secret_scan, op8_warc, op9_packing, op10_chat_formatting)}
 
 #: Quality rules in SQL: the measures by word lists and 8-word windows, the verdict as one condition.
 OP1_SQL = r"""
@@ -94,4 +114,36 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op10_chat_formatting": OP10_SQL}
+#: Shingle sets, all pairs by shared shingles, and the smallest reachable id by a recursive walk.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS sh
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+"""
+
+#: Payloads and their digests; of equal ones of 1000 bytes or more the largest page is the response.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM d JOIN m USING (page_id, payload_bytes, payload_digest)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_warc": OP8_SQL, "op10_chat_formatting": OP10_SQL}
