@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, idfile, mixing, ngram_join, packing, quality, secret_scan, tokencount, warc
+from tesserae.llm import chat, idfile, lattice, mixing, ngram_join, packing, quality, secret_scan, tokencount, warc
 from tesserae.llm._common import table
 
 
@@ -30,6 +30,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_ids, op4_source_mix, op6_ngram_jaccard, op7_secret_scan, op8_warc, op9_packing, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_ids, op4_source_mix, op5_embedding_dedup, op6_ngram_jaccard, op7_secret_scan, op8_warc, op9_packing, op10_chat_formatting)}
 
 #: Quality rules in SQL: the measures by word lists and 8-word windows, the verdict as one condition.
 OP1_SQL = r"""
