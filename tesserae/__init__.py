@@ -1,0 +1 @@
+"""Metric measure spaces on Spark: sampled tuples, their invariants, and what they guarantee."""
