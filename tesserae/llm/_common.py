@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,16 @@ from pyspark.sql import types as T
 CONTINUATION = bytes(range(0x80, 0xC0))
 #: The same words as ``bytes.split()``: runs of anything but space and \x09-\x0D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless they are told of a path already."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data folder ``sf_dir``, read by Spark."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,6 +94,21 @@ def emitted(rows: Iterator[tuple], fields: list[tuple[str, str]], size: int = 40
         yield batch_of(held, fields)
 
 
-def n_words(text) -> F.Column:
-    """Number of words of a text column, null 0, natively."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit("([^ \\t\\n\\x0B\\f\\r]+)"), F.lit(1))), F.lit(0)).cast("long")
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``n_keys`` integer columns; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[-1].column(c)[0].as_py() != b.column(c)[0].as_py() for c in range(n_keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(n_keys)])
+        edges = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()
+        for s, e in zip([0, *edges], [*edges, b.num_rows]):
+            if s:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)

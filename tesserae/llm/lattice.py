@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import emitted, schema_of, stored
+from tesserae.llm._common import emitted, grouped, schema_of, stored
 from tesserae.llm.components import components
 
 TABLES, PROBES, WIDTH, BLOCKS = 8, 4, 2.25, 2
@@ -241,25 +241,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     fields, kernel = [("cid", "long"), ("n", "long"), ("to", "long")], _Cell(tables, probes, cosine)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            held: list[pa.RecordBatch] = []
-            for b in batches:
-                key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(4)])
-                edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-                if held and b.num_rows:
-                    if any(held[-1].column(c)[0].as_py() != b.column(c)[0].as_py() for c in range(4)):
-                        yield pa.Table.from_batches(held)
-                        held = []
-                for s, e in zip(np.r_[0, edge], np.r_[edge, b.num_rows]):
-                    if held and s:
-                        yield pa.Table.from_batches(held)
-                        held = []
-                    held.append(b.slice(s, e - s))
-            if held:
-                yield pa.Table.from_batches(held)
-
         def rows() -> Iterator[tuple]:
-            for g in groups():
+            for g in grouped(batches, 4):
                 if g.num_rows < 2:
                     continue
                 home = g.column("home").to_numpy()

@@ -16,10 +16,11 @@
 5. Verification intersects the two sets, once a pair and round.
 
 Only links that change components are needed, so pairs are proposed in rounds:
-members of a list against one member, drawn anew in each round, as long as
-their components differ and many such pairs are left; then all pairs of
-different components. Copies and members of one component are never paired, and no
-link between components is missed.
+members of a list against one member whose component differs, first the one
+with most neighbours, then one drawn anew in each round, as long as many such
+pairs are left and links are found; then all pairs of different components.
+Copies and members of one component are never paired, and no link between
+components is missed.
 
 Defined cases: null and empty texts and texts without words have empty sets
 and link with nothing; null ids take part and are no smallest id unless all are
@@ -38,21 +39,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import as_bytes, emitted, schema_of, stored
+from tesserae.llm._common import as_bytes, emitted, grouped, schema_of, stored
 from tesserae.llm.components import components
 from tesserae.llm.shingles import CellCounts, cells, id_cells, id_filter, set_key, shingle_set, summed_cells
 
 #: Cells of so many shingles send theirs as rows.
 CROWDED = 20_000
 #: Rounds against a drawn member end when all remaining pairs are fewer than so many times the list entries.
-PAIRS_PER_ENTRY, MAX_ROUNDS = 4, 8
-FLUSH = 2_000_000
+PAIRS_PER_ENTRY, MAX_ROUNDS = 16, 8
+FLUSH, BLOCK = 1_000_000, 2048
+#: Up to so many ids are sent to all executors; more are told by a filter of 2^20 bits.
+SENT_IDS = 1_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _rarest(a: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
+    """Indices of the first ``size`` hashes by count, then hash."""
+    if size < len(a):
+        bound = np.partition(c, size - 1)[size - 1]
+        at = np.flatnonzero(c <= bound)  # a is sorted, so a stable sort by count does
+        return at[np.argsort(c[at], kind="stable")][:size]
+    return np.argsort(c, kind="stable")
+
+
 def _sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     """Rows ``id, n, key`` of every document, and ``slice, blob`` of the cell counts of a task."""
     fields = [("id", "long"), ("n", "int"), ("key", "long"), ("slice", "int"), ("blob", "binary")]
@@ -75,8 +87,8 @@ def _sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 
 
 def _bins(a: np.ndarray) -> bytes:
-    """Counts of the set by hash range, a power of two of ranges with about 4 hashes each; empty if one is crowded."""
-    bits = max(len(a) // 4, 1).bit_length() - 1
+    """Counts of the set by hash range, a power of two of ranges with one or two hashes each; empty if one is crowded."""
+    bits = len(a).bit_length() - 1
     c = np.bincount((a >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(a), np.int64), minlength=1 << bits)
     return c.astype(np.uint8).tobytes() if c.max() < 256 else b""
 
@@ -130,7 +142,7 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
                         continue
                     seen.add((n, key))
                     c = counted[cells(a)]
-                    order = np.lexsort((a, c))[: prefix_length(n, percent)]
+                    order = _rarest(a, c, prefix_length(n, percent))
                     tokens, crowded = a[order], c[order] >= CROWDED
                     posts = np.empty(len(order), _POST)
                     posts["tok"], posts["bucket"], posts["key"], posts["n"], posts["pos"] = tokens >> np.uint64(32), tokens % np.uint64(n_buckets), key, n, np.arange(len(order))
@@ -190,7 +202,7 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """One row a list and member: ``g, key, n, pos``."""
+    """One row a list and member: ``g, key, n, pos``, and ``degree``, the summed sizes of the member's lists."""
     fields = [("g", "long"), ("key", "long"), ("n", "int"), ("pos", "int")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +213,9 @@ def _members(lists: DataFrame) -> DataFrame:
 
     once = lists.where("kind = 'g'").groupBy("a").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
     crowded = lists.where("kind = 'h'").select(F.col("a").alias("g"), "key", "n", "pos").distinct()
-    return stored(once.mapInArrow(spread, schema_of(fields)).unionByName(crowded), "members")
+    rows = stored(once.mapInArrow(spread, schema_of(fields)).unionByName(crowded), "entries")
+    degree = rows.join(rows.groupBy("g").agg(F.count("*").alias("s")), "g").groupBy("key").agg(F.sum("s").alias("degree"))
+    return stored(rows.join(degree, "key"), "members")
 
 
 def _possible(percent: int) -> F.Column:
@@ -216,11 +230,108 @@ def _need(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+class _List:
+    """Members of one list, or of two of its blocks, as arrays."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.key, self.n, self.pos, self.label, self.part = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos", "label", "part"))
+        self.bins = rows.column("blob").to_pylist()
+        self.folds: dict[tuple[int, int], np.ndarray] = {}
+
+    def folded(self, k: int, size: int) -> np.ndarray:
+        if (k, size) not in self.folds:
+            self.folds[k, size] = np.frombuffer(self.bins[k], np.uint8).astype(np.uint16).reshape(size, -1).sum(1, dtype=np.uint16)
+        return self.folds[k, size]
+
+    def pairs(self, across: bool, percent: int) -> Iterator[tuple[int, int, int, int]]:
+        """Pairs of different components that pass the length, positional and suffix filters."""
+        n, pos = self.n, self.pos
+        size = np.array([len(b) for b in self.bins])
+        for i in range(len(n) - 1):
+            m, at = n[i + 1 :], pos[i + 1 :]
+            need = -(-percent * (n[i] + m) // (100 + percent))
+            most = np.minimum(pos[i], at) + 1 + np.minimum(n[i] - pos[i] - 1, m - at - 1)
+            ok = (self.label[i + 1 :] != self.label[i]) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)) & (most >= need)
+            if across:
+                ok &= self.part[i + 1 :] != self.part[i]
+            hits = np.flatnonzero(ok)
+            for width in np.unique(np.minimum(size[hits + i + 1], size[i])).tolist():
+                own = hits[np.minimum(size[hits + i + 1], size[i]) == width]
+                if width:
+                    y = np.stack([self.folded(j, width) for j in (own + i + 1).tolist()])
+                    own = own[np.minimum(y, self.folded(i, width)).sum(1, dtype=np.int64) >= need[own]]
+                for j in (own + i + 1).tolist():
+                    a, b = (i, j) if (self.key[i], n[i]) < (self.key[j], n[j]) else (j, i)
+                    yield int(self.key[a]), int(n[a]), int(self.key[b]), int(n[b])
+
+
+def _pairs_within(members: DataFrame, percent: int) -> DataFrame:
+    """Candidates ``a, n, b, m`` among list members ``g, s, key, n, pos, label, blob``; lists of more than ``BLOCK`` in pairs of blocks."""
+    parts = F.ceil(F.col("s") / BLOCK).cast("int")
+    rows = members.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    names, fields = ["g", "lo", "hi"], [("a", "long"), ("n", "int"), ("b", "long"), ("m", "int")]
+    rows = rows.select("g", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "key", "n", "pos", "label", "blob")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple] = set()
+
+        def pairs() -> Iterator[tuple]:
+            for rows in grouped(batches, 3):
+                for pair in _List(rows).pairs(rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py(), percent):
+                    if pair not in told:
+                        if len(told) > FLUSH:
+                            told.clear()
+                        told.add(pair)
+                        yield pair
+
+        return emitted(pairs(), fields)
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *names).sortWithinPartitions(*names).mapInArrow(run, schema_of(fields))
+
+
 class _Join:
     def __init__(self, df: DataFrame, docs: DataFrame, lists: DataFrame, id_col: str, text: str, width: int, percent: int) -> None:
         self.df, self.docs, self.text, self.width, self.percent, self.id_col = df, docs, text, width, percent, id_col
         self.bins = lists.where("kind = 's'").select("key", "n", "blob").dropDuplicates(["key", "n"])
         self.reps = docs.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"))
+        self.sets: DataFrame | None = None
+
+    def fetched(self, ends: DataFrame) -> DataFrame:
+        """``key, n, set`` of at least the classes ``ends``; sets of earlier rounds are kept."""
+        new = ends if self.sets is None else ends.join(self.sets.select("key", "n"), ["key", "n"], "left_anti")
+        wanted = stored(new.join(self.reps, ["key", "n"]).select("key", "n", "id"), "wanted")
+        size = wanted.count()
+        if not size and self.sets is not None:
+            return self.sets
+        docs, width = self.df.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text).cast("string").alias("text")), self.width
+        if size <= SENT_IDS:
+            docs, bits = docs.join(F.broadcast(wanted.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id")), "left_semi"), None
+        else:
+            bits = self.df.sparkSession.sparkContext.broadcast(np.packbits(id_filter(wanted.select("id"))))
+        fields = [("key", "long"), ("n", "int"), ("set", "binary")]
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: set[tuple[int, int]] = set()
+
+            def rows() -> Iterator[tuple]:
+                for b in batches:
+                    texts = b.column(1)
+                    if bits is not None:
+                        texts = texts.filter(pa.array(np.unpackbits(bits.value).astype(bool)[id_cells(b.column(0).to_pylist())]))
+                    for t in as_bytes(texts):
+                        a = shingle_set(t, width)
+                        head = (set_key(a), len(a))
+                        if head not in sent:
+                            sent.add(head)
+                            yield *head, a.tobytes()
+
+            return emitted(rows(), fields, 512)
+
+        found = docs.mapInArrow(fetch, schema_of(fields)).join(wanted.select("key", "n"), ["key", "n"], "left_semi")
+        found = stored(found.dropDuplicates(["key", "n"]), "fetched")
+        self.sets = found if self.sets is None else self.sets.unionByName(found)
+        return self.sets
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among distinct pairs ``a, n, b, m``: suffix filter, then the sets themselves."""
@@ -239,27 +350,7 @@ class _Join:
         left = stored(left, "candidates")
 
         ends = left.select(F.col("a").alias("key"), "n").unionByName(left.select(F.col("b").alias("key"), F.col("m").alias("n"))).distinct()
-        wanted = id_filter(ends.join(self.reps, ["key", "n"]).select("id"))
-        told, width = self.df.sparkSession.sparkContext.broadcast(np.packbits(wanted)), self.width
-        fields = [("key", "long"), ("n", "int"), ("set", "binary")]
-
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, sent = np.unpackbits(told.value).astype(bool), set()
-
-            def rows() -> Iterator[tuple]:
-                for b in batches:
-                    hit = bits[id_cells(b.column(0).to_pylist())]
-                    for t in as_bytes(b.column(1).filter(pa.array(hit))):
-                        a = shingle_set(t, width)
-                        head = (set_key(a), len(a))
-                        if head not in sent:
-                            sent.add(head)
-                            yield *head, a.tobytes()
-
-            return emitted(rows(), fields, 512)
-
-        sets = self.df.select(F.col(self.id_col).cast("long"), F.col(self.text).cast("string")).mapInArrow(fetch, schema_of(fields))
-        sets = sets.join(ends, ["key", "n"], "left_semi").dropDuplicates(["key", "n"])
+        sets = self.fetched(ends)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -271,7 +362,6 @@ class _Join:
                     ok.append(100 * both >= percent * (len(u) + len(v) - both))
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in range(4)], names=[f for f, _ in names]).filter(pa.array(ok, pa.bool_()))
 
-        sets = stored(sets, "fetched")
         x = sets.select(F.col("key").alias("a"), "n", F.col("set").alias("x"))
         y = sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("set").alias("y"))
         return stored(left.join(x, ["a", "n"]).join(y, ["b", "m"]).select("a", "n", "b", "m", "x", "y").mapInArrow(check, schema_of(names)), "links")
@@ -286,7 +376,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     docs = sets.where("slice IS NULL").select("id", "n", "key")
     lists = _prefixes(df, summed_cells(sets.where("slice IS NOT NULL").select("slice", "blob")), id_col, text, width, percent)
     members, join = _members(lists), _Join(df, docs, lists, id_col, text, width, percent)
-    entries, links, labels = members.count(), None, None
+    entries, links, labels, most, few = members.count(), None, None, 0, False
 
     def labelled() -> DataFrame:
         if labels is None:
@@ -299,14 +389,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         per = own.groupBy("g", "label").agg(F.count("*").alias("c"))
         open_lists = stored(per.groupBy("g").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("d")).where("d > 1").select("g", "s", "q"), "open")
         left = open_lists.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
-        last = left <= PAIRS_PER_ENTRY * entries or turn == MAX_ROUNDS
+        last = left <= PAIRS_PER_ENTRY * entries or few or turn == MAX_ROUNDS
         own = own.join(open_lists.select("g"), "g", "left_semi")
         if last:
-            other = own.select("g", F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other"))
-            pairs = own.withColumnRenamed("key", "a").join(other, "g").where((F.col("label") < F.col("other")) & _possible(percent))
-            pairs = pairs.select("a", "n", "b", "m").distinct()
+            pairs = _pairs_within(own.join(open_lists.select("g", "s"), "g").join(join.bins, ["key", "n"]), percent).distinct()
         else:
-            drawn = F.min_by(F.struct(F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other")), F.xxhash64(F.lit(turn), "key"))
+            rank = F.struct("degree", "key") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "key"), "key")
+            drawn = F.max_by(F.struct(F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other")), rank)
             heads = own.groupBy("g").agg(drawn.alias("h")).select("g", "h.*")
             pairs = own.withColumnRenamed("key", "a").join(heads, "g").where((F.col("label") != F.col("other")) & _possible(percent))
             best = pairs.groupBy("a", "n", "b", "m").agg(F.count("*").alias("c")).groupBy("a", "n").agg(F.max_by(F.struct("b", "m"), F.struct("c", "b")).alias("h"))
@@ -316,6 +405,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         labels = components(links)
         if last:
             break
+        size = found.count()
+        most, few = max(most, size), 20 * size <= most
     named = docs.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "key")))
     named = stored(named, "named")
     smallest = named.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))

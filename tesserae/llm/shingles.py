@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 from tesserae.llm._common import emitted, schema_of
 
-MEMO_WORDS = 2_000_000
 CELL_BITS, SLICE_BITS = 20, 14
+#: Words are hashed in runs of so many, so tables of powers and memory stay small for very long texts.
+RUN_WORDS = 1 << 15
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_BYTE_VALUES = np.random.default_rng(20240101).integers(1, 1 << 64, 256, dtype=np.uint64)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Memo()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multiplier's powers 0 to n - 1 modulo 2^64, and their inverses."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
+            table = np.full(max(n, 1 << 16), base, np.uint64)
+            table[0] = 1
+            _POWERS[k] = np.multiply.accumulate(table)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -34,20 +39,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _run(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of all ``width``-word windows: ranges of one running polynomial over the joined words."""
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    n = len(joined)
+    power, inverse = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[joined] * power[:n], out=total[1:])
+    gaps = np.flatnonzero(joined == 32)
+    starts = np.concatenate(([0], gaps[: len(gaps) + 1 - width] + 1))
+    ends = np.concatenate((gaps[width - 1 :], [n]))
+    return _mixed((total[ends] - total[starts]) * inverse[starts])
+
+
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles; all words as one if they are fewer."""
     words = text.lower().split()  # bytes: A-Z only, and ASCII spaces only
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > MEMO_WORDS:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    parts = min(n, width)
-    out = np.full(n - parts + 1, parts, np.uint64)
-    for k in range(parts):  # a hash for each place of a word, summed
-        out += _mixed(h[k : n - parts + 1 + k] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return np.unique(_mixed(out))
+    width = min(n, width)
+    if n <= RUN_WORDS:
+        out = _run(words, width)
+    else:
+        out = np.concatenate([_run(words[s : s + RUN_WORDS + width - 1], width) for s in range(0, n - width + 1, RUN_WORDS)])
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_key(a: np.ndarray) -> int:
@@ -59,12 +76,21 @@ class CellCounts:
     """Counts of 2^20 cells of hashes, added up in a task and sent in 64 slices."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros(1 << CELL_BITS, np.uint32)
+        self.counts, self.held, self.size = np.zeros(1 << CELL_BITS, np.uint32), [], 0
 
     def add(self, hashes: np.ndarray) -> None:
-        np.add.at(self.counts, cells(hashes), 1)
+        self.held.append(cells(hashes))
+        self.size += len(hashes)
+        if self.size > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=1 << CELL_BITS).astype(np.uint32)
+        self.held, self.size = [], 0
 
     def slices(self) -> Iterator[tuple[int, bytes]]:
+        self.flush()
         if self.counts.any():
             squeeze = zstandard.ZstdCompressor(level=1).compress
             for k, part in enumerate(self.counts.reshape(-1, 1 << SLICE_BITS)):
@@ -106,7 +132,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = CellCounts()
         for b in batches:
-            np.add.at(c.counts, id_cells(b.column(0).to_pylist()), 1)
+            np.maximum.at(c.counts, id_cells(b.column(0).to_pylist()), 1)
         yield from emitted(c.slices(), [("slice", "int"), ("blob", "binary")])
 
     return summed_cells(ids.select(F.col(ids.columns[0]).cast("long")).mapInArrow(run, schema_of([("slice", "int"), ("blob", "binary")]))) > 0
