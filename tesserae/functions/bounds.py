@@ -13,8 +13,10 @@ import warnings
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.functions.invariants import Invariant
 
@@ -277,9 +279,7 @@ def guarantees(spark: SparkSession, n_samples: int, invariants: Mapping[str, Inv
 
 def sample_sizes(grid: DataFrame, method: str = "WB") -> DataFrame:
     """Add ``n_needed`` by ``epsilon, alpha, n_points, p, lip, lam`` for a table of any length."""
-    import pandas as pd
-
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def solve(epsilon: pd.Series, alpha: pd.Series, n: pd.Series, p: pd.Series, lip: pd.Series, lam: pd.Series) -> pd.Series:
         return pd.Series([sample_size(*row, method=method) for row in zip(epsilon, alpha, n, p, lip, lam)], dtype="int64")
 

@@ -130,7 +130,7 @@ def gap_profile(columns: DataFrame, rows: DataFrame, thresholds: Sequence[float]
 
 def project(records: DataFrame, keep: Sequence[int]) -> DataFrame:
     """``seq`` cut to the columns ``keep``, on Arrow batches."""
-    at, chosen = records.columns.index("seq"), np.array(sorted(keep), np.int64)
+    names, at, chosen = records.columns, records.columns.index("seq"), np.array(sorted(keep), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,7 +138,7 @@ def project(records: DataFrame, keep: Sequence[int]) -> DataFrame:
                 cut = np.ascontiguousarray(_symbols(b.column(at), None)[:, chosen])
                 ends = np.arange(len(cut) + 1, dtype=np.int32) * len(chosen)
                 text = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer(cut.tobytes())])
-                yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(b.columns)], names=records.columns)
+                yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(b.columns)], names=names)
 
     return records.mapInArrow(run, records.schema)
 

@@ -53,7 +53,7 @@ def persistence_stats(histogram: DataFrame, by: Sequence[str] = (), birth: str =
         _share(there, w, 1e6).alias("pers_nonzero_ppm"),
         (F.sum(F.when(there & (life == 1), w).otherwise(0)) / F.sum(own)).alias("pers_life_one_share"),
         F.max(F.when(there, life)).alias("pers_life_max"),
-        F.min_by(b, F.struct(-own, b, life)).alias("pers_birth_mode"),
+        F.min_by(b, F.when(there, F.struct(-w, b, life))).alias("pers_birth_mode"),
         (F.sum(F.when(there, b * w)) / F.sum(own)).alias("pers_birth_mean"),
     )
     middle = weighted_median(histogram.where(there), by, birth, cnt).withColumnRenamed("median", "pers_birth_median")
