@@ -23,11 +23,11 @@ def deduplicated(records: DataFrame, keys: Sequence[str], rec_no: str = "rec_no"
 
 def tagged(records: DataFrame, forms: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Records with the ``uid`` of their form; those of dropped forms leave."""
-    cond = None
+    own = forms.select("uid", *(F.col(k).alias(f"_form_{k}") for k in keys))
+    cond = F.lit(True)
     for k in keys:
-        same = records[k].eqNullSafe(forms[k])
-        cond = same if cond is None else cond & same
-    return records.join(forms.select(*keys, "uid"), cond).select(*(records[c] for c in records.columns), "uid")
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_form_{k}"))
+    return records.join(own, cond).select(*records.columns, "uid")
 
 
 def first_seen(records: DataFrame, uid: str = "uid", date: str = "date") -> DataFrame:

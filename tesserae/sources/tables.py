@@ -10,9 +10,12 @@ from pyspark.errors import AnalysisException
 
 
 def read_dates(spark: SparkSession, path: str) -> DataFrame:
-    """``epi_isl, date`` of a TSV with a header row; an empty date is null."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="epi_isl string, date string")
-    return rows.select(F.coalesce("epi_isl", F.lit("")).alias("epi_isl"), F.try_to_date(F.nullif("date", F.lit("")), "yyyy-MM-dd").alias("date"))
+    """``epi_isl, date`` of a TSV with a header row; an empty date is null.
+
+    Lines are split here: the CSV reader would skip a line of two empty fields.
+    """
+    lines = spark.read.text(path).where(F.col("value") != "epi_isl\tdate").select(F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("f"))
+    return lines.select(F.get("f", F.lit(0)).alias("epi_isl"), F.try_to_date(F.nullif(F.get("f", F.lit(1)), F.lit("")), "yyyy-MM-dd").alias("date"))
 
 
 def write_dates(records: DataFrame, path: str) -> None:
