@@ -6,7 +6,8 @@
    count of a shingle's cell, then its hash, is the global order, rare first.
    Any order gives the same links; a good one gives short lists.
 3. Prefixes. A class enters the lists of its first n - ceil(t n) + 1 shingles.
-   Lists of one class are dropped, lists with the same members are kept once.
+   Lists of one class are dropped, and lists of mostly the same members are put
+   together, so that near copies share one list instead of hundreds.
    Shingles in crowded cells travel as rows, not as lists, so no task holds a
    long list.
 4. Candidates are members of one list that pass the length filter (t), the
@@ -31,11 +32,11 @@ their 64-bit keys collide.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +104,52 @@ def _overlap_bound(x: bytes, y: bytes) -> int | None:
     return int(np.minimum(u.reshape(len(y), -1).sum(1), v).sum())
 
 
-#: Rows of lists: kind g: a = hash of the members, list of (key, n, pos); kind h: a = shingle, one member; kind s: key, n, bins.
+#: Rows of lists: kind g: a = least key, n members; kind h: a = shingle, one member; kind s: key, n, bins.
 ENTRY = [("kind", "string"), ("a", "long"), ("key", "long"), ("n", "int"), ("pos", "int"), ("blob", "binary")]
 _POST = np.dtype([("tok", "<u4"), ("bucket", "<u4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
+_MEMBER = np.dtype([("key", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("deg", "<u8")])
+#: A list joins a longer one that holds this share of its members.
+SHARED = 0.8
+
+
+def _merged(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Lists put together where one holds most of another's members.
+
+    Each pair of members of a list is in one of the results. Members of a list
+    that took in others have place 0, with which the positional filter rules
+    nothing out. Degrees of a member add up.
+    """
+    kept: list[dict[tuple[int, int], list[int]]] = []
+    home: dict[tuple[int, int], int] = {}
+    for rows in sorted(lists, key=lambda x: (-len(x), x["key"].tolist())):
+        heads = list(zip(rows["key"].tolist(), rows["n"].tolist()))
+        votes = Counter(home[h] for h in heads if h in home)
+        best, most = min(votes.items(), key=lambda v: (-v[1], v[0]), default=(None, 0))
+        # ``votes`` only sees each member's first list; the best one is then counted in full.
+        if best is not None and most and sum(h in kept[best] for h in heads) >= SHARED * len(heads):
+            own = kept[best]
+            if len(own) > len(heads) or any(h not in own for h in heads) or any(own[h][0] != p for h, p in zip(heads, rows["pos"].tolist())):
+                for member in own.values():
+                    member[0] = 0
+        else:
+            best, own = len(kept), {}
+            kept.append(own)
+        fresh = best == len(kept) - 1 and not own
+        for h, p, d in zip(heads, rows["pos"].tolist(), rows["deg"].tolist()):
+            if h in own:
+                own[h][1] += d
+            else:
+                own[h] = [p if fresh else 0, d]
+            home.setdefault(h, best)
+    out = []
+    for own in kept:
+        rows = np.array([(k, n, p, d) for (k, n), (p, d) in own.items()], _MEMBER)
+        out.append(rows[np.lexsort((rows["n"], rows["key"]))])
+    return out
+
+
 def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width: int, percent: int) -> DataFrame:
     """Lists of at least two classes, entries of crowded shingles, and the bins of all classes."""
     spark = df.sparkSession
@@ -170,14 +212,15 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
             again = ~fresh & np.r_[False, (p["key"][1:] == p["key"][:-1]) & (p["n"][1:] == p["n"][:-1])]
             p, fresh = p[~again], fresh[~again]
             at = np.flatnonzero(np.r_[fresh, True])
-            known: set[int] = set()
-            long = np.flatnonzero(np.diff(at) > 1)
-            for s, e in zip(at[long].tolist(), at[long + 1].tolist()):
-                members = p[s:e]
-                gid = set_key(np.ascontiguousarray(members["key"]))
-                if gid not in known:
-                    known.add(gid)
-                    yield "g", gid, None, e - s, None, b"".join(np.ascontiguousarray(members[c]).tobytes() for c in ("key", "n", "pos"))
+            found: list[np.ndarray] = []
+            for k in np.flatnonzero(np.diff(at) > 1).tolist():
+                rows = np.empty(at[k + 1] - at[k], _MEMBER)
+                for c in ("key", "n", "pos"):
+                    rows[c] = p[c][at[k] : at[k + 1]]
+                rows["deg"] = len(rows)
+                found.append(rows)
+            for rows in _merged(found):
+                yield "g", int(rows["key"][0]), None, len(rows), None, rows.tobytes()
 
         def rows() -> Iterator[tuple]:
             for b in batches:
@@ -202,20 +245,21 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """One row a list and member: ``g, key, n, pos``, and ``degree``, the summed sizes of the member's lists."""
-    fields = [("g", "long"), ("key", "long"), ("n", "int"), ("pos", "int")]
+    """One row a list and member: ``g, key, n, pos, degree``; ``degree`` adds up to the sizes of all lists a member was in."""
+    fields = [("g", "long"), ("key", "long"), ("n", "int"), ("pos", "int"), ("degree", "long")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for gid, n, blob in zip(*(b.column(c).to_pylist() for c in range(3))):
-                key, size, pos = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<u4", n, 8 * n), np.frombuffer(blob, "<u4", n, 12 * n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gid)), pa.array(key), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32))], names=[f for f, _ in fields])
-
-    once = lists.where("kind = 'g'").groupBy("a").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
-    crowded = lists.where("kind = 'h'").select(F.col("a").alias("g"), "key", "n", "pos").distinct()
-    rows = stored(once.mapInArrow(spread, schema_of(fields)).unionByName(crowded), "entries")
-    degree = rows.join(rows.groupBy("g").agg(F.count("*").alias("s")), "g").groupBy("key").agg(F.sum("s").alias("degree"))
-    return stored(rows.join(degree, "key"), "members")
+        held = [np.frombuffer(blob, _MEMBER) for b in batches for blob in b.column(1).to_pylist()]
+        for rows in _merged(held):
+            gid = set_key(np.ascontiguousarray(rows["key"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), gid)), *(pa.array(rows[c].astype(t)) for c, t in (("key", np.int64), ("n", np.int32), ("pos", np.int32), ("deg", np.int64)))], names=[f for f, _ in fields])
+
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped_lists = lists.where("kind = 'g'").select("a", "blob").repartition(n, "a").mapInArrow(spread, schema_of(fields))
+    crowded = lists.where("kind = 'h'").select(F.col("a").alias("g"), "key", "n", "pos").distinct().withColumn("degree", F.lit(1).cast("long"))
+    rows = stored(grouped_lists.unionByName(crowded), "entries")
+    degree = rows.groupBy("key", "n").agg(F.sum("degree").alias("degree"))
+    return stored(rows.drop("degree").join(degree, ["key", "n"]), "members")
 
 
 def _possible(percent: int) -> F.Column:
