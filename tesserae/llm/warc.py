@@ -85,7 +85,7 @@ class ArchiveWriter:
     def __init__(self, uri: str) -> None:
         store, path = fs.FileSystem.from_uri(uri)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.uri, self.out, self.records, self.written = uri, store.open_output_stream(path), 0, 0
+        self.uri, self.out, self.records, self.written = uri, store.open_output_stream(path, compression=None), 0, 0
 
     def begin(self, key: int | None, url: str | None, size: int, digest: str, refers: int | None) -> None:
         self.zip, self.sha, self.digest, self.left = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1(), digest, size if refers is None else 0
@@ -138,7 +138,7 @@ class _Member:
 
     def __init__(self, uri: str, step: int = 1 << 16) -> None:
         store, path = fs.FileSystem.from_uri(uri)
-        self.file, self.step, self.zip, self.have = store.open_input_stream(path), step, zlib.decompressobj(31), b""
+        self.file, self.step, self.zip, self.have = store.open_input_stream(path, compression=None), step, zlib.decompressobj(31), b""
         self.raw = b""
 
     def more(self) -> bool:
