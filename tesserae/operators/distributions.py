@@ -83,6 +83,11 @@ def histogram(values: DataFrame) -> DataFrame:
     return values.groupBy(*values.columns).agg(F.count("*").alias("cnt"))
 
 
+def row_histogram(rows: DataFrame, invariants: Invariant | Mapping[str, object] | Sequence[object], n: int, decimals: int | None = None) -> DataFrame:
+    """Histograms of invariants over given distance rows ``d01, d02, ...`` of n points: ``invariant, v0, ..., cnt``."""
+    return histogram(tagged_values(rows, named(invariants, n), n, decimals))
+
+
 def distributions(space: Space, invariants: Invariant | Mapping[str, object] | Sequence[object], n: int, n_samples: int, seed: int = 0, mode: str = "xx", decimals: int | None = None, start: int = 0, partitions: int | None = None) -> DataFrame:
     """Histograms of several invariants on one sample: ``invariant, v0[, v1..], cnt``.
 

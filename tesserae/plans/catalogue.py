@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from tesserae.operators import alignment, distributions, draws, histograms, mds,
 from tesserae.operators.space import Space, precomputed, space
 from tesserae.plans import sql
 
+ROOT = str(Path(__file__).resolve().parents[2])
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,10 +24,16 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Python workers import this package from where the driver has it.
+            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLE_SQL[f.__name__] = oracle
-        return f
+        return run
 
     return keep
 
