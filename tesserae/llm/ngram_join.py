@@ -67,24 +67,24 @@ def _rarest(a: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """Rows ``id, n, key`` of every document, and ``slice, blob`` of the cell counts of a task."""
-    fields = [("id", "long"), ("n", "int"), ("key", "long"), ("slice", "int"), ("blob", "binary")]
+    """Rows ``id, n, key, text_hash`` of every document, and ``slice, blob`` of the cell counts of a task."""
+    fields = [("id", "long"), ("n", "int"), ("key", "long"), ("text_hash", "long"), ("slice", "int"), ("blob", "binary")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = CellCounts()
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for key, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+                for key, t, h in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
                     a = shingle_set(t, width)
                     counts.add(a)
-                    yield key, len(a), set_key(a), None, None
+                    yield key, len(a), set_key(a), h, None, None
             for k, blob in counts.slices():
-                yield None, None, None, k, blob
+                yield None, None, None, None, k, blob
 
         return emitted(rows(), fields)
 
-    return stored(df.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema_of(fields)), "sets")
+    return stored(df.select(F.col(id_col).cast("long"), F.col(text).cast("string"), F.xxhash64(text)).mapInArrow(run, schema_of(fields)), "sets")
 
 
 def _bins(a: np.ndarray) -> bytes:
@@ -411,13 +411,10 @@ class _Join:
         return stored(left.join(x, ["a", "n"]).join(y, ["b", "m"]).select("a", "n", "b", "m", "x", "y").mapInArrow(check, schema_of(names)), "links")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (smallest id of the component).
-
-    Links: 100 |A and B| >= ``percent`` |A or B| of the sets of ``width``-word shingles.
-    """
+def _labelled_documents(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+    """Rows ``id, n, key, text_hash, label`` of every document; the label of an empty set is null."""
     sets = _sets(df, id_col, text, width)
-    docs = sets.where("slice IS NULL").select("id", "n", "key")
+    docs = sets.where("slice IS NULL").select("id", "n", "key", "text_hash")
     lists = _prefixes(df, summed_cells(sets.where("slice IS NOT NULL").select("slice", "blob")), id_col, text, width, percent)
     members, join = _members(lists), _Join(df, docs, lists, id_col, text, width, percent)
     entries, links, labels, most, few = members.count(), None, None, 0, False
@@ -452,17 +449,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         size = found.count()
         most, few = max(most, size), 20 * size <= most
     named = docs.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "key")))
-    named = stored(named, "named")
+    return stored(named.select("id", "n", "key", "text_hash", "label"), "named")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (smallest id of the component).
+
+    Links: 100 |A and B| >= ``percent`` |A or B| of the sets of ``width``-word shingles.
+    """
+    named = _labelled_documents(df, id_col, text, width, percent)
     smallest = named.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = named.join(smallest, "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows of ``df`` with one document of each component left, that of the smallest id.
+def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``df`` with one row of each component left: that of the smallest id, then text hash.
 
-    Rows that repeat the kept id and text stay once.
+    A null id is the last choice. Rows without words link with nothing and all
+    stay; of rows that agree in id and text, one stays.
     """
-    kept = near_duplicates(df, id_col, text, **options).where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).cast("long").alias("__kept_id")).distinct()
-    rows = df.join(kept, df[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    named = _labelled_documents(df, id_col, text, width, percent).where("n > 0")
+    one = F.struct("id", "text_hash")
+    chosen = named.groupBy("label").agg(F.min_by(one, F.struct(F.col("id").isNull(), "id", "text_hash")).alias("one"))
+    lost = named.join(chosen, "label").where(~one.eqNullSafe(F.col("one"))).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    again = stored(named.groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), "again")
+
+    def same(other: DataFrame) -> F.Column:
+        return df[id_col].cast("long").eqNullSafe(other["__id"]) & (F.xxhash64(df[text]) == other["__hash"])
+
+    rows = df.join(lost, same(lost), "left_anti")
+    if not again.limit(1).count():
+        return rows
+    return rows.join(again, same(again), "left_anti").unionByName(rows.join(again, same(again), "left_semi").dropDuplicates([id_col, text]))
