@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tesserae.llm._common import as_bytes, schema_of, stored
 
 MAX_SOURCES = 100_000
-BLOCK_WORDS, BLOCK_ROWS, SHARD_BLOCKS, STRIDE = 1 << 16, 1 << 14, 256, 4096
+BLOCK_WORDS, BLOCK_ROWS, SHARD_BLOCKS, STRIDE = 1 << 16, 1 << 14, 64, 4096
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
