@@ -91,7 +91,7 @@ def kde_curve(histogram: DataFrame, bandwidth: float, resolution: int, v: str =
     grid = spark.range(n).select((F.col("id") * F.lit(upper / (n - 1))).alias("x"), F.when(F.col("id").isin(0, n - 1), 0.5).otherwise(1.0).alias("_end"))
     support = histogram.groupBy(F.col(v).alias("_v")).agg(F.sum(cnt).alias("_w"))
     z = (F.col("x") - F.col("_v")) / F.lit(float(bandwidth))
-    raw = grid.join(F.broadcast(support)).groupBy("x", "_end").agg(F.sum(F.col("_w") * F.exp(-F.lit(0.5) * z * z)).alias("_d"))
+    raw = grid.crossJoin(support).groupBy("x", "_end").agg(F.sum(F.col("_w") * F.exp(-F.lit(0.5) * z * z)).alias("_d"))
     area = raw.agg((F.sum(F.col("_d") * F.col("_end")) * F.lit(upper / (n - 1))).alias("_area"))
     return raw.join(F.broadcast(area)).select("x", (F.col("_d") / F.col("_area")).alias("density"))
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tesserae.operators.ordering import dense_index
 
 
+#: Cutoffs are sent to all executors and refused beyond this.
+MAX_CUTOFFS = 10_000
+
+
 def deduplicated(records: DataFrame, keys: Sequence[str], rec_no: str = "rec_no", min_count: int = 1, date: str | None = None) -> DataFrame:
     """Distinct ``keys`` with ``multiplicity``, first record, and a dense ``uid`` in the order of first occurrence.
 
@@ -45,6 +49,8 @@ def cumulative_slices(records: DataFrame, cutoffs: DataFrame, uid: str = "uid",
     those after the last cutoff are in no slice. ``cutoffs`` is a short table.
     """
     ends = cutoffs.select("cutoff").distinct()
+    if ends.limit(MAX_CUTOFFS + 1).count() > MAX_CUTOFFS:
+        raise ValueError(f"more than {MAX_CUTOFFS} cutoffs")
     nodes = ends.withColumn("_from", F.lag("cutoff").over(Window.orderBy("cutoff")))
     when = records.select(uid, F.col(date).alias("_date")).where(F.col("_date").isNotNull())
     new = when.groupBy(uid, "_date").agg(F.count("*").alias("_new"))

@@ -48,16 +48,26 @@ class Space:
         return F.broadcast(df) if self.small(rows, width) else df
 
 
-def _counted(points: DataFrame) -> int:
-    """Row count, with the checks that ids are dense and coordinates there."""
-    r = points.agg(F.count("*").alias("n"), F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.count_distinct("pid").alias("u"), F.count_if(F.col("x").isNull()).alias("holes")).first()
+def _width(points: DataFrame) -> Column:
+    """Bytes of the widest point, about: its id, its coordinates and row overhead."""
+    kind = points.schema["x"].dataType
+    if kind.typeName() == "array":
+        return F.lit(64) + 8 * F.coalesce(F.max(F.size("x")), F.lit(0))
+    if kind.typeName() in ("string", "binary"):
+        return F.lit(64) + F.coalesce(F.max(F.octet_length("x")), F.lit(0))
+    return F.lit(64 + 24 * (len(kind.fields) if kind.typeName() == "struct" else 1))
+
+
+def _counted(points: DataFrame) -> tuple[int, int]:
+    """Row count and width, with the checks that ids are dense and coordinates there."""
+    r = points.agg(F.count("*").alias("n"), F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.count_distinct("pid").alias("u"), F.count_if(F.col("x").isNull()).alias("holes"), _width(points).alias("w")).first()
     if not r.n:
         raise ValueError("a space needs at least one point")
     if (r.lo, r.hi, r.u) != (0, r.n - 1, r.n):
         raise ValueError("point ids must be distinct and dense from 0")
     if r.holes:
         raise ValueError("coordinates must not be null")
-    return r.n
+    return r.n, r.w
 
 
 def space(df: DataFrame, coords: str | Column | Sequence[str], metric: str | Metric, pid: str = "pid", weight: str | None = None, check: bool = True, n_points: int | None = None) -> Space:
@@ -83,8 +93,11 @@ def space(df: DataFrame, coords: str | Column | Sequence[str], metric: str | Met
         r = points.agg(F.sum("weight").alias("s"), F.count_if((F.col("weight") < 0) | F.col("weight").isNull()).alias("bad")).first()
         if r.bad or not (r.s or 0) > 0:
             raise ValueError("weights must be nonnegative and not null, with a positive sum")
-    n = n_points if n_points is not None else _counted(points) if check else points.count()
-    return Space(points, rule, n, bool(weight))
+    if check and n_points is None:
+        n, width = _counted(points)
+    else:
+        n, width = points.agg(F.count("*"), _width(points)).first()
+    return Space(points, rule, n_points or n, bool(weight), point_bytes=width)
 
 
 def precomputed(distances: DataFrame, weights: DataFrame | None = None) -> Space:
