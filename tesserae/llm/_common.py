@@ -16,13 +16,21 @@ from pyspark.sql import types as T
 
 #: Bytes that continue a UTF-8 code point; deleting them leaves one byte each.
 CONTINUATION = bytes(range(0x80, 0xC0))
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The same words as ``bytes.split()``: runs of anything but space and \x09-\x0D.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, unless they are told of a path already."""
+    """Make the session fit for texts.
+
+    Python workers import this package from where the driver has it, unless
+    they are told of a path already. Arrow batches hold 2,000 rows, unless the
+    session has a number of its own: whole texts are large rows.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

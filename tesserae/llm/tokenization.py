@@ -4,7 +4,7 @@
 plain Latin characters are cut into the tokenizer's own pre-tokens here and
 each distinct pre-token is encoded by the library once and remembered; a text
 with any other character, or with a special token's string in it, goes to the
-library whole. The memo is emptied when it is full: it never changes ids.
+library whole. The memo is bounded, in two generations: it never changes ids.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^
 #: The word-level pre-token pattern on those characters, after lower-casing.
 _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
 
-MEMO_ENTRIES = 1_500_000
+#: Entries of one generation of the memo, by kind of pre-token; there are two.
+MEMO_ENTRIES = {"word": 250_000, "byte": 450_000}
 _ENCODERS: dict = {}
 
 
@@ -49,22 +50,30 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if _PLAIN.search(text) or self.special.search(text):
             return self.whole(text)
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        if len(self.memo) > MEMO_ENTRIES[self.kind]:
+            self.memo.age()
         return b"".join(map(self.memo.__getitem__, self.find(text.lower() if self.kind == "word" else text)))
 
 
 class _Memo(dict):
-    """Pre-token to ids; what is missing is encoded by the library."""
+    """Pre-token to ids; what neither generation holds is encoded by the library."""
 
     def __init__(self, tokenizer, code: str) -> None:
         super().__init__()
-        self.encode, self.code = tokenizer.encode, code
+        self.encode, self.code, self.old = tokenizer.encode, code, {}
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = array(self.code, self.encode(piece, add_special_tokens=False).ids).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array(self.code, self.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        """The young generation becomes the old one, which is dropped; what is used again moves up."""
+        self.old = dict(self)
+        self.clear()
+
 
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder for each file and Python worker."""
