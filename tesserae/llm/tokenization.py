@@ -25,7 +25,7 @@ _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^
 _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
 
 #: Entries of one generation of the memo, by kind of pre-token; there are two.
-MEMO_ENTRIES = {"word": 250_000, "byte": 450_000}
+MEMO_ENTRIES = {"word": 750_000, "byte": 450_000}
 _ENCODERS: dict = {}
 
 
