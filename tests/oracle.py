@@ -17,4 +17,4 @@ def same(spark, query, text, sf_dir=DATA):
     names = sorted(df.columns)
     got = sorted(map(repr, (tuple(r) for r in df.select(*names).collect())))
     want = sorted(map(repr, con.sql(f"SELECT {', '.join(names)} FROM ({text})").fetchall()))
-    assert len(got) > 0 and got == want
+    assert got == want
