@@ -4,17 +4,18 @@ Base kinds (assignments of secrets, access keys, long hex runs) are always
 reported. The method adds generic candidates: unbroken strings of mixed
 letters and digits with high entropy that no base span touches. The hash of
 every candidate, base or generic, is counted over the corpus by distinct owners
-and distinct repositories. A string that several owners hold is a widely
-copied example; one of few owners looks live. Generic candidates are reported
-only if they look live.
+and, if a column of them is named, distinct repositories. A string that several
+owners hold is a widely copied example; one of few owners looks live. However
+often one owner repeats a string, it stays that owner's. Generic candidates are
+reported only if they look live.
 
 Spans are code points, end exclusive, sorted by start and then by kind in the
 listed order. Counting goes through two shuffles of hashes with partial sums,
 never through texts.
 
 Defined cases: null and empty texts have no spans; null owners and repositories
-count as one of their own; repeated rows are reported one by one and count as
-one repository; an empty table gives an empty table; other columns pass by.
+count as one of their own; repeated rows are reported one by one; an empty table
+gives an empty table; other columns pass by.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ KINDS = ("assign", "access", "hex", "generic")
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])")
 #: Bits a character from which a generic string counts as random.
 ENTROPY = 3.8
-#: From so many distinct owners on, or repositories, a string is widely copied.
-SHARED_OWNERS, SHARED_REPOS = 3, 10
+#: From so many distinct owners on a string is widely copied, or from fewer but several ones with so many repositories.
+SHARED_OWNERS, SEVERAL_OWNERS, SHARED_REPOS = 3, 2, 10
 
 Span = tuple[int, int, int, str]  # start, kind, end, secret
 
@@ -74,9 +75,12 @@ _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repo: str | None = None) -> DataFrame:
-    """Rows ``row, id, owner, repo, hash, found`` of ``df``; ``found`` are the spans. Stored, so ``row`` is fixed."""
+    """Rows ``row, id, owner, repo, hash, found`` of ``df``; ``found`` are the spans. Stored, so ``row`` is fixed.
+
+    Without a column of repositories none are told apart: documents are not repositories.
+    """
     fields = [("id", "long"), ("owner", "string"), ("repo", "string"), ("text_hash", "long")]
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(owner).cast("string").alias("owner"), F.col(repo or id_col).cast("string").alias("repo"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(owner).cast("string").alias("owner"), (F.col(repo) if repo else F.lit(None)).cast("string").alias("repo"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
     schema = schema_of([*fields, ("found", f"array<{SCAN}>")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +95,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     """Per candidate hash: ``owners``, ``repos`` (distinct), ``shared``."""
     each = scanned.select("owner", "repo", F.explode("found.hash").alias("hash")).fillna("\0", ["owner", "repo"])
     counts = [each.select("hash", c).distinct().groupBy("hash").agg(F.count("*").alias(f"{c}s")) for c in ("owner", "repo")]
-    return counts[0].join(counts[1], "hash").withColumn("shared", (F.col("owners") >= SHARED_OWNERS) | (F.col("repos") >= SHARED_REPOS))
+    return counts[0].join(counts[1], "hash").withColumn("shared", (F.col("owners") >= SHARED_OWNERS) | ((F.col("owners") >= SEVERAL_OWNERS) & (F.col("repos") >= SHARED_REPOS)))
 
 
 def _joined(found: Column) -> Column:

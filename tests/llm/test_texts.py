@@ -283,6 +283,20 @@ def test_redaction(spark):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
 
 
+def test_a_string_of_one_owner_stays_live(spark):
+    own, two, wide = "Zx81QpLm92VbNc47TyRe56Wq", "Rt5Yu8Io2Pa9Sd4Fg7Hj1Kl3", "Qm6Wn3Eb8Rv1Tc5Yx9Uz2Ia7"
+    rows = [(3 * k, f"page {k % 6} key {own} end") for k in range(12)]  # one owner, every text twice
+    rows += [(100 + k, f"page {k} key {two} end") for k in range(12) if (100 + k) % 3] + [(200 + k, f"page {k} key {wide} end") for k in range(3)]
+    docs = frame(spark, rows).selectExpr("*", "length(text) AS n_chars", "'repo' || doc_id AS home")
+    generic = {r.doc_id: (r.spans.startswith("generic"), r.n_live) for r in secret_scan.secret_report(docs.drop("n_chars")).collect()}
+    assert generic == {k: (k < 200, int(k < 200)) for k, _ in rows}
+    text = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all(("[generic]" in text[k]) == (k < 200) and own not in text[k] for k, _ in rows)
+    more = rows + [(112 + k, f"page {k} key {two} end") for k in range(12) if (112 + k) % 3]  # two owners, 16 repositories
+    named = {r.doc_id: bool(r.spans) for r in secret_scan.secret_report(frame(spark, more).selectExpr("*", "'repo' || doc_id AS home"), repo="home").collect()}
+    assert named == {k: k < 100 for k, _ in more}
+
+
 def near_sets():
     rng = random.Random(8)
     vocab = [f"w{k}" for k in range(400)]
