@@ -16,7 +16,7 @@ from tesserae.llm._common import reachable, shared_dir
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     reachable(spark)
-    return quality.quality_filter(docs)
+    return quality.quality_filter(docs, quality.CORPUS_RULES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,11 @@ class Document:
     def n_repeat_words(self) -> int:
         return repeated_words(self.words)
 
+    @cached_property
+    def n_stutters(self) -> int:
+        """Words equal to the one before."""
+        return sum(map(bytes.__eq__, self.words, self.words[1:]))
+
     @cached_property
     def n_shouts(self) -> int:
         return sum(w.endswith(b"!!") for w in self.words)
@@ -141,6 +146,10 @@ def _bare(d: Document) -> bool:
     return 100 * d.n_bare > 40 * d.n_words
 
 
+def _stutters(d: Document) -> bool:
+    return 100 * d.n_stutters > 20 * d.n_words
+
+
 #: Production rules. Thresholds leave a wide margin to running prose.
 RULES = (
     Rule("few_words", _few, base=True),
@@ -150,6 +159,8 @@ RULES = (
     Rule("shouting", _shouts),
     Rule("bare_marks", _bare),
 )
+#: Rules of the pipeline: those of the report, whose verdict its SQL fixes, and one for runs too short to repeat a window.
+CORPUS_RULES = (*RULES, Rule("stutter", _stutters))
 #: Documents measured to order the rules; only the order depends on them.
 SAMPLE_ROWS = 400
 

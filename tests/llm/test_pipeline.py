@@ -70,5 +70,14 @@ def test_stages(spark, folder, tmp_path):
     assert got == want
 
 
+def test_quality_stage_rejects_word_stutter(spark):
+    prose = " ".join(f"word{k}" for k in range(40))
+    stutter = " ".join(f"{w} " * n for w, n in (("This", 5), ("thhant", 8), ("quick", 7), ("This", 6), ("fox", 8)))
+    rows = [(1, prose), (2, stutter), (3, prose + " had had that that"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'src' AS source", "length(text) AS n_chars")
+    assert quality.repeated_words(stutter.encode().split()) == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == [1, 3]
+
+
 def test_run_is_the_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
