@@ -80,10 +80,10 @@ def run_sequences(spark: SparkSession, path: str, out: str, cutoffs: Sequence[st
     return summary(*tables.read_slices(spark, f"{out}/slices"))
 
 
-def run_model(spark: SparkSession, out: str, length: int = 100, k: int = 4, beta: float = 1.0, times: Sequence[float] = (0.05, 0.1, 0.5, 1.0), phi: Sequence[float] = (0.0, 0.0, -10.0, -10.0), samples: int = 117_207_232, mds_samples: int = 0, seed: int = 20260707) -> None:
-    """Exact distance and deficit laws and sampled persistence of all layers, and an embedding of sampled sequences, under ``out``."""
-    if length < 1 or k < 2 or len(phi) != k or beta <= 0 or min(times) < 0 or samples < 1:
-        raise ValueError("need a positive length, at least two symbols with a fitness each, a positive rate, times of at least 0, and samples")
+def run_model(spark: SparkSession, out: str, length: int = 100, k: int = 4, beta: float = 1.0, times: Sequence[float] = (0.05, 0.1, 0.5, 1.0), phi: Sequence[float] = (0.0, 0.0, -10.0, -10.0), samples: int = 117_207_232, mds_samples: int = 160, mds_n_init: int = 1, mds_max_iter: int = 500, seed: int = 20260707) -> None:
+    """Exact distance and deficit laws and sampled persistence of all layers, and an embedding a family of ``mds_samples`` sequences a layer, under ``out``."""
+    if length < 1 or k < 2 or len(phi) != k or beta <= 0 or min(times) < 0 or min(samples, mds_samples, mds_n_init, mds_max_iter) < 1:
+        raise ValueError("need a positive length, at least two symbols with a fitness each, a positive rate, times of at least 0, and samples, starts and steps")
     layers = laws.model_layers(spark, k, beta, times, phi)
     keys = ["family", "time"]
     laws.binomial_pmf(laws.mismatch(layers).drop("rho"), length).write.mode("overwrite").parquet(f"{out}/distance")
@@ -96,14 +96,16 @@ def run_model(spark: SparkSession, out: str, length: int = 100, k: int = 4, beta
         patterns, probs = zip(*sorted(rows))
         h = laws.model_persistence(spark, list(patterns), list(probs), length, samples, seed + 200_000 + 10_000 * i)
         h.select(F.lit(family).alias("family"), F.lit(float(t)).alias("time"), "*").write.mode("append" if i else "overwrite").parquet(f"{out}/persistence")
-    if mds_samples:
+    own_layers = layers.collect()  # ten rows
+    for f, family in enumerate(("JC", "HB")):
         points = None
-        for i, r in enumerate(layers.collect()):  # ten rows
-            s = draws.sequences(spark, list(r.rho), length, mds_samples, seed + i, "xx").select((F.col("t") + i * mds_samples).alias("pid"), F.col("symbols").alias("x"))
+        for i, r in enumerate(r for r in own_layers if r.family == family):
+            s = draws.sequences(spark, list(r.rho), length, mds_samples, seed + len(own_layers) * f + i, "xx").select((F.col("t") + i * mds_samples).alias("pid"), F.col("symbols").alias("x"))
             points = s if points is None else points.unionByName(s)
         own = space(points, "x", "hamming")
         ids = list(range(own.n_points))
-        mds.embed(spark, mds.square(distributions.all_pairs(own.points, own), ids), ids, seed=seed).write.mode("overwrite").parquet(f"{out}/embedding")
+        e = mds.embed(spark, mds.square(distributions.all_pairs(own.points, own), ids), ids, n_init=mds_n_init, max_iter=mds_max_iter, seed=seed)
+        e.select(F.lit(family).alias("family"), F.floor(F.col("pid") / mds_samples).cast("int").alias("layer_index"), "*").write.mode("append" if f else "overwrite").parquet(f"{out}/embedding")
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -126,7 +128,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     c.add_argument("--times", default="0.05,0.1,0.5,1.0")
     c.add_argument("--phi", default="0,0,-10,-10")
     c.add_argument("--persistence-samples", type=lambda s: int(float(s)), default=117_207_232)
-    c.add_argument("--mds-samples", type=int, default=0)
+    c.add_argument("--mds-samples", type=int, default=160, help="sequences a layer")
+    c.add_argument("--mds-n-init", type=int, default=1)
+    c.add_argument("--mds-max-iter", type=int, default=500)
     args = top.parse_args(argv)
     spark, began = SparkSession.builder.getOrCreate(), time.time()
     if args.job == "sequences":
@@ -137,7 +141,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         numbers = [[float(x) for x in text.split(",")] for text in (args.times, args.phi)]
         if not all(math.isfinite(x) for x in numbers[0]):
             raise SystemExit("times must be finite; the limit is always added")
-        run_model(spark, args.out, args.length, args.alphabet_size, args.beta, *numbers, args.persistence_samples, args.mds_samples)
+        run_model(spark, args.out, args.length, args.alphabet_size, args.beta, *numbers, args.persistence_samples, args.mds_samples, args.mds_n_init, args.mds_max_iter)
     print(f"done in {display_time(time.time() - began)}")
     return 0
 

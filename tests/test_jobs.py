@@ -37,3 +37,14 @@ def test_model_job(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "hyperbolicity")).select("family", "time").distinct().count() == 10
     assert {r.s for r in spark.read.parquet(str(tmp_path / "persistence")).groupBy("family", "time").agg(F.sum("cnt").alias("s")).collect()} == {300}
     assert spark.read.parquet(str(tmp_path / "embedding")).count() == 30
+
+
+def test_model_job_embeds_each_family_by_default(spark, tmp_path):
+    jobs.run_model(spark, str(tmp_path), length=12, samples=300)
+    got = spark.read.parquet(str(tmp_path / "embedding"))
+    counts = {(r.family, r.layer_index): r["count"] for r in got.groupBy("family", "layer_index").count().collect()}
+    assert counts == {(f, k): 160 for f in ("JC", "HB") for k in range(5)}
+    for f in ("JC", "HB"):
+        own = got.where(F.col("family") == f)
+        assert own.select("pid").distinct().count() == 800 and own.select("stress").distinct().count() == 1
+        assert all(abs(x) < 1e-6 for x in own.agg(F.avg("x0"), F.avg("x1")).first())
