@@ -1,6 +1,6 @@
 """Whole jobs: sequences to sliced histograms and their statistics, and model layers.
 
-``python -m tesserae.plans.jobs sequences | summary | model``. Each stage is
+``python -m tesserae.plans.jobs sequences | mds | summary | model``. Each stage is
 written once under the output folder and read from there by the next; a broken
 run is taken up where it stopped.
 """
@@ -80,6 +80,23 @@ def run_sequences(spark: SparkSession, path: str, out: str, cutoffs: Sequence[st
     return summary(*tables.read_slices(spark, f"{out}/slices"))
 
 
+def embed_forms(spark: SparkSession, out: str, accession: str | None = None, max_points: int = 50_000, n_init: int = 4, max_iter: int = 300, seed: int = 42) -> DataFrame:
+    """MDS of at most ``max_points`` prepared forms, that of ``accession`` always in: ``uid, x, y, stress, first_seen, is_reference``, also as CSV."""
+    records, forms = (spark.read.parquet(f"{out}/{name}") for name in ("records", "forms"))
+    pin = slices.reference_form(records, accession).first().uid if accession else None
+    if accession and pin is None:
+        print(f"no kept record of {accession}; embedded without it")
+    points = forms.select(F.col("uid").alias("pid"), pack_symbols(F.col("seq")).alias("x"))
+    s = space(points, F.col("x"), hamming_packed, check=False)
+    chosen = draws.subsample(s.points, max_points, seed, pin=pin)
+    ids = [r.pid for r in chosen.select("pid").orderBy("pid").collect()]
+    e = mds.embed(spark, mds.square(distributions.all_pairs(chosen, s), ids), ids, n_init=n_init, max_iter=max_iter, seed=seed)
+    own = e.select(F.col("pid").alias("uid"), F.col("x0").alias("x"), F.col("x1").alias("y"), "stress")
+    full = own.join(forms.select("uid", "first_seen"), "uid").withColumn("is_reference", F.col("uid").eqNullSafe(F.lit(pin)))
+    tables.write_embedding(full.orderBy("uid"), f"{out}/mds_embedding_max{max_points}")
+    return full
+
+
 def run_model(spark: SparkSession, out: str, length: int = 100, k: int = 4, beta: float = 1.0, times: Sequence[float] = (0.05, 0.1, 0.5, 1.0), phi: Sequence[float] = (0.0, 0.0, -10.0, -10.0), samples: int = 117_207_232, mds_samples: int = 160, mds_n_init: int = 1, mds_max_iter: int = 500, seed: int = 20260707) -> None:
     """Exact distance and deficit laws and sampled persistence of all layers, and an embedding a family of ``mds_samples`` sequences a layer, under ``out``."""
     if length < 1 or k < 2 or len(phi) != k or beta <= 0 or min(times) < 0 or min(samples, mds_samples, mds_n_init, mds_max_iter) < 1:
@@ -118,6 +135,10 @@ def main(argv: Sequence[str] | None = None) -> int:
     a.add_argument("--samples", type=lambda s: int(float(s)), help="quadruples a slice (from the accuracy by default)")
     a.add_argument("--theta", type=float, default=0.0005, help="largest gap share of a kept column")
     a.add_argument("--min-count", type=int, default=1, help="fewest records of a kept form")
+    e = jobs.add_parser("mds", help="embedding of the forms that the sequences job wrote")
+    e.add_argument("out")
+    e.add_argument("--reference", help="accession of a record whose form is always in")
+    e.add_argument("--max-points", type=int, default=50_000)
     b = jobs.add_parser("summary", help="statistics of written slices")
     b.add_argument("out")
     c = jobs.add_parser("model", help="laws and samples of substitution models")
@@ -135,6 +156,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     spark, began = SparkSession.builder.getOrCreate(), time.time()
     if args.job == "sequences":
         run_sequences(spark, args.fasta, args.out, args.cutoff, n_samples=args.samples, theta=args.theta, min_count=args.min_count).orderBy("cutoff").show(truncate=False)
+    elif args.job == "mds":
+        print(f"{embed_forms(spark, args.out, args.reference, args.max_points).count()} forms embedded")
     elif args.job == "summary":
         summary(*tables.read_slices(spark, f"{args.out}/slices")).orderBy("cutoff").show(truncate=False)
     else:

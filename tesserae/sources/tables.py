@@ -65,7 +65,7 @@ def read_slices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def write_embedding(embedding: DataFrame, path: str) -> None:
     """Coordinates with eight decimals as CSV, the rest as it is."""
     cells = [F.format_string("%.8f", F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in embedding.dtypes]
-    embedding.select(*cells).write.csv(path, header=True)
+    embedding.select(*cells).write.mode("overwrite").csv(path, header=True)
 
 
 def largest_run(runs: DataFrame, by: str = "max_points") -> DataFrame:

@@ -48,3 +48,24 @@ def test_model_job_embeds_each_family_by_default(spark, tmp_path):
         own = got.where(F.col("family") == f)
         assert own.select("pid").distinct().count() == 800 and own.select("stress").distinct().count() == 1
         assert all(abs(x) < 1e-6 for x in own.agg(F.avg("x0"), F.avg("x1")).first())
+
+
+def test_embedding_of_forms(spark, tmp_path, capsys):
+    rng, lines = np.random.default_rng(3), []
+    base = rng.choice(list("ACGT"), 60)
+    for k in range(30):
+        seq = np.where(rng.random(60) < 0.2, rng.choice(list("ACGT"), 60), base)
+        lines += [f">v/{k}|E{k:06d}|2021-01-{k + 1:02d}|x", "".join(seq)]
+    (tmp_path / "in.fasta").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    records, forms = jobs.prepare(spark, str(tmp_path / "in.fasta"), out)
+    first = {r.uid: r.first_seen for r in forms.collect()}
+    want = records.where("epi_isl = 'E000013'").first().uid
+    for size in (3, 12, 100):
+        got = jobs.embed_forms(spark, out, "E000013", max_points=size).collect()
+        assert len({r.uid for r in got}) == len(got) == min(size, len(first)) and all(r.first_seen == first[r.uid] for r in got)
+        assert [r.uid for r in got if r.is_reference] == [want]
+    assert spark.read.csv(f"{out}/mds_embedding_max12", header=True).columns == ["uid", "x", "y", "stress", "first_seen", "is_reference"]
+    assert not any(r.is_reference for r in jobs.embed_forms(spark, out, "none", max_points=5).collect())
+    jobs.main(["mds", out, "--reference", "E000013", "--max-points", "4"])
+    assert "4 forms embedded" in capsys.readouterr().out
