@@ -19,6 +19,12 @@ def test_query(spark, name):
         assert QUERIES[name](spark, DATA).count() > 0
 
 
+@needs_data
+def test_mds_covers_the_table(spark):
+    got = QUERIES["q47_mds_embedding"](spark, DATA).select("pid").distinct().count()
+    assert got == spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").distinct().count()
+
+
 @needs_data
 def test_entry(spark):
     import __spark_entry__ as e
