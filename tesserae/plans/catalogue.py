@@ -554,3 +554,27 @@ def q50_packed_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = F.exists(F.concat("s", "u"), lambda x: x == "-")
     d = F.when(gaps, metrics.hamming(F.col("s"), F.col("u"))).otherwise(metrics.hamming_packed(F.col("w"), F.col("v")))
     return own.join(other, "rec_no").groupBy(d.alias("v0")).agg(F.count("*").alias("cnt"))
+
+
+# The laws of q40 to q43 over all ten layers, both families and their limits; tested by enumeration.
+
+
+@query()
+def q51_binomial_pmf_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laws.binomial_pmf(laws.mismatch(laws.model_layers(spark)).select("family", "time", "p"), 100).select("family", "time", "value", F.round("prob", 10).alias("prob"))
+
+
+@query()
+def q52_pair_sum_law_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laws.pair_sum_law(laws.model_layers(spark)).withColumn("prob", F.round("prob", 12))
+
+
+@query()
+def q53_pattern_law_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laws.pattern_law(laws.model_layers(spark)).withColumn("prob", F.round("prob", 12))
+
+
+@query()
+def q54_hyperbolicity_exact_law_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = laws.hyperbolicity_law(laws.pair_sum_law(laws.model_layers(spark)), LENGTH, ["family", "time"])
+    return out.withColumn("prob", F.round(F.abs("prob"), 10))
