@@ -11,8 +11,11 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Distances = Mapping[tuple[int, int], Column]
 
@@ -141,9 +144,46 @@ def named(invariants: Invariant | Mapping[str, object] | Sequence[object], n: in
     return found
 
 
+def from_numpy(func: Callable[[np.ndarray], np.ndarray], width: int | None = None) -> Callable[[Distances], tuple[Column, ...]]:
+    """An invariant given by a function of condensed rows: an array (size, pairs) to one (size,) or (size, k), on Arrow batches.
+
+    ``width`` is k; by default the function is asked for it with two rows of ones.
+    """
+
+    def shaped(x: np.ndarray, k: int | None) -> np.ndarray:
+        out = np.asarray(func(x))
+        if out.ndim not in (1, 2) or len(out) != len(x) or k is not None and (1 if out.ndim == 1 else out.shape[1]) != k:
+            raise TypeError(f"the function must give {k or 'a fixed number of'} values a row; {len(x)} rows gave the shape {out.shape}")
+        return out.astype(np.float64).reshape(len(x), -1)
+
+    def values(d: Distances) -> tuple[Column, ...]:
+        k = width or shaped(np.ones((2, len(d))), None).shape[1]
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def rows(x: pd.Series) -> pd.Series:
+            return pd.Series(list(shaped(np.stack(x.to_numpy()), k)) if len(x) else [], dtype=object)
+
+        found = rows(F.array(*d.values()))
+        return tuple(F.get(found, F.lit(j)) for j in range(k))
+
+    values.__name__ = getattr(func, "__name__", "f")
+    return values
+
+
 def values_of(f: object, distances: Distances) -> tuple[Column, ...]:
-    """Values of an ``Invariant``, or of a plain function of all distance columns."""
-    out = f.values(distances) if isinstance(f, Invariant) else f(distances)
+    """Values of an ``Invariant``, of a function of all distance columns, or of a NumPy function of condensed rows."""
+    if isinstance(f, Invariant):
+        return _columns(f.values(distances))
+    try:
+        return _columns(f(distances))
+    except Exception as first:  # not a function of columns: NumPy functions raise all kinds of errors on them
+        try:
+            return _columns(from_numpy(f)(distances))
+        except Exception:
+            raise TypeError("an invariant must give columns from the distance columns, or values from an array of distance rows") from first
+
+
+def _columns(out: object) -> tuple[Column, ...]:
     out = out if isinstance(out, tuple) else (out,)
     if not out or not all(isinstance(c, Column) for c in out):
         raise TypeError("an invariant must give a column, or a tuple of columns")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import distance_name, pairs, vr_persistence
 from tesserae.functions.numeric import normal_cdf_column
-from tesserae.operators.draws import WORD
+from tesserae.operators.draws import WORD, hex_word
 
 
 def jc_law(t: float, k: int, beta: float = 1.0, start: int = 0) -> list[float]:
@@ -215,7 +215,7 @@ def model_persistence(spark: SparkSession, patterns: list[tuple[int, ...]], prob
         for p in probabilities[:-1]:
             total += p / sum(probabilities)
             edges.append(F.lit(total))
-        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"), F.col("site").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(float(WORD))
+        u = hex_word(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("t").cast("string"), F.col("site").cast("string")))) / F.lit(float(WORD))
         sites = spark.range(0, samples, 1, partitions or spark.sparkContext.defaultParallelism).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("site"))
         index = F.aggregate(F.array(*edges), F.lit(1), lambda s, e: s + F.when(u >= e, 1).otherwise(0))
         cells = [F.element_at(F.array(*(F.lit(float(p[k])) for p in patterns)), index) for k in range(6)]

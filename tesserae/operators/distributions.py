@@ -3,19 +3,27 @@
 One plan serves any number of invariants: draws, one lookup a needed point,
 distances as columns, one ``stack`` of tagged values, one aggregation. Slots no
 invariant reads are never drawn or joined.
+
+Points within the broadcast bound are looked up slot by slot. Larger tables are
+met once: the ids of all slots become rows, join the points, and meet again by
+tuple, so each coordinate array travels once. Points that hold a large share of
+a measure would pile up in one task; those few are sent to all executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import Invariant, distance_columns, distance_name, named, pairs, values_of
 from tesserae.functions.numeric import rounded
 from tesserae.operators.draws import checked, tuples
-from tesserae.operators.space import Space
+from tesserae.operators.space import BROADCAST_BYTES, Space
 
 #: Rows of distances collected to the driver are refused beyond this.
 MAX_BYTES = 4 << 30
@@ -31,14 +39,34 @@ def with_distances(space: Space, drawn: DataFrame, n: int, wanted: Sequence[tupl
             own = space.lookup(space.distances.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("d").alias(name)), space.n_points**2, 32)
             out = out.join(own, (out[f"i{a}"] == own["_i"]) & (out[f"i{b}"] == own["_j"])).drop("_i", "_j")
         return out
-    out = drawn
-    for k in sorted({k for p in wanted for k in p}):
+    used = sorted({k for p in wanted for k in p})
+    out = drawn if space.small() else _gathered(space, drawn, used)
+    for k in used if space.small() else ():
         own = space.lookup(space.points.select(F.col("pid").alias("_pid"), F.col("x").alias(f"_x{k}")))
         out = out.join(own, out[f"i{k}"] == own["_pid"]).drop("_pid")
     metric = space.metric
     return out.select(*drawn.columns, *(metric(F.col(f"_x{a}"), F.col(f"_x{b}")).alias(distance_name(a, b)) for a, b in wanted))
 
 
+#: At most so many of the heaviest points are sent to all executors when the rest is shuffled.
+HEAVY = 1024
+
+
+def _gathered(space: Space, drawn: DataFrame, used: Sequence[int]) -> DataFrame:
+    """``drawn`` with the coordinates of the slots ``used`` as ``_x<k>``, through one join of all slots."""
+    slots = F.array(*(F.struct(F.lit(k).alias("_k"), F.col(f"i{k}").alias("_pid")) for k in used))
+    asked = drawn.select("t", F.inline(slots))
+    points = space.points.select(F.col("pid").alias("_pid"), F.col("x").alias("_x"))
+    if space.weighted:
+        most = max(1, min(HEAVY, BROADCAST_BYTES // space.point_bytes))
+        total = space.points.agg(F.sum("weight")).first()[0]
+        heavy = F.broadcast(space.points.where(F.col("weight") * most >= F.lit(total)).select(F.col("pid").alias("_pid"), F.col("x").alias("_x")))
+        met = asked.join(heavy, "_pid").unionByName(asked.join(F.broadcast(heavy.select("_pid")), "_pid", "left_anti").join(points, "_pid"))
+    else:
+        met = asked.join(points, "_pid")
+    return drawn.join(met.groupBy("t").agg(*(F.first(F.when(F.col("_k") == k, F.col("_x")), ignorenulls=True).alias(f"_x{k}") for k in used)), "t")
+
+
 def sample_tuples(space: Space, n: int, n_samples: int, seed: int = 0, mode: str = "xx", start: int = 0, partitions: int | None = None) -> DataFrame:
     """Tuples with all their distances: ``t, i0.., d01..``, lazily; arguments are checked at once."""
     n, n_samples = checked(n, n_samples)
@@ -68,13 +96,17 @@ def tagged_values(rows: DataFrame, found: list[tuple[str, object]], n: int, deci
     distances = distance_columns(n)
     values = {name: values_of(f, distances) for name, f in found}
     width = max(map(len, values.values()))
+    # Values first, tags after: functions that run in Python can't stand inside a generator.
+    names = {(name, k): f"_v{j}_{k}" for j, (name, own) in enumerate(values.items()) for k in range(len(own))}
+    rows = rows.select(*(rounded(own[k].cast("double"), decimals).alias(names[name, k]) for name, own in values.items() for k in range(len(own))))
+
+    def cell(name: str, k: int) -> F.Column:
+        return F.col(names[name, k]) if (name, k) in names else F.lit(None).cast("double")
+
     if len(values) == 1:
-        ((name, own),) = values.items()
-        return rows.select(F.lit(name).alias("invariant"), *((rounded(own[k].cast("double"), decimals) if k < len(own) else F.lit(None).cast("double")).alias(f"v{k}") for k in range(width)))
-    cells = []
-    for name, own in values.items():
-        cells.append(F.lit(name))
-        cells += [rounded(own[k].cast("double"), decimals) if k < len(own) else F.lit(None).cast("double") for k in range(width)]
+        (name,) = values
+        return rows.select(F.lit(name).alias("invariant"), *(cell(name, k).alias(f"v{k}") for k in range(width)))
+    cells = [c for name in values for c in (F.lit(name), *(cell(name, k) for k in range(width)))]
     return rows.select(F.stack(F.lit(len(values)), *cells).alias("invariant", *(f"v{k}" for k in range(width))))
 
 
@@ -106,24 +138,60 @@ def distribution(space: Space, invariant: object, n: int, n_samples: int, **opti
     return distributions(space, [invariant] if isinstance(invariant, Invariant) else {"f": invariant}, n, n_samples, **options).drop("invariant")
 
 
-def all_pairs(points: DataFrame, space: Space) -> DataFrame:
-    """Distances ``i, j, d`` of all pairs i < j of a small table of points, such as a subsample."""
-    a = points.select(F.col("pid").alias("i"), F.col("x").alias("_a"))
-    b = points.select(F.col("pid").alias("j"), F.col("x").alias("_b"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", space.metric(F.col("_a"), F.col("_b")).alias("d"))
+def ordered(histogram: DataFrame) -> DataFrame:
+    """A histogram by invariant and value, pairs of values in lexicographic order."""
+    return histogram.orderBy(*(c for c in histogram.columns if c == "invariant"), *(c for c in histogram.columns if c.startswith("v")))
 
 
-def sharded_hamming(drawn: DataFrame, blocks: DataFrame, wanted: Sequence[tuple[int, int]]) -> DataFrame:
-    """Hamming distances of wide points that are stored in column blocks ``pid, blk, word`` of packed symbols.
+def batch_histogram(rows: DataFrame, f: Callable[[np.ndarray], Mapping], n: int, width: int = 1, square: bool = False) -> DataFrame:
+    """Histogram from a callback on batches of distance rows ``d01, d02, ...`` of n points: ``v0, .., cnt``.
 
-    Distances add up over blocks: each pair of a tuple meets block by block and
-    is summed, so no row holds a whole point and each needed point is read once a pair.
+    ``f`` gets an array of condensed rows (size, n (n - 1) / 2), or of symmetric
+    matrices (size, n, n) if ``square``, and gives counts by value, values of
+    ``width`` > 1 numbers as tuples. Counts of all batches are added up.
+    """
+    names = [distance_name(*p) for p in pairs(n)]
+    fields = [f"v{k}" for k in range(width)]
+    upper = np.triu_indices(n, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([b.column(c).to_numpy() for c in names], axis=1)
+            if square:
+                whole = np.zeros((len(x), n, n))
+                whole[:, upper[0], upper[1]] = whole[:, upper[1], upper[0]] = x
+                x = whole
+            found = f(x)
+            keys = [k if isinstance(k, tuple) else (k,) for k in found]
+            if any(len(k) != width for k in keys):
+                raise TypeError(f"the callback must give values of {width} numbers")
+            if sum(found.values()) != b.num_rows:
+                raise ValueError("the callback must count each row once")
+            yield pa.RecordBatch.from_arrays([*(pa.array([float(k[j]) for k in keys], pa.float64()) for j in range(width)), pa.array([int(c) for c in found.values()], pa.int64())], names=[*fields, "cnt"])
+
+    parts = rows.select(*names).mapInArrow(run, ", ".join(f"{c} double" for c in fields) + ", cnt long")
+    return parts.groupBy(*fields).agg(F.sum("cnt").cast("long").alias("cnt"))
+
+
+#: Points in a block of ``all_pairs``; there are at least ``MIN_BLOCKS`` blocks.
+PAIR_BLOCK, MIN_BLOCKS = 1024, 8
+
+
+def all_pairs(points: DataFrame, space: Space, n_points: int | None = None) -> DataFrame:
+    """Distances ``i, j, d`` of all pairs i < j of a table of points, such as a subsample.
+
+    Points are dealt to blocks, and each pair of blocks is a key of its own, so
+    the pairs are made by many tasks and nothing is broadcast. ``n_points`` is
+    counted if not given.
     """
-    ends = F.array(*(F.struct(F.lit(distance_name(a, b)).alias("pair"), F.col(f"i{a}").alias("a"), F.col(f"i{b}").alias("b")) for a, b in wanted))
-    asked = drawn.select("t", F.inline(ends))
-    x = blocks.select(F.col("pid").alias("a"), "blk", F.col("word").alias("x"))
-    y = blocks.select(F.col("pid").alias("b"), "blk", F.col("word").alias("y"))
-    d = F.col("x").bitwiseXOR(F.col("y"))
-    bits = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    met = asked.join(x, "a").join(y, ["b", "blk"]).groupBy("t", "pair").agg(F.sum(bits).cast("double").alias("d"))
-    return met.groupBy("t").pivot("pair", [distance_name(a, b) for a, b in wanted]).agg(F.first("d"))
+    n = points.count() if n_points is None else n_points
+    blocks = max(MIN_BLOCKS, math.ceil(n / PAIR_BLOCK))
+    own = points.select(F.col("pid"), "x", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("b"))
+    with_other = own.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keyed = with_other.select(F.least("b", "w").alias("lo"), F.greatest("b", "w").alias("hi"), "b", "pid", "x")
+    a = keyed.select("lo", "hi", F.col("b").alias("_p"), F.col("pid").alias("i"), F.col("x").alias("_a"))
+    b = keyed.select("lo", "hi", F.col("b").alias("_q"), F.col("pid").alias("j"), F.col("x").alias("_b"))
+    met = a.join(b.hint("shuffle_hash"), ["lo", "hi"]).where((F.col("i") < F.col("j")) & ((F.col("lo") == F.col("hi")) | (F.col("_p") != F.col("_q"))))
+    return met.select("i", "j", space.metric(F.col("_a"), F.col("_b")).alias("d"))

@@ -1,7 +1,9 @@
 """Running totals and dense numbers of whole tables, without one task that sees all rows.
 
-Rows are grouped into strides of a long key; totals of strides are summed over
-the small stride table, and the rest happens within each stride.
+Rows are dealt to strides; totals of strides are summed over the small stride
+table, and the rest happens within each stride. Keys that are nearly dense are
+cut at fixed places; others by Spark's range partitioning, written once so
+that every later step sees the same strides.
 """
 
 from __future__ import annotations
@@ -9,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.shared import stored
+
 STRIDE = 1 << 16
 
 
-def running_total(df: DataFrame, key: str, value: Column, name: str, stride: int = STRIDE) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all rows of smaller ``key`` (a long; distinct)."""
-    rows = df.withColumn("_stride", F.floor(F.col(key) / stride)).withColumn("_value", value)
+def _totals(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``_stride`` and ``_value`` to running sums ``name`` of the values of smaller keys."""
     sums = rows.groupBy("_stride").agg(F.sum("_value").alias("_sum"))
     before = sums.withColumn("_base", F.sum("_sum").over(Window.orderBy("_stride").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
     within = F.sum("_value").over(Window.partitionBy("_stride").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
@@ -23,6 +26,18 @@ def running_total(df: DataFrame, key: str, value: Column, name: str, stride: int
     return out.withColumn(name, F.col("_within") + F.coalesce("_base", zero)).drop("_stride", "_value", "_within", "_base")
 
 
-def dense_index(df: DataFrame, key: str, name: str = "pid", stride: int = STRIDE) -> DataFrame:
-    """Add ``name``: 0, 1, ... in the order of the distinct long ``key``."""
-    return running_total(df, key, F.lit(1).cast("long"), name, stride)
+def running_total(df: DataFrame, key: str, value: Column, name: str, stride: int = STRIDE) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows of smaller ``key`` (a nearly dense long; distinct)."""
+    return _totals(df.withColumn("_stride", F.floor(F.col(key) / stride)).withColumn("_value", value), key, name)
+
+
+def ranged_total(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """``running_total`` for any sortable distinct key: each stride is one range partition. ``df`` is written once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.withColumn("_value", value).repartitionByRange(n, key).withColumn("_stride", F.spark_partition_id()), "ranges")
+    return _totals(rows, key, name)
+
+
+def dense_index(df: DataFrame, key: str, name: str = "pid") -> DataFrame:
+    """Add ``name``: 0, 1, ... in the order of the distinct ``key``."""
+    return ranged_total(df, key, F.lit(1).cast("long"), name)

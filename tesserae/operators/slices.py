@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from tesserae.operators.ordering import dense_index
 
 
-#: Cutoffs are sent to all executors and refused beyond this.
-MAX_CUTOFFS = 10_000
-
-
 def deduplicated(records: DataFrame, keys: Sequence[str], rec_no: str = "rec_no", min_count: int = 1, date: str | None = None) -> DataFrame:
     """Distinct ``keys`` with ``multiplicity``, first record, and a dense ``uid`` in the order of first occurrence.
 
@@ -34,6 +30,15 @@ def tagged(records: DataFrame, forms: DataFrame, keys: Sequence[str]) -> DataFra
     return records.join(own, cond).select(*records.columns, "uid")
 
 
+def dated_counts(records: DataFrame, forms: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """``uid, <date>, cnt``: how many records of each form bear each date.
+
+    Records are counted before they meet their forms, so a form with a large
+    share of all records is a few rows by then.
+    """
+    return tagged(records.groupBy(*keys, date).agg(F.count("*").alias("cnt")), forms, keys).select("uid", date, "cnt")
+
+
 def first_seen(records: DataFrame, uid: str = "uid", date: str = "date") -> DataFrame:
     """Least date by form; a form without any date is an error."""
     least = records.groupBy(uid).agg(F.min(date).alias("first_seen"))
@@ -41,21 +46,32 @@ def first_seen(records: DataFrame, uid: str = "uid", date: str = "date") -> Data
     return least.withColumn("first_seen", F.coalesce("first_seen", undated.cast(least.schema["first_seen"].dataType)))
 
 
-def cumulative_slices(records: DataFrame, cutoffs: DataFrame, uid: str = "uid", date: str = "date") -> DataFrame:
+def _next_cutoff(days: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``_date, _at``: for each day of ``days`` the first cutoff not before it; null after the last one.
+
+    Both are calendar days, of which there are fewer than four million in all,
+    so one window over the distinct ones and a broadcast of the result are bounded.
+    """
+    ends = cutoffs.select(F.col("cutoff").cast("date").alias("_date"), F.col("cutoff").cast("date").alias("_at"))
+    both = days.select(F.col("_date").cast("date").alias("_date"), F.lit(None).cast("date").alias("_at")).unionByName(ends).groupBy("_date").agg(F.max("_at").alias("_at"))
+    on = Window.orderBy("_date").rowsBetween(0, Window.unboundedFollowing)
+    return both.where("_date IS NOT NULL").withColumn("_at", F.first("_at", ignorenulls=True).over(on))
+
+
+def cumulative_slices(records: DataFrame, cutoffs: DataFrame, uid: str = "uid", date: str = "date", cnt: str | None = None) -> DataFrame:
     """Counts of each form among the records dated up to each cutoff: ``cutoff, uid, weight``.
 
-    Records count once at the first cutoff not before their date; sums over
-    cutoffs follow, so no record is repeated for each slice. Undated ones and
-    those after the last cutoff are in no slice. ``cutoffs`` is a short table.
+    Dates and cutoffs are calendar days. Records count once at the first cutoff
+    not before their date; sums over cutoffs follow, so no record is repeated
+    for each slice. Undated ones and those after the last cutoff are in no
+    slice. ``cnt``: a column of how many records a row stands for.
     """
-    ends = cutoffs.select("cutoff").distinct()
-    if ends.limit(MAX_CUTOFFS + 1).count() > MAX_CUTOFFS:
-        raise ValueError(f"more than {MAX_CUTOFFS} cutoffs")
-    nodes = ends.withColumn("_from", F.lag("cutoff").over(Window.orderBy("cutoff")))
-    when = records.select(uid, F.col(date).alias("_date")).where(F.col("_date").isNotNull())
-    new = when.groupBy(uid, "_date").agg(F.count("*").alias("_new"))
-    new = new.join(F.broadcast(nodes), (F.col("_date") <= F.col("cutoff")) & (F.col("_from").isNull() | (F.col("_date") > F.col("_from")))).groupBy(uid, "cutoff").agg(F.sum("_new").alias("_new"))
-    later = new.select(uid, F.col("cutoff").alias("_at"), "_new").join(F.broadcast(ends), F.col("cutoff") >= F.col("_at"))
+    ends = cutoffs.select(F.col("cutoff").cast("date").alias("cutoff")).distinct()
+    when = records.select(uid, F.col(date).cast("date").alias("_date"), (F.col(cnt) if cnt else F.lit(1)).cast("long").alias("_n")).where(F.col("_date").isNotNull())
+    new = when.groupBy(uid, "_date").agg(F.sum("_n").alias("_new"))
+    at = _next_cutoff(new.select("_date").distinct(), ends).where("_at IS NOT NULL")
+    new = new.join(F.broadcast(at), "_date").groupBy(uid, "_at").agg(F.sum("_new").alias("_new"))
+    later = new.join(F.broadcast(ends), F.col("cutoff") >= F.col("_at"))
     return later.groupBy("cutoff", uid).agg(F.sum("_new").cast("long").alias("weight"))
 
 
@@ -70,10 +86,11 @@ def slice_measure(slices: DataFrame) -> DataFrame:
 
 
 def first_slice(forms: DataFrame, cutoffs: DataFrame, date: str = "first_seen") -> DataFrame:
-    """Add ``slice``: the first cutoff not before ``date``, or else the last one."""
-    ends = F.broadcast(cutoffs.agg(F.array_sort(F.collect_set("cutoff")).alias("_ends")))
-    later = F.filter("_ends", lambda c: c >= F.col(date))
-    return forms.crossJoin(ends).withColumn("slice", F.coalesce(F.get(later, F.lit(0)), F.element_at("_ends", -1))).drop("_ends")
+    """Add ``slice``: the first cutoff not before ``date`` (both calendar days), or else the last one; null without a date."""
+    day = F.col(date).cast("date")
+    last = cutoffs.agg(F.max(F.col("cutoff").cast("date")).alias("_last"))
+    at = _next_cutoff(forms.select(day.alias("_date")).distinct(), cutoffs).join(F.broadcast(last)).select("_date", F.coalesce("_at", "_last").alias("slice"))
+    return forms.withColumn("_date", day).join(F.broadcast(at), "_date", "left").drop("_date").select(*forms.columns, "slice")
 
 
 def reference_form(records: DataFrame, accession: str, column: str = "epi_isl") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.metrics import Metric, hamming_fields, resolve
+from tesserae.sources.shared import stored
 
 #: Points are sent to all executors up to this size, a shuffle join serves larger spaces.
 BROADCAST_BYTES = 64 << 20
@@ -34,6 +35,8 @@ class Space:
     weighted: bool = False
     distances: DataFrame | None = field(default=None, repr=False)
     point_bytes: int = 64
+    #: The cumulative intervals of the weights, once some draw has made them.
+    cut: list = field(default_factory=list, repr=False, compare=False)
 
     @property
     def spark(self):  # noqa: ANN201
@@ -75,6 +78,8 @@ def space(df: DataFrame, coords: str | Column | Sequence[str], metric: str | Met
 
     ``coords``: a column, or names of scalar columns; several names with the
     metric "hamming" are compared field by field, with "euclidean" as an array.
+    Weighted points are written to the shared folder once, since the checks,
+    the intervals and every slot read them.
     """
     if isinstance(coords, (str, Column)):
         x = F.col(coords) if isinstance(coords, str) else coords
@@ -89,6 +94,8 @@ def space(df: DataFrame, coords: str | Column | Sequence[str], metric: str | Met
     if weight:
         columns.append(F.col(weight).alias("weight"))
     points = df.select(*columns)
+    if weight:
+        points = stored(points, "points")
     if check and weight:
         r = points.agg(F.sum("weight").alias("s"), F.count_if((F.col("weight") < 0) | F.col("weight").isNull()).alias("bad")).first()
         if r.bad or not (r.s or 0) > 0:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +14,8 @@ from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTAN
 from tesserae.operators import alignment, distributions, draws, histograms, mds, slices
 from tesserae.operators.space import Space, precomputed, space
 from tesserae.plans import sql
+from tesserae.sources.shared import shipped
 
-ROOT = str(Path(__file__).resolve().parents[2])
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,8 +25,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Python workers import this package from where the driver has it.
-            spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+            shipped(spark)
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
@@ -173,8 +171,8 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_sql(seed: int, n: int, samples: int, where: str = "true") -> str:
     cdf = f"cdf AS (SELECT pid, sum(w) OVER (ORDER BY pid) - w AS lo, sum(w) OVER (ORDER BY pid) AS hi FROM (SELECT uid AS pid, count(*) AS w FROM lineitem JOIN forms USING ({KEY}) WHERE {where} GROUP BY uid))"
     picks = " ".join(f"JOIN cdf c{k} ON u{k} >= c{k}.lo AND u{k} < c{k}.hi" for k in range(n))
-    us = ", ".join(f"{sql.word(seed, k)} % (SELECT max(hi) FROM cdf) AS u{k}" for k in range(n))
-    return f"{cdf}, drawn AS (SELECT t, {', '.join(f'c{k}.pid AS i{k}' for k in range(n))} FROM (SELECT t, {us} FROM range({samples}) r(t)) {picks})"
+    us = ", ".join(f"{sql.reduced(seed, k, 'size')} AS u{k}" for k in range(n))
+    return f"{cdf}, drawn AS (SELECT t, {', '.join(f'c{k}.pid AS i{k}' for k in range(n))} FROM (SELECT t, {us} FROM range({samples}) r(t), (SELECT max(hi)::BIGINT AS size FROM cdf)) {picks})"
 
 
 WEIGHTED = 20_000
@@ -193,8 +191,7 @@ def q13_dedup_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FORMS_SQL} SELECT uid::BIGINT AS uid, first_seen FROM forms")
 def q14_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = slices.tagged(lineitems(spark, sf_dir), kinds(spark, sf_dir), KIND)
-    return slices.first_seen(records)
+    return slices.first_seen(slices.dated_counts(lineitems(spark, sf_dir), kinds(spark, sf_dir), KIND))
 
 
 def ends(spark: SparkSession) -> DataFrame:
@@ -203,8 +200,8 @@ def ends(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {FORMS_SQL} SELECT cutoff, uid::BIGINT AS uid, count(*) AS weight FROM lineitem JOIN forms USING ({KEY}), {CUTOFFS_SQL} WHERE l_shipdate::DATE <= cutoff GROUP BY 1, 2")
 def q15_date_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = slices.tagged(lineitems(spark, sf_dir), kinds(spark, sf_dir), KIND)
-    return slices.cumulative_slices(records, ends(spark))
+    counts = slices.dated_counts(lineitems(spark, sf_dir), kinds(spark, sf_dir), KIND)
+    return slices.cumulative_slices(counts, ends(spark), cnt="cnt")
 
 
 _KINDS_SQL = f"(SELECT uid AS pid, {KEY} FROM forms)"
@@ -504,7 +501,7 @@ def q44_clt_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Ten patterns of four points over two symbols with equal chances, up to exchange; eight of them differ.
 _TWO = sorted({tuple(int(s[a] != s[b]) for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))) for s in [(w & 1, w >> 1 & 1, w >> 2 & 1, w >> 3) for w in range(16)]})
 _MODEL, _SITES = 3000, 20
-_SITE = "('0x' || substr(md5('31:' || t || ':' || site), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_SITE = f"('0x' || substr(md5('31:' || t || ':' || site), 1, 15))::BIGINT / {float(1 << 60)!r}::DOUBLE"
 _CASES = [f"sum([{', '.join(str(p[k]) for p in _TWO)}][1 + floor(u * {len(_TWO)})::INT])::DOUBLE AS d{a}{b}" for k, (a, b) in enumerate(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))]
 
 

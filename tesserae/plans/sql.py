@@ -5,14 +5,23 @@ from __future__ import annotations
 from tesserae.functions.invariants import distance_name, pairs
 
 
-def word(seed: int, slot: int, t: str = "t") -> str:
-    return f"('0x' || substr(md5('{seed}:' || {t} || ':{slot // 4}'), {8 * (slot % 4) + 1}, 8))::BIGINT"
+def word(seed: int, slot: int, t: str = "t", again: int = 0) -> str:
+    """60 bits for a slot of tuple ``t``; ``again``: of a further try."""
+    more = f" || ':{again}'" if again else ""
+    return f"('0x' || substr(md5('{seed}:' || {t} || ':{slot // 2}'{more}), {16 * (slot % 2) + 1}, 15))::BIGINT"
+
+
+def reduced(seed: int, slot: int, size: str, t: str = "t") -> str:
+    """Uniform on [0, size): words beyond the largest multiple of ``size`` are drawn anew, three words in all."""
+    limit = f"({1 << 60}::BIGINT - {1 << 60}::BIGINT % ({size}))"
+    tries = " ".join(f"WHEN {word(seed, slot, t, k)} < {limit} THEN {word(seed, slot, t, k)}" for k in range(2))
+    return f"(CASE {tries} ELSE {word(seed, slot, t, 2)} END % ({size}))"
 
 
 def uniform(seed: int, n: int, samples: int, size: str, start: int = 0) -> str:
     """Tuples of uniform draws; ``size``: SQL of the number of points."""
-    cols = ", ".join(f"{word(seed, k)} % ({size}) AS i{k}" for k in range(n))
-    return f"SELECT t, {cols} FROM range({start}, {start + samples}) r(t)"
+    cols = ", ".join(f"{reduced(seed, k, 'size')} AS i{k}" for k in range(n))
+    return f"SELECT t, {cols} FROM range({start}, {start + samples}) r(t), (SELECT ({size})::BIGINT AS size)"
 
 
 def joined(draws: str, points: str, used: list[int]) -> str:

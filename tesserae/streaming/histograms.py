@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import Invariant, named
 from tesserae.operators.distributions import histogram, tagged_values, with_distances
-from tesserae.operators.draws import words
+from tesserae.operators.draws import uniform_words
 from tesserae.operators.space import Space
 
 
@@ -24,7 +24,7 @@ def streamed_distributions(numbers: DataFrame, space: Space, invariants: Mapping
         raise ValueError("streamed draws are uniform")
     found = named(invariants, n)
     used = max(f.n if isinstance(f, Invariant) else n for _, f in found)
-    drawn = numbers.select(F.col("t").cast("long").alias("t")).select("t", *((w % F.lit(space.n_points)).alias(f"i{k}") for k, w in enumerate(words(seed, used, "xx"))))
+    drawn = numbers.select(F.col("t").cast("long").alias("t")).select("t", *(w.alias(f"i{k}") for k, w in enumerate(uniform_words(seed, used, "xx", space.n_points))))
     return histogram(tagged_values(with_distances(space, drawn, used), found, used, decimals))
 
 

@@ -118,11 +118,66 @@ def test_plan_reads_only_needed_slots(symbols):
     assert plan.count("Join") == 2
 
 
-def test_sharded_distances(spark, symbols):
-    blocks = spark.createDataFrame([(k, b, int(sum(int(s) << 2 * i for i, s in enumerate(row[8 * b : 8 * b + 8])))) for k, row in enumerate(SYMBOLS) for b in range(4)], "pid long, blk int, word long")
-    drawn = draws.tuples(symbols, 3, 0, 200, 2)
-    got = {tuple(r) for r in distributions.sharded_hamming(drawn, blocks, [(0, 1), (1, 2)]).collect()}
-    assert got == {tuple(r) for r in distributions.with_distances(symbols, drawn, 3, [(0, 1), (1, 2)]).select("t", "d01", "d12").collect()}
+def test_points_beyond_the_broadcast_bound(spark, symbols, monkeypatch):
+    """The plan for large tables gives the distances of the one for small tables, heavy points included."""
+    w = [1000] * 2 + [1] * 58
+    heavy = space(spark.createDataFrame([(k, v.tolist(), c) for k, (v, c) in enumerate(zip(SYMBOLS, w))], "pid long, x array<int>, w long"), "x", "hamming", weight="w")
+    want = [counts(distributions.distributions(s, ALL, 4, 1500, 7)) for s in (symbols, heavy)]
+    monkeypatch.setattr("tesserae.operators.space.BROADCAST_BYTES", 1)
+    monkeypatch.setattr("tesserae.operators.distributions.BROADCAST_BYTES", 1 << 12)
+    assert [counts(distributions.distributions(s, ALL, 4, 1500, 7)) for s in (symbols, heavy)] == want
+
+
+@pytest.mark.parametrize("total", [2**31 + 12345, 2**32, 3 * 2**32 + 7, 2**34, 2**45 + 1])
+@pytest.mark.parametrize("mode", ["xx", "md5"])
+def test_draws_are_uniform_at_any_total(spark, mode, total):
+    """Chi-square over ten equal parts, and numbers beyond 2^32 are reached."""
+    t, n = spark.range(40_000).withColumnRenamed("id", "t"), 2
+    cells = t.select(F.explode(F.array(*draws.uniform_words(5, n, mode, total))).alias("u"))
+    r = cells.agg(F.max("u"), F.min("u")).first()
+    assert 0 <= r[1] and r[0] < total and r[0] > 0.999 * total
+    got = np.zeros(10)
+    for k, c in cells.groupBy(F.floor(F.col("u").cast("double") * 10 / float(total)).cast("int").alias("k")).count().collect():
+        got[min(k, 9)] += c
+    assert ((got - 8000) ** 2 / 8000).sum() < 33.7  # 1e-4
+
+
+@pytest.mark.parametrize("mode", draws.MODES)
+@pytest.mark.parametrize("weight", [1_500_000_000, 4_000_000_000, 1 << 40])
+def test_large_weights_are_drawn_by_share(spark, mode, weight):
+    df = spark.createDataFrame([(0, 0, weight), (1, 1, weight), (2, 2, 2 * weight)], "pid long, x int, w long")
+    s = space(df, "x", "hamming", weight="w")
+    got = {r.i0: r["count"] for r in draws.tuples(s, 2, 0, 20_000, 9, mode).groupBy("i0").count().collect()}
+    assert all(abs(got[k] - 20_000 * p) < 5 * (20_000 * p * (1 - p)) ** 0.5 for k, p in enumerate((0.25, 0.25, 0.5))), got
+
+
+def test_words_beyond_the_last_multiple_are_drawn_anew(spark):
+    total = 3 << 56  # a plain remainder of 60 bits would give the first third 0.375
+    u = spark.range(30_000).withColumnRenamed("id", "t").select(draws.uniform_words(1, 1, "xx", total)[0].alias("u"))
+    low = u.where(F.col("u") < F.lit(1 << 56)).count()
+    assert abs(low - 10_000) < 450
+
+
+def test_numpy_invariants_and_callbacks(spark, symbols):
+    """Plain functions of distance rows, and callbacks that count batches."""
+    rows = distributions.curvature_measure(symbols, 4, 1000, 7)
+    d = np.array([tuple(r)[1:] for r in rows.collect()])
+    got = counts(distributions.distributions(symbols, {"perimeter": lambda x: x.sum(1), "ends": lambda x: np.stack([x.min(1), x.max(1)], 1)}, 4, 1000, 7))
+    want = {("perimeter", v, None): c for v, c in zip(*np.unique(d.sum(1), return_counts=True))}
+    pairs, c = np.unique(np.stack([d.min(1), d.max(1)], 1), axis=0, return_counts=True)
+    assert got == want | {("ends", *p): k for p, k in zip(pairs.tolist(), c)}
+    with pytest.raises(TypeError):
+        distributions.distributions(symbols, {"f": lambda x: x.sum()}, 4, 10)
+    for square in (False, True):
+        def f(x, square=square):
+            v = x.max((1, 2)) if square else x.max(1)
+            return dict(zip(*(a.tolist() for a in np.unique(v, return_counts=True))))
+
+        out = distributions.batch_histogram(rows, f, 4, square=square)
+        assert counts(out) == {(v,): c for v, c in zip(*np.unique(d.max(1), return_counts=True))}
+        assert [r.v0 for r in distributions.ordered(out).collect()] == sorted(set(d.max(1)))
+    with pytest.raises(Exception, match="count each row once"):
+        distributions.batch_histogram(rows, lambda x: {0.0: 1}, 4).collect()
 
 
 def test_running_total_over_strides(spark):
@@ -131,7 +186,7 @@ def test_running_total_over_strides(spark):
     df = spark.createDataFrame([(int(k), int(v)) for k, v in zip(keys, rng.integers(0, 9, 300))], "k long, v int")
     got = ordering.running_total(df, "k", F.col("v"), "before", stride=64).orderBy("k").collect()
     assert [r.before for r in got] == np.r_[0, np.cumsum([r.v for r in got])[:-1]].tolist()
-    assert [r.pid for r in ordering.dense_index(df, "k", stride=10).orderBy("k").collect()] == list(range(300))
+    assert [r.pid for r in ordering.dense_index(df, "k").orderBy("k").collect()] == list(range(300))
 
 
 def test_slices(spark):
@@ -144,6 +199,8 @@ def test_slices(spark):
     own = slices.tagged(records, forms, ["seq"])
     cutoffs = spark.createDataFrame([(day(1, 31),), (day(3, 1),), (day(2, 1),)], "cutoff date")
     got = {(r.cutoff, r.uid): r.weight for r in slices.cumulative_slices(own, cutoffs).collect()}
+    counted = slices.dated_counts(records, forms, ["seq"])
+    assert got == {(r.cutoff, r.uid): r.weight for r in slices.cumulative_slices(counted, cutoffs, cnt="cnt").collect()}
     assert got == {(day(1, 31), 0): 1, (day(1, 31), 1): 1, (day(2, 1), 0): 2, (day(2, 1), 1): 1, (day(3, 1), 0): 2, (day(3, 1), 1): 2}
     assert {(r.cutoff, r.n_records, r.n_forms) for r in slices.slice_sizes(slices.cumulative_slices(own, cutoffs)).collect()} == {(day(1, 31), 2, 2), (day(2, 1), 3, 2), (day(3, 1), 4, 2)}
     assert sum(r.share for r in slices.slice_measure(slices.cumulative_slices(own, cutoffs)).where(F.col("cutoff") == day(3, 1)).collect()) == 1
