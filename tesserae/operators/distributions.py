@@ -59,8 +59,7 @@ def _gathered(space: Space, drawn: DataFrame, used: Sequence[int]) -> DataFrame:
     points = space.points.select(F.col("pid").alias("_pid"), F.col("x").alias("_x"))
     if space.weighted:
         most = max(1, min(HEAVY, BROADCAST_BYTES // space.point_bytes))
-        total = space.points.agg(F.sum("weight")).first()[0]
-        heavy = F.broadcast(space.points.where(F.col("weight") * most >= F.lit(total)).select(F.col("pid").alias("_pid"), F.col("x").alias("_x")))
+        heavy = F.broadcast(space.points.where(F.col("weight") * most >= F.lit(space.total)).select(F.col("pid").alias("_pid"), F.col("x").alias("_x")))
         met = asked.join(heavy, "_pid").unionByName(asked.join(F.broadcast(heavy.select("_pid")), "_pid", "left_anti").join(points, "_pid"))
     else:
         met = asked.join(points, "_pid")

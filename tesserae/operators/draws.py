@@ -100,13 +100,12 @@ def intervals(space: Space, buckets: int | None = None) -> tuple[DataFrame, floa
     whole = space.points.schema["weight"].dataType.typeName() in ("byte", "short", "integer", "long")
     w = F.col("weight").cast("long" if whole else "double")
     rows = running_total(space.points.select("pid", w.alias("w")), "pid", F.col("w"), "lo").where("w > 0")
-    r = space.points.agg(F.sum(w).alias("total"), F.max(F.when(w > 0, F.col("pid"))).alias("last")).first()
-    rows, total = rows.withColumn("hi", F.col("lo") + F.col("w")), r.total
+    rows, total = rows.withColumn("hi", F.col("lo") + F.col("w")), space.total
     if whole:
         width = max(1, -(-int(total) // buckets))
         rows = rows.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     else:
-        rows = rows.withColumns({"lo": F.col("lo") / F.lit(float(total)), "hi": F.when(F.col("pid") == r.last, F.lit(1.0)).otherwise(F.col("hi") / F.lit(float(total)))})
+        rows = rows.withColumns({"lo": F.col("lo") / F.lit(float(total)), "hi": F.when(F.col("pid") == space.last, F.lit(1.0)).otherwise(F.col("hi") / F.lit(float(total)))})
         rows = rows.withColumn("bucket", F.explode(F.sequence(F.least(F.floor(F.col("lo") * buckets), F.lit(buckets - 1)), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1)))))
     space.cut.append((stored(rows.select("pid", "lo", "hi", "bucket"), "intervals"), total, whole, buckets))
     return space.cut[0]

@@ -30,49 +30,42 @@ def tagged(records: DataFrame, forms: DataFrame, keys: Sequence[str]) -> DataFra
     return records.join(own, cond).select(*records.columns, "uid")
 
 
-def dated_counts(records: DataFrame, forms: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """``uid, <date>, cnt``: how many records of each form bear each date.
-
-    Records are counted before they meet their forms, so a form with a large
-    share of all records is a few rows by then.
-    """
-    return tagged(records.groupBy(*keys, date).agg(F.count("*").alias("cnt")), forms, keys).select("uid", date, "cnt")
-
-
-def first_seen(records: DataFrame, uid: str = "uid", date: str = "date") -> DataFrame:
-    """Least date by form; a form without any date is an error."""
-    least = records.groupBy(uid).agg(F.min(date).alias("first_seen"))
-    undated = F.raise_error(F.concat(F.lit("no dated record of form "), F.col(uid).cast("string")))
+def first_seen(records: DataFrame, uid: str | Sequence[str] = "uid", date: str = "date") -> DataFrame:
+    """Least date by form (its ``uid``, or its key columns); a form without any date is an error."""
+    by = [uid] if isinstance(uid, str) else list(uid)
+    least = records.groupBy(*by).agg(F.min(date).alias("first_seen"))
+    undated = F.raise_error(F.concat(F.lit("no dated record of form "), F.concat_ws(" ", *by)))
     return least.withColumn("first_seen", F.coalesce("first_seen", undated.cast(least.schema["first_seen"].dataType)))
 
 
-def _next_cutoff(days: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``_date, _at``: for each day of ``days`` the first cutoff not before it; null after the last one.
+def _next_cutoff(df: DataFrame, date: str, cutoffs: DataFrame) -> DataFrame:
+    """Add ``_at``: the first cutoff not before ``date``, null after the last one and without a date.
 
-    Both are calendar days, of which there are fewer than four million in all,
-    so one window over the distinct ones and a broadcast of the result are bounded.
+    Both are calendar days. Each day from the first cutoff to the last one is a
+    row of a map (fewer than four million in all), earlier days count as the
+    first cutoff; so this is an equality join with a table of bounded size.
     """
-    ends = cutoffs.select(F.col("cutoff").cast("date").alias("_date"), F.col("cutoff").cast("date").alias("_at"))
-    both = days.select(F.col("_date").cast("date").alias("_date"), F.lit(None).cast("date").alias("_at")).unionByName(ends).groupBy("_date").agg(F.max("_at").alias("_at"))
-    on = Window.orderBy("_date").rowsBetween(0, Window.unboundedFollowing)
-    return both.where("_date IS NOT NULL").withColumn("_at", F.first("_at", ignorenulls=True).over(on))
+    ends = cutoffs.select(F.col("cutoff").cast("date").alias("_at")).where("_at IS NOT NULL").distinct()
+    first = ends.agg(F.min("_at")).first()[0]
+    before = F.lag("_at").over(Window.orderBy("_at"))
+    days = ends.withColumn("_from", F.coalesce(F.date_add(before, 1), "_at")).select("_at", F.explode(F.sequence("_from", "_at")).alias("_day"))
+    day = F.when(F.col(date).isNotNull(), F.greatest(F.col(date).cast("date"), F.lit(first).cast("date")))
+    return df.withColumn("_day", day).join(F.broadcast(days), "_day", "left").drop("_day")
 
 
-def cumulative_slices(records: DataFrame, cutoffs: DataFrame, uid: str = "uid", date: str = "date", cnt: str | None = None) -> DataFrame:
-    """Counts of each form among the records dated up to each cutoff: ``cutoff, uid, weight``.
+def cumulative_slices(records: DataFrame, cutoffs: DataFrame, uid: str | Sequence[str] = "uid", date: str = "date") -> DataFrame:
+    """Counts of each form (its ``uid``, or its key columns) among the records dated up to each cutoff: ``cutoff, .., weight``.
 
     Dates and cutoffs are calendar days. Records count once at the first cutoff
-    not before their date; sums over cutoffs follow, so no record is repeated
-    for each slice. Undated ones and those after the last cutoff are in no
-    slice. ``cnt``: a column of how many records a row stands for.
+    not before their date, in the scan's own tasks; sums over cutoffs follow, so
+    no record is repeated for each slice. Undated ones and those after the last
+    cutoff are in no slice.
     """
+    by = [uid] if isinstance(uid, str) else list(uid)
+    new = _next_cutoff(records.select(*by, F.col(date).alias("_date")), "_date", cutoffs).where("_at IS NOT NULL").groupBy(*by, "_at").agg(F.count("*").alias("_new"))
     ends = cutoffs.select(F.col("cutoff").cast("date").alias("cutoff")).distinct()
-    when = records.select(uid, F.col(date).cast("date").alias("_date"), (F.col(cnt) if cnt else F.lit(1)).cast("long").alias("_n")).where(F.col("_date").isNotNull())
-    new = when.groupBy(uid, "_date").agg(F.sum("_n").alias("_new"))
-    at = _next_cutoff(new.select("_date").distinct(), ends).where("_at IS NOT NULL")
-    new = new.join(F.broadcast(at), "_date").groupBy(uid, "_at").agg(F.sum("_new").alias("_new"))
     later = new.join(F.broadcast(ends), F.col("cutoff") >= F.col("_at"))
-    return later.groupBy("cutoff", uid).agg(F.sum("_new").cast("long").alias("weight"))
+    return later.groupBy("cutoff", *by).agg(F.sum("_new").cast("long").alias("weight"))
 
 
 def slice_sizes(slices: DataFrame) -> DataFrame:
@@ -86,11 +79,9 @@ def slice_measure(slices: DataFrame) -> DataFrame:
 
 
 def first_slice(forms: DataFrame, cutoffs: DataFrame, date: str = "first_seen") -> DataFrame:
-    """Add ``slice``: the first cutoff not before ``date`` (both calendar days), or else the last one; null without a date."""
-    day = F.col(date).cast("date")
+    """Add ``slice``: the first cutoff not before ``date`` (both calendar days), or else, or without a date, the last one."""
     last = cutoffs.agg(F.max(F.col("cutoff").cast("date")).alias("_last"))
-    at = _next_cutoff(forms.select(day.alias("_date")).distinct(), cutoffs).join(F.broadcast(last)).select("_date", F.coalesce("_at", "_last").alias("slice"))
-    return forms.withColumn("_date", day).join(F.broadcast(at), "_date", "left").drop("_date").select(*forms.columns, "slice")
+    return _next_cutoff(forms, date, cutoffs).join(F.broadcast(last)).select(*forms.columns, F.coalesce("_at", "_last").alias("slice"))
 
 
 def reference_form(records: DataFrame, accession: str, column: str = "epi_isl") -> DataFrame:

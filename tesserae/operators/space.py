@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tesserae.functions.metrics import Metric, hamming_fields, resolve
@@ -35,6 +35,9 @@ class Space:
     weighted: bool = False
     distances: DataFrame | None = field(default=None, repr=False)
     point_bytes: int = 64
+    #: Sum of the weights, and the last id with a positive one.
+    total: int | float | None = None
+    last: int | None = None
     #: The cumulative intervals of the weights, once some draw has made them.
     cut: list = field(default_factory=list, repr=False, compare=False)
 
@@ -61,16 +64,25 @@ def _width(points: DataFrame) -> Column:
     return F.lit(64 + 24 * (len(kind.fields) if kind.typeName() == "struct" else 1))
 
 
-def _counted(points: DataFrame) -> tuple[int, int]:
-    """Row count and width, with the checks that ids are dense and coordinates there."""
-    r = points.agg(F.count("*").alias("n"), F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.count_distinct("pid").alias("u"), F.count_if(F.col("x").isNull()).alias("holes"), _width(points).alias("w")).first()
-    if not r.n:
-        raise ValueError("a space needs at least one point")
-    if (r.lo, r.hi, r.u) != (0, r.n - 1, r.n):
-        raise ValueError("point ids must be distinct and dense from 0")
-    if r.holes:
-        raise ValueError("coordinates must not be null")
-    return r.n, r.w
+def _counted(points: DataFrame, check: bool, weighted: bool) -> Row:
+    """Row count ``n``, width ``w``, sum of weights ``total`` and last weighted id ``last``, in one pass, with the checks if asked for."""
+    cells = [F.count("*").alias("n"), _width(points).alias("w")]
+    if weighted:
+        bad = F.count_if((F.col("weight") < 0) | F.col("weight").isNull())
+        cells += [F.sum("weight").alias("total"), F.max(F.when(F.col("weight") > 0, F.col("pid"))).alias("last"), bad.alias("bad")]
+    if check:
+        cells += [F.min("pid").alias("lo"), F.max("pid").alias("hi"), F.count_distinct("pid").alias("u"), F.count_if(F.col("x").isNull()).alias("holes")]
+    r = points.agg(*cells).first()
+    if check:
+        if weighted and (r.bad or not (r.total or 0) > 0):
+            raise ValueError("weights must be nonnegative and not null, with a positive sum")
+        if not r.n:
+            raise ValueError("a space needs at least one point")
+        if (r.lo, r.hi, r.u) != (0, r.n - 1, r.n):
+            raise ValueError("point ids must be distinct and dense from 0")
+        if r.holes:
+            raise ValueError("coordinates must not be null")
+    return r
 
 
 def space(df: DataFrame, coords: str | Column | Sequence[str], metric: str | Metric, pid: str = "pid", weight: str | None = None, check: bool = True, n_points: int | None = None) -> Space:
@@ -96,15 +108,8 @@ def space(df: DataFrame, coords: str | Column | Sequence[str], metric: str | Met
     points = df.select(*columns)
     if weight:
         points = stored(points, "points")
-    if check and weight:
-        r = points.agg(F.sum("weight").alias("s"), F.count_if((F.col("weight") < 0) | F.col("weight").isNull()).alias("bad")).first()
-        if r.bad or not (r.s or 0) > 0:
-            raise ValueError("weights must be nonnegative and not null, with a positive sum")
-    if check and n_points is None:
-        n, width = _counted(points)
-    else:
-        n, width = points.agg(F.count("*"), _width(points)).first()
-    return Space(points, rule, n_points or n, bool(weight), point_bytes=width)
+    r = _counted(points, check, bool(weight))
+    return Space(points, rule, n_points or r.n, bool(weight), point_bytes=r.w, total=r.total if weight else None, last=r.last if weight else None)
 
 
 def precomputed(distances: DataFrame, weights: DataFrame | None = None) -> Space:
@@ -114,6 +119,8 @@ def precomputed(distances: DataFrame, weights: DataFrame | None = None) -> Space
     if not r.n or r.n != r.u * r.u or (r.v, r.hi, r.hj) != (r.u, r.u - 1, r.u - 1):
         raise ValueError("precomputed distances must form a square matrix over dense ids")
     points = d.where("j = 0").select(F.col("i").alias("pid"), F.lit(0).alias("x"))
-    if weights is not None:
-        points = points.join(weights.select(F.col("pid").cast("long").alias("pid"), "weight"), "pid")
-    return Space(points, "precomputed", r.u, weights is not None, d)
+    if weights is None:
+        return Space(points, "precomputed", r.u, False, d)
+    points = stored(points.join(weights.select(F.col("pid").cast("long").alias("pid"), "weight"), "pid"), "points")
+    w = _counted(points, True, True)
+    return Space(points, "precomputed", r.u, True, d, total=w.total, last=w.last)

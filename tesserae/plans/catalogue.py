@@ -191,7 +191,8 @@ def q13_dedup_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FORMS_SQL} SELECT uid::BIGINT AS uid, first_seen FROM forms")
 def q14_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slices.first_seen(slices.dated_counts(lineitems(spark, sf_dir), kinds(spark, sf_dir), KIND))
+    least = slices.first_seen(lineitems(spark, sf_dir), KIND)
+    return slices.tagged(least, kinds(spark, sf_dir), KIND).select("uid", "first_seen")
 
 
 def ends(spark: SparkSession) -> DataFrame:
@@ -200,8 +201,8 @@ def ends(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {FORMS_SQL} SELECT cutoff, uid::BIGINT AS uid, count(*) AS weight FROM lineitem JOIN forms USING ({KEY}), {CUTOFFS_SQL} WHERE l_shipdate::DATE <= cutoff GROUP BY 1, 2")
 def q15_date_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = slices.dated_counts(lineitems(spark, sf_dir), kinds(spark, sf_dir), KIND)
-    return slices.cumulative_slices(counts, ends(spark), cnt="cnt")
+    weights = slices.cumulative_slices(lineitems(spark, sf_dir), ends(spark), KIND)
+    return slices.tagged(weights, kinds(spark, sf_dir), KIND).select("cutoff", "uid", "weight")
 
 
 _KINDS_SQL = f"(SELECT uid AS pid, {KEY} FROM forms)"

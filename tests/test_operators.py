@@ -199,8 +199,10 @@ def test_slices(spark):
     own = slices.tagged(records, forms, ["seq"])
     cutoffs = spark.createDataFrame([(day(1, 31),), (day(3, 1),), (day(2, 1),)], "cutoff date")
     got = {(r.cutoff, r.uid): r.weight for r in slices.cumulative_slices(own, cutoffs).collect()}
-    counted = slices.dated_counts(records, forms, ["seq"])
-    assert got == {(r.cutoff, r.uid): r.weight for r in slices.cumulative_slices(counted, cutoffs, cnt="cnt").collect()}
+    by_key = slices.tagged(slices.cumulative_slices(records, cutoffs, ["seq"]), forms, ["seq"])
+    assert got == {(r.cutoff, r.uid): r.weight for r in by_key.collect()}
+    many = spark.range(20_000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("cutoff"))
+    assert slices.cumulative_slices(own, many).where("cutoff = '2021-02-01' AND uid = 0").first().weight == 2
     assert got == {(day(1, 31), 0): 1, (day(1, 31), 1): 1, (day(2, 1), 0): 2, (day(2, 1), 1): 1, (day(3, 1), 0): 2, (day(3, 1), 1): 2}
     assert {(r.cutoff, r.n_records, r.n_forms) for r in slices.slice_sizes(slices.cumulative_slices(own, cutoffs)).collect()} == {(day(1, 31), 2, 2), (day(2, 1), 3, 2), (day(3, 1), 4, 2)}
     assert sum(r.share for r in slices.slice_measure(slices.cumulative_slices(own, cutoffs)).where(F.col("cutoff") == day(3, 1)).collect()) == 1
