@@ -1,12 +1,9 @@
-"""Shared helpers: table access, scratch folders, words and code points."""
+"""Shared helpers: table access, joins of hot keys, words and code points."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.sources.shared import shared_dir, shipped, stored
+
+__all__ = ["shared_dir", "stored"]
+
 #: Bytes that continue a UTF-8 code point; deleting them leaves one byte each.
 CONTINUATION = bytes(range(0x80, 0xC0))
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -24,12 +25,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def reachable(spark: SparkSession) -> None:
     """Make the session fit for texts.
 
-    Python workers import this package from where the driver has it, unless
-    they are told of a path already. Arrow batches hold 2,000 rows, unless the
-    session has a number of its own: whole texts are large rows.
+    Python workers get this package. Arrow batches hold 2,000 rows, unless the
+    session was given a number of its own: whole texts are large rows.
     """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    if spark.conf.get(BATCH_ROWS) == "10000":
+    shipped(spark)
+    if BATCH_ROWS not in spark.conf.getAll:
         spark.conf.set(BATCH_ROWS, "2000")
 
 
@@ -39,25 +39,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A new folder path below ``spark.checkpoint.dir``, which all executors see.
+#: A key with more than this share of all rows is hot; so there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 1024
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: str = "n_rows") -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key and the number of left rows of it in ``rows``.
+
+    Rows of hot keys meet their key where they are: fewer than 1,024 rows of
+    ``right`` are sent to all executors. The rest is shuffled, and no key of it
+    holds more than a thousandth of all rows. ``left`` is read twice, so pass a
+    stored table or a cheap plan. Null keys match nothing. Without ``rows`` in
+    the result; ``how``: inner or left.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    is_hot = F.col(rows) > F.lit(total * HOT_SHARE)
+    hot, cold = F.broadcast(right.where(is_hot).drop(rows)), right.where(~is_hot).drop(rows)
+    near = left.join(hot, on)
+    far = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return near.unionByName(far)
+
+
+def text_sample(df: DataFrame, text: str, rows: int, most: int = 1 << 16, seed: int = 1) -> list[str]:
+    """At most ``rows`` texts of at most ``most`` bytes, drawn by hash over the whole table; null is empty.
 
-    Only where that setting is missing (local tests) a temporary folder is set.
+    At most ``rows * most`` bytes come to the driver.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if ":/" not in base:
-        base = "file://" + base
-    return f"{base.rstrip('/')}/tesserae/{kind}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` to a shared folder and read it back: lineage ends there."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.octet_length("t") <= most)
+    return [r.t for r in own.orderBy(F.xxhash64(F.lit(seed), "t"), "t").limit(rows).collect()]
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -4,8 +4,10 @@ Layout of a shard: magic, SHA-256 of the dictionary, frames in row order, the
 index as an Arrow stream (id, offset, length, tokens), its length as 8 bytes,
 magic. A frame holds a document's ids as little-endian 16-bit integers. A short
 document is read by its index row alone. The dictionary is trained on the
-serialized ids of at most ``SAMPLE_ROWS`` documents; it lies beside the shards
-and a reader refuses a shard that was written with another.
+serialized ids of at most ``SAMPLE_ROWS`` documents, drawn by hash over the whole
+table from those of at most 64 KiB; it lies beside the shards and a reader
+refuses a shard that was written with another. A shard is closed at
+``SHARD_TOKENS`` ids or ``shard_docs`` documents, so shards and their indexes don't grow with the data.
 
 Shards are written by the tasks under names of their own attempt into a shared
 folder; a manifest written and committed by Spark names those that count, so a
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm._common import emitted, schema_of, shared_dir, stored
+from tesserae.llm._common import emitted, schema_of, shared_dir, stored, text_sample
 from tesserae.llm.tokenization import encoder, public_path
 
 MAGIC = b"TESSIDS1"
 SAMPLE_ROWS, DICTIONARY_BYTES, LEVEL = 400, 64 << 10, 3
+SHARD_TOKENS, SHARD_DOCS = 1 << 28, 1 << 20
 _DICTIONARIES: dict[str, bytes] = {}
 
 
@@ -65,7 +68,7 @@ class ShardWriter:
     def __init__(self, uri: str, dictionary: bytes) -> None:
         store, path = _open(uri)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.out, self.rows = store.open_output_stream(path), []
+        self.uri, self.out, self.rows, self.tokens = uri, store.open_output_stream(path), [], 0
         self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         self.at = self.out.write(MAGIC + hashlib.sha256(dictionary).digest())
 
@@ -74,6 +77,8 @@ class ShardWriter:
         self.out.write(frame)
         self.rows.append((key, self.at, len(frame), len(ids) // 2))
         self.at += len(frame)
+        self.tokens += len(ids) // 2
+
 
     def close(self) -> None:
         key, offset, length, tokens = zip(*self.rows)
@@ -107,34 +112,38 @@ class ShardReader:
         return np.frombuffer(self.zip.decompress(self.file.read_at(int(self.length[row]), int(self.offset[row])), max_output_size=2 * int(self.tokens[row])), "<u2")
 
 
-def write_ids(df: DataFrame, folder: str | None = None, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
+def write_ids(df: DataFrame, folder: str | None = None, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 2, id_col: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> tuple[str, DataFrame]:
     """Encode ``text``, append ``end_id`` and write shards in ascending ``id_col`` order.
 
-    Returns the folder and the manifest: ``shard, path, n_docs, n_tokens``.
+    Returns the folder and the manifest: ``task, shard, path, n_docs, n_tokens``, in the order of the first two.
     """
     spark = df.sparkSession
     folder = folder or shared_dir(spark, "ids")
     docs, tail = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")), struct.pack("<H", end_id)
-    sample = docs.select("text").sample(0.25, 1).limit(SAMPLE_ROWS).collect()
-    dictionary = train_dictionary([encoder(public_path(tokenizer), kind).ids(r[0] or "")[:65536] + tail for r in sample])
+    dictionary = train_dictionary([encoder(public_path(tokenizer), kind).ids(t) + tail for t in text_sample(docs, "text", SAMPLE_ROWS)])
     store, path = _open(folder)
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/dictionary") as f:
         f.write(dictionary)
-    fields = [("shard", "long"), ("path", "string"), ("n_docs", "long"), ("n_tokens", "long")]
+    fields = [("task", "long"), ("shard", "long"), ("path", "string"), ("n_docs", "long"), ("n_tokens", "long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, writer, total = encoder(public_path(tokenizer), kind).ids, TaskContext.get().partitionId(), None, 0
-        uri = f"{folder}/shards/{shard:06d}-{uuid.uuid4().hex}.ids"
+        encode, task, writer, done = encoder(public_path(tokenizer), kind).ids, TaskContext.get().partitionId(), None, []
+
+        def closed() -> None:
+            writer.close()
+            done.append((task, len(done), writer.uri, len(writer.rows), writer.tokens))
+
         for b in batches:
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                writer = writer or ShardWriter(uri, _dictionary(folder))
-                ids = encode(t or "") + tail
-                writer.add(key, ids)
-                total += len(ids) // 2
+                writer = writer or ShardWriter(f"{folder}/shards/{task:06d}-{len(done):04d}-{uuid.uuid4().hex}.ids", _dictionary(folder))
+                writer.add(key, encode(t or "") + tail)
+                if writer.tokens >= SHARD_TOKENS or len(writer.rows) >= shard_docs:
+                    closed()
+                    writer = None
         if writer:
-            writer.close()
-            yield from emitted(iter([(shard, uri, len(writer.rows), total)]), fields)
+            closed()
+        yield from emitted(iter(done), fields)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
@@ -144,7 +153,7 @@ def write_ids(df: DataFrame, folder: str | None = None, tokenizer: str = "word_b
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents of the shards: id, ``start`` (ids before it), ``n_tokens``, ``ids`` (32-bit little-endian)."""
     shards, start = [], 0
-    for r in manifest.orderBy("shard").collect():  # a row for each shard
+    for r in manifest.orderBy("task", "shard").collect():  # a row for each shard
         shards.append((r.path, start))
         start += r.n_tokens
     fields = [(id_col, "long"), ("start", "long"), ("n_tokens", "long"), ("ids", "binary")]

@@ -3,9 +3,12 @@
 Whole windows of a document are cut off first. What remains of it goes to the
 fill level for which the sum over levels of squared counts of partially filled
 windows becomes least; the counts are a level array. Each task packs its own
-rows as they come, without a shuffle. Windows leave as soon as they are full.
-When a task ends, or when more than ``max_open`` windows are open, the open ones
-are joined and cut anew, so at most one window of a task is left with padding.
+rows as they come, without a shuffle. Windows leave as soon as they are full;
+when more than ``max_open`` are open, the fuller half leaves as it is. When a task
+ends, open windows with a gap of at most ``window / 32`` leave as they are, and
+only the emptier ones are joined and cut anew. Their number grows like the
+square root of the task's rows, so their share falls: with 8,000 documents in a
+task about a tenth of the windows, of 250 about a third.
 
 Sequence ids are the task's number times 2^40 plus a count; they agree between
 runs over the same input splits.
@@ -34,7 +37,7 @@ Piece = tuple[object, int, np.ndarray, int]
 class Packer:
     """Online packer of one task; ``add`` and ``end`` yield finished windows as lists of pieces."""
 
-    def __init__(self, window: int = 1024, max_open: int = 4096) -> None:
+    def __init__(self, window: int = 1024, max_open: int = 16384) -> None:
         self.window, self.max_open, self.n_open = window, max_open, 0
         self.count = np.zeros(window + 1, np.int64)  # the level array; a full window never counts
         self.open: list[list[list[Piece]]] = [[] for _ in range(window)]
@@ -49,7 +52,7 @@ class Packer:
             if full:
                 yield full
             if self.n_open > self.max_open:
-                yield from self._recut()
+                yield from self._shed(self.n_open // 2)
 
     def _place(self, piece: Piece) -> list[Piece] | None:
         size, w, count = len(piece[2]), self.window, self.count
@@ -76,8 +79,17 @@ class Packer:
         self.count[level] += 1
         self.n_open += 1
 
+    def _shed(self, most: int, least: int = 0) -> Iterator[list[Piece]]:
+        """At most ``most`` of the fullest open windows, of level ``least`` or more, as they are."""
+        for level in range(self.window - 1, least - 1, -1):
+            while most and self.open[level]:
+                yield self.open[level].pop()
+                self.count[level] -= 1
+                self.n_open -= 1
+                most -= 1
+
     def _recut(self) -> Iterator[list[Piece]]:
-        """Join all open windows and cut them anew; the last, if not full, stays open."""
+        """Join the open windows and cut them anew; the last, if not full, stays open."""
         rest = [p for level in reversed(self.open) for pieces in level for p in pieces]
         self.open, self.n_open = [[] for _ in range(self.window)], 0
         self.count[:] = 0
@@ -94,13 +106,12 @@ class Packer:
             self._keep(self.window - room, now)
 
     def end(self) -> Iterator[list[Piece]]:
+        yield from self._shed(self.n_open, self.window - self.window // 32)
         yield from self._recut()
-        for level in self.open:
-            yield from level
-        self.open = [[] for _ in range(self.window)]
+        yield from self._shed(self.n_open)
 
 
-def pack(df: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 0, id_col: str = "doc_id", text: str = "text", max_open: int = 4096) -> DataFrame:
+def pack(df: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 0, id_col: str = "doc_id", text: str = "text", max_open: int = 16384) -> DataFrame:
     """Pieces of the packed rows of ``df``.
 
     Columns: id, ``start``, ``length``, ``ids`` (32-bit little-endian),

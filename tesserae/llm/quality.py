@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm._common import CONTINUATION, as_bytes, schema_of
+from tesserae.llm._common import CONTINUATION, as_bytes, schema_of, text_sample
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -191,9 +191,8 @@ def ordered(rules: tuple[Rule, ...], texts: list[bytes]) -> list[tuple[Rule, flo
 
 
 def plan_cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> list[tuple[Rule, float, float]]:
-    """Order ``rules`` on at most ``sample_rows`` rows of ``df``."""
-    rows = df.select(text).sample(0.25, seed).limit(sample_rows).collect()
-    return ordered(rules, [(r[0] or "").encode() for r in rows])
+    """Order ``rules`` on at most ``sample_rows`` rows of ``df``, drawn by hash over all of it; texts beyond 64 KiB are not measured."""
+    return ordered(rules, [t.encode() for t in text_sample(df, text, sample_rows, seed=seed)])
 
 
 def first_rejecting(d: Document, rules: list[Rule]) -> str | None:
