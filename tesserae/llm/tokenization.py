@@ -1,15 +1,11 @@
-"""Ids of public tokenizers for whole texts, with a memo of the strings between spaces.
+"""Ids of public tokenizers for whole texts, with a memo of pre-tokens.
 
 ``Encoder`` gives the ids that ``tokenizers`` gives for a whole text. Texts of
-plain Latin characters are cut at spaces (byte-level) or white space (word-level);
-no pre-token reaches across such a cut, so each distinct string is cut into the
-tokenizer's own pre-tokens once, and each of those is merged by the library's
-own model once; both are remembered. The
-byte-level tokenizer joins runs of white space: a text in which a space has
-white space on both sides, or ends one at the text's end, goes pre-token by
-pre-token. A text with any other character, or with a special token's string
-in it, goes to the library whole. The memo is bounded in entries and bytes, in
-two generations: it never changes ids.
+plain Latin characters are cut into the tokenizer's own pre-tokens here, and each
+distinct pre-token is merged by the library's own model once and remembered; a
+text with any other character, or with a special token's string in it, goes to
+the library whole. The memo is bounded in entries and bytes, in two
+generations: it never changes ids.
 """
 
 from __future__ import annotations
@@ -25,10 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: control characters but for \t\n\r, and Latin letters that have no decomposed form in play.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: The byte-level pre-token pattern on those characters.
-_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
-#: Where runs of white space reach across a cut at spaces.
-_RUNS = re.compile(r"\s (?:\s|\Z)")
+#: The byte-level pre-token pattern on those characters, its most frequent case first.
+_BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+")
 #: The word-level pre-token pattern on those characters, after lower-casing.
 _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
 
@@ -37,7 +31,7 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 1
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 #: Entries of one generation of a memo, by kind; there are two. Longer strings are not remembered.
-MEMO_ENTRIES, MEMO_CHARS = {"word": 300_000, "byte": 250_000}, 48
+MEMO_ENTRIES, MEMO_CHARS = {"word": 750_000, "byte": 450_000}, 48
 _ENCODERS: dict = {}
 
 
@@ -55,9 +49,7 @@ class Encoder:
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
         self.model = self.tokenizer.model
-        self.merged = _Memo(self._merge, MEMO_ENTRIES[kind])  # pre-tokens to ids
-        #: Strings after a space (byte-level) or between white space (word-level) to ids.
-        self.memo = _Memo(self._spaced if kind == "byte" else self.pieces, MEMO_ENTRIES[kind])
+        self.memo = _Memo(self._merge, MEMO_ENTRIES[kind])  # pre-tokens to ids
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -65,28 +57,15 @@ class Encoder:
     def _merge(self, piece: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
-    def pieces(self, text: str) -> bytes:
-        """Ids pre-token by pre-token."""
-        return b"".join(map(self.merged.__getitem__, self.find(text)))
-
-    def _spaced(self, text: str) -> bytes:
-        return self.pieces(" " + text)
-
     def ids(self, text: str) -> bytes:
         if _PLAIN.search(text) or self.special.search(text):
             return self.whole(text)
         self.memo.bound()
-        self.merged.bound()
-        if self.kind == "word":
-            return b"".join(map(self.memo.__getitem__, text.lower().split()))
-        if _RUNS.search(text):
-            return self.pieces(text)
-        first, *rest = text.split(" ")
-        return self.pieces(first) + b"".join(map(self.memo.__getitem__, rest))
+        return b"".join(map(self.memo.__getitem__, self.find(text.lower() if self.kind == "word" else text)))
 
 
 class _Memo(dict):
-    """Strings to ids in two generations; what neither holds is made by ``make``."""
+    """Pre-tokens to ids in two generations; what neither holds is made by ``make``."""
 
     def __init__(self, make: Callable[[str], bytes], entries: int) -> None:
         super().__init__()

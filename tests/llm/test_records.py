@@ -1,9 +1,10 @@
 """WARC archives and chat formatting against plain versions."""
 
-import gzip
 import hashlib
+import zlib
 from urllib.parse import urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import chat, queries, warc
@@ -15,7 +16,11 @@ def pages(spark):
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS id", "2 AS payload", "3 AS chunk")
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize(("hot", "sent"), [(1 / 1024, 64 << 20), (2.0, 64 << 20), (2.0, -1), (1 / 1024, -1)])
+def test_archives_round_trip(spark, monkeypatch, hot, sent):
+    """Through hot digests, broadcast revisits and the shuffle of chunk rows."""
+    monkeypatch.setattr(warc, "HOT_SHARE", hot)
+    monkeypatch.setattr(warc, "SENT_BYTES", sent)
     rows, df = pages(spark)
     for size in (warc.CHUNK_BYTES, 100):
         manifest = warc.write_archives(df, chunk_bytes=size)
@@ -43,11 +48,47 @@ def test_archives_round_trip(spark):
             assert r.bytes_so_far == at and r.digest_so_far == hashlib.sha1(whole[:at]).hexdigest()
 
 
-def test_archives_are_plain_gzip_members(spark):
-    _, df = pages(spark)
-    path = urlparse(warc.write_archives(df.coalesce(1)).first().path).path
-    text = gzip.open(path).read()
-    assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"%0D%0AX: y" in text and b"\r\nX: y" not in text
+def parsed(path):
+    """A plain reader of WARC files: (header fields, block) of every record, member by member."""
+    data, out = open(path, "rb").read(), []
+    while data:
+        z = zlib.decompressobj(31)
+        record = z.decompress(data) + z.flush()
+        assert z.eof
+        data = z.unused_data
+        head, _, rest = record.partition(b"\r\n\r\n")
+        first, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        n = int(fields["Content-Length"])
+        assert first == "WARC/1.1" and rest[n:] == b"\r\n\r\n" and len(rest) == n + 4
+        out.append((fields, rest[:n]))
+    return out
+
+
+def test_archives_are_read_by_a_plain_parser(spark):
+    rows, df = pages(spark)
+    records = parsed(urlparse(warc.write_archives(df.coalesce(1), date="2024-05-06T07:08:09Z").first().path).path)
+    (info, _), *records = records
+    assert info["WARC-Type"] == "warcinfo" and len(records) == len(rows)
+    assert {f["WARC-Date"] for f, _ in records} == {"2024-05-06T07:08:09Z"}
+    ids = {f["WARC-Record-ID"]: f for f, _ in records if f["WARC-Type"] == "response"}
+    for f, block in records:
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK")
+        if f["WARC-Type"] == "response":
+            assert f["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(body).hexdigest()
+        else:
+            to = ids[f["WARC-Refers-To"]]
+            assert not body and to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and f.get("WARC-Refers-To-Target-URI") == to.get("WARC-Target-URI")
+    assert any(f.get("WARC-Target-URI") == "http://a/2%0D%0AX: y" for f, _ in records) and not any("X" in f for f, _ in records)
+
+
+def test_long_payloads_and_one_payload_in_most_rows(spark):
+    long, error = "ab\u00e9" * 700_000, "<p>not found" * 100
+    df = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") == 7, long).when(F.col("id") % 10 > 0, error).otherwise(F.repeat(F.col("id").cast("string"), 600)).alias("html"))
+    got = {r.id: r for r in warc.read_archives(warc.write_archives(df), with_data=False).where("last").collect()}
+    assert len(got) == 200 and got[7].bytes_so_far == len(long.encode()) and got[7].digest_so_far == hashlib.sha1(long.encode()).hexdigest() and got[7].chunk_no > 1
+    assert all((r.record_type, r.refers_to) == (("revisit", 199) if k % 10 and k not in (7, 199) else ("response", None)) for k, r in got.items())
 
 
 def test_no_pages(spark):
