@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tesserae.llm import mixing, quality, queries
+from tesserae.llm import quality, queries
 from tesserae.llm.tokenization import Encoder, public_path
+from tests.llm.test_mixing import plain_targets
 from tests.llm.test_texts import SECRETS, near_sets, plain_near
 from tests.oracle import DATA, same
 
@@ -57,7 +58,7 @@ def test_stages(spark, folder, tmp_path):
         size[r["source"]] += n
         taken[r["source"]] += n * times[r["doc_id"]]
     names = sorted(size)
-    goal = mixing.targets([size[n] for n in names], [[1, 2, 3][k % 3] for k in range(len(names))])
+    goal = plain_targets([size[n] for n in names], [[1, 2, 3][k % 3] for k in range(len(names))])
     assert all(abs(taken[n] - g) <= 5 for n, g in zip(names, goal))
     e, want = Encoder(public_path("byte_bpe_50k.json"), "byte"), Counter()
     for r in mixed:
