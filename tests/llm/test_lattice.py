@@ -1,8 +1,11 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from tesserae.llm import lattice
+from tesserae.llm._common import stored
+from tesserae.llm.components import components
 
 
 def brute(rows, cosine):
@@ -59,18 +62,62 @@ def test_split_cells_count_each_pair_once(spark, monkeypatch):
     assert {(r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(df).where("vec_id > 0").collect()} == {(69, 0, False)}
 
 
-def test_recall_at_the_threshold_itself():
+@pytest.mark.parametrize("n", [1000, 1 << 20, 1 << 40])
+def test_recall_at_the_threshold_itself(n):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(4000, 64))
+    x = rng.normal(size=(1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    cells = lattice.Lattice(64, lattice.TABLES, lattice.PROBES, lattice.WIDTH, 11)
+    tables, blocks, width = lattice.shape(n)
+    cells = lattice.Lattice(64, tables, lattice.PROBES, blocks, width, 11)
     a, b = cells.codes(x), cells.codes(y)
     met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
-    assert met.mean() > 0.95
+    differ = np.bitwise_count(cells.sketches(x) ^ cells.sketches(y)).sum(1)
+    assert met.mean() > 0.95 and (differ <= lattice.sketch_limit(0.9)).all()
+    c = cells.codes(np.roll(x, 1, 0))
+    strangers = ((a == c[:, :, :1]) | (c == a[:, :, :1])).any((1, 2)).mean()
+    assert strangers <= {8: 0.01, 26: 0.002, 36: 0.002}[tables]
+
+
+@pytest.mark.parametrize("options", [{}, {"tables": 26, "blocks": 2, "width": 1.6}])
+def test_recall_of_a_table_with_planted_pairs(spark, options):
+    """Links found end to end, of all pairs at 0.9 and more by brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=(600, 64))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:600] + z * rng.uniform(0.1, 0.6, (600, 1))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in lattice.near_vectors(df, **options).orderBy("vec_id").collect()])
+    assert want.sum() > 400 and (got <= want).all() and got.sum() >= 0.95 * want.sum()
+
+
+def test_one_vector_in_most_rows(spark, monkeypatch):
+    rows = [(k, [1.0, 2.0, 3.0] if k % 3 else [float(k), 1.0, -1.0 - k]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 0.9)
+    for share in (1 / 1024, 2.0):
+        monkeypatch.setattr("tesserae.llm._common.HOT_SHARE", share)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(df).collect()} == want
+
+
+@pytest.mark.parametrize("links", [[(k, k + 1) for k in range(300)], [(0, k) for k in range(1, 200)] + [(500, 501)], []])
+def test_components_of_chains_and_stars(spark, monkeypatch, links):
+    rounds = []
+    monkeypatch.setattr("tesserae.llm.components.stored", lambda df, kind: rounds.append(kind) or stored(df, kind))
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.label for r in components(df).collect()}
+    groups = {}
+    for node, label in got.items():
+        groups.setdefault(label, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted(([list(range(301))] if len(links) == 300 else [list(range(200)), [500, 501]]) if links else [])
+    assert rounds.count("cc-parents") <= 8
 
 
 def test_empty_table_and_repeated_rows(spark):
