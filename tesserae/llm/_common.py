@@ -99,14 +99,17 @@ def batch_of(rows: list[tuple], fields: list[tuple[str, str]]) -> pa.RecordBatch
     )
 
 
-def emitted(rows: Iterator[tuple], fields: list[tuple[str, str]], size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows in Arrow batches of at most ``size``."""
+def emitted(rows: Iterator[tuple], fields: list[tuple[str, str]], size: int = 4096, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of at most ``size``, closed once their binary values exceed ``most`` bytes."""
     held: list[tuple] = []
+    binary, weight = [k for k, (_, t) in enumerate(fields) if t == "binary"], 0
     for row in rows:
         held.append(row)
-        if len(held) >= size:
+        for k in binary:
+            weight += len(row[k] or b"")
+        if len(held) >= size or weight > most:
             yield batch_of(held, fields)
-            held = []
+            held, weight = [], 0
     if held:
         yield batch_of(held, fields)
 

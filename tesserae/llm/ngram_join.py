@@ -1,20 +1,25 @@
 """N-gram Jaccard self-join: rare-first prefixes, length, positional and suffix filters.
 
-1. Sets. Each text becomes the sorted hashes of its distinct shingles. Equal
-   sets are one class (key and size); only classes are joined.
-2. Order. Occurrences are counted over the whole corpus in 2^20 hash cells; the
-   count of a shingle's cell, then its hash, is the global order, rare first.
-   Any order gives the same links; a good one gives short lists.
+1. Sets. Each text becomes the sorted hashes of its distinct shingles, once; the
+   sets are written and all later steps read those. Equal sets are one class
+   (key and size); only classes are joined.
+2. Order. Occurrences are counted over the whole corpus in hash cells, about one
+   for 32 shingles; how frequent a shingle's cell is, then its hash, is the
+   global order, rare first. Any order gives the same links; a good one gives
+   short lists. At most 2^25 cells, so with a very large corpus what stands out
+   are shingles more frequent than the noise of a cell.
 3. Prefixes. A class enters the lists of its first n - ceil(t n) + 1 shingles.
    Lists of one class are dropped, and lists of mostly the same members are put
-   together, so that near copies share one list instead of hundreds.
-   Shingles in crowded cells travel as rows, not as lists, so no task holds a
-   long list.
+   together, so that near copies share one list instead of hundreds. Shingles
+   ``CROWDED`` more frequent than the mean travel as rows, not as lists, so no
+   task holds a long list.
 4. Candidates are members of one list that pass the length filter (t), the
    positional filter (what can still overlap before and after the shared
    shingle), and the suffix filter: both sets are partitioned by hash range,
-   and the sum of the smaller counts bounds the overlap.
-5. Verification intersects the two sets, once a pair and round.
+   and the sum of the smaller counts bounds the overlap. A list that took in
+   others keeps no places: there the positional filter rules nothing out.
+5. Verification intersects the two sets, once a pair; pairs are remembered. The
+   set met by many others is sent once for each 512 of them.
 
 Only links that change components are needed, so pairs are proposed in rounds:
 members of a list against one member whose component differs, first the one
@@ -23,6 +28,9 @@ pairs are left and links are found; then all pairs of different components.
 Copies and members of one component are never paired, and no link between
 components is missed.
 
+Lists, classes and components with a large part of all rows are joined apart
+(``join_counted``), so they fill no task.
+
 Defined cases: null and empty texts and texts without words have empty sets
 and link with nothing; null ids take part and are no smallest id unless all are
 null; repeated rows are one class; an empty table gives an empty table; other
@@ -33,24 +41,28 @@ their 64-bit keys collide.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import as_bytes, emitted, grouped, schema_of, stored
+from tesserae.llm._common import as_bytes, emitted, free_name, grouped, join_counted, schema_of, stored
 from tesserae.llm.components import components
-from tesserae.llm.shingles import CellCounts, cells, id_cells, id_filter, set_key, shingle_set, summed_cells
+from tesserae.llm.shingles import CellCounts, cell_bits, cells, rarity, set_key, shingle_set
 
-#: Cells of so many shingles send theirs as rows.
+#: Cells that hold so many shingles more than the mean send theirs as rows.
 CROWDED = 20_000
 #: Rounds against a drawn member end when all remaining pairs are fewer than so many times the list entries.
 PAIRS_PER_ENTRY, MAX_ROUNDS = 16, 8
-FLUSH, BLOCK = 1_000_000, 2048
-#: Up to so many ids are sent to all executors; more are told by a filter of 2^20 bits.
-SENT_IDS = 1_000_000
+FLUSH, BLOCK, MERGED = 250_000, 2048, 200_000
+#: Up to so many classes are told to all executors when sets are fetched: 24 MB; more are joined.
+SENT_CLASSES = 1_000_000
+#: Bytes of text for each task that gathers lists.
+TASK_BYTES = 128 << 20
+#: Members of a pairing that share one copy of the set they are compared with.
+FAN = 512
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -66,20 +78,26 @@ def _rarest(a: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
     return np.argsort(c, kind="stable")
 
 
-def _sets(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """Rows ``id, n, key, text_hash`` of every document, and ``slice, blob`` of the cell counts of a task."""
-    fields = [("id", "long"), ("n", "int"), ("key", "long"), ("text_hash", "long"), ("slice", "int"), ("blob", "binary")]
+def _sets(df: DataFrame, id_col: str, text: str, width: int, bits: int) -> DataFrame:
+    """Rows ``id, n, key, text_hash, set`` of every document, and ``slice, set`` of the cell counts of a task.
+
+    A task writes the set of a class once; its other documents have a null one.
+    """
+    fields = [("id", "long"), ("n", "int"), ("key", "long"), ("text_hash", "long"), ("slice", "int"), ("set", "binary")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = CellCounts()
+        counts, seen = CellCounts(bits), set()
 
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for key, t, h in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
                     a = shingle_set(t, width)
-                    counts.add(a)
-                    yield key, len(a), set_key(a), h, None, None
-            for k, blob in counts.slices():
+                    for k, blob in counts.add(a):
+                        yield None, None, None, None, k, blob
+                    head = (len(a), set_key(a))
+                    yield key, *head, h, None, a.tobytes() if len(a) and head not in seen else None
+                    seen.add(head)
+            for k, blob in counts.end():
                 yield None, None, None, None, k, blob
 
         return emitted(rows(), fields)
@@ -114,10 +132,20 @@ _MEMBER = np.dtype([("key", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("deg", "<u8")
 SHARED = 0.8
 
 
-def _merged(lists: list[np.ndarray]) -> list[np.ndarray]:
-    """Lists put together where one holds most of another's members.
+def _merged(lists: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Lists put together where one holds most of another's members, ``MERGED`` members at a time."""
+    held, size = [], 0
+    for rows in lists:
+        held.append(rows)
+        size += len(rows)
+        if size >= MERGED:
+            yield from _put_together(held)
+            held, size = [], 0
+    yield from _put_together(held)
 
-    Each pair of members of a list is in one of the results. Members of a list
+
+def _put_together(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """Each pair of members of a list is in one of the results. Members of a list
     that took in others have place 0, with which the positional filter rules
     nothing out. Degrees of a member add up.
     """
@@ -150,15 +178,12 @@ def _merged(lists: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width: int, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, rare: np.ndarray, crowd: int, bits: int, n_parts: int, percent: int) -> DataFrame:
     """Lists of at least two classes, entries of crowded shingles, and the bins of all classes."""
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, told = n_parts * 8, spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
+    n_buckets, told = n_parts * 8, sets.sparkSession.sparkContext.broadcast(rare)
     fields = [("bucket", "int"), *ENTRY]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # a task sends a class once
         held: list[np.ndarray] = []
         size, counted = 0, told.value
 
@@ -177,15 +202,11 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
         def rows() -> Iterator[tuple]:
             nonlocal size
             for b in batches:
-                for t in as_bytes(b.column(0)):
-                    a = shingle_set(t, width)
-                    n, key = len(a), set_key(a)
-                    if not n or (n, key) in seen:
-                        continue
-                    seen.add((n, key))
-                    c = counted[cells(a)]
+                for key, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    a = np.frombuffer(data.as_buffer(), np.uint64)
+                    c = counted[cells(a, bits)]
                     order = _rarest(a, c, prefix_length(n, percent))
-                    tokens, crowded = a[order], c[order] >= CROWDED
+                    tokens, crowded = a[order], c[order] >= crowd
                     posts = np.empty(len(order), _POST)
                     posts["tok"], posts["bucket"], posts["key"], posts["n"], posts["pos"] = tokens >> np.uint64(32), tokens % np.uint64(n_buckets), key, n, np.arange(len(order))
                     for k in np.flatnonzero(crowded).tolist():
@@ -219,7 +240,8 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
                     rows[c] = p[c][at[k] : at[k + 1]]
                 rows["deg"] = len(rows)
                 found.append(rows)
-            for rows in _merged(found):
+            found.sort(key=lambda x: int(x["key"][0]))
+            for rows in _merged(iter(found)):
                 yield "g", int(rows["key"][0]), None, len(rows), None, rows.tobytes()
 
         def rows() -> Iterator[tuple]:
@@ -240,22 +262,20 @@ def _prefixes(df: DataFrame, counts: np.ndarray, id_col: str, text: str, width:
 
         return emitted(rows(), ENTRY, 1024)
 
-    posted = df.select(F.col(text).cast("string")).mapInArrow(emit, schema_of(fields))
+    posted = sets.select("key", "n", "set").mapInArrow(emit, schema_of(fields))
     return stored(posted.repartition(n_parts, "bucket").mapInArrow(gather, schema_of(ENTRY)), "prefixes")
 
 
-def _members(lists: DataFrame) -> DataFrame:
+def _members(lists: DataFrame, n_parts: int) -> DataFrame:
     """One row a list and member: ``g, key, n, pos, degree``; ``degree`` adds up to the sizes of all lists a member was in."""
     fields = [("g", "long"), ("key", "long"), ("n", "int"), ("pos", "int"), ("degree", "long")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(blob, _MEMBER) for b in batches for blob in b.column(1).to_pylist()]
-        for rows in _merged(held):
+        for rows in _merged(np.frombuffer(blob, _MEMBER) for b in batches for blob in b.column(1).to_pylist()):
             gid = set_key(np.ascontiguousarray(rows["key"]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), gid)), *(pa.array(rows[c].astype(t)) for c, t in (("key", np.int64), ("n", np.int32), ("pos", np.int32), ("deg", np.int64)))], names=[f for f, _ in fields])
 
-    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped_lists = lists.where("kind = 'g'").select("a", "blob").repartition(n, "a").mapInArrow(spread, schema_of(fields))
+    grouped_lists = lists.where("kind = 'g'").select("a", "blob").repartition(n_parts, "a").sortWithinPartitions("a").mapInArrow(spread, schema_of(fields))
     crowded = lists.where("kind = 'h'").select(F.col("a").alias("g"), "key", "n", "pos").distinct().withColumn("degree", F.lit(1).cast("long"))
     rows = stored(grouped_lists.unionByName(crowded), "entries")
     degree = rows.groupBy("key", "n").agg(F.sum("degree").alias("degree"))
@@ -309,10 +329,10 @@ class _List:
                     yield int(self.key[a]), int(n[a]), int(self.key[b]), int(n[b])
 
 
-def _pairs_within(members: DataFrame, percent: int) -> DataFrame:
+def _pairs_within(members: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """Candidates ``a, n, b, m`` among list members ``g, s, key, n, pos, label, blob``; lists of more than ``BLOCK`` in pairs of blocks."""
     parts = F.ceil(F.col("s") / BLOCK).cast("int")
-    rows = members.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = members.withColumn("label", F.xxhash64("label")).withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
     names, fields = ["g", "lo", "hi"], [("a", "long"), ("n", "int"), ("b", "long"), ("m", "int")]
     rows = rows.select("g", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "key", "n", "pos", "label", "blob")
 
@@ -330,126 +350,146 @@ def _pairs_within(members: DataFrame, percent: int) -> DataFrame:
 
         return emitted(pairs(), fields)
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *names).sortWithinPartitions(*names).mapInArrow(run, schema_of(fields))
+    return rows.repartition(n_parts, *names).sortWithinPartitions(*names).mapInArrow(run, schema_of(fields))
 
 
-class _Join:
-    def __init__(self, df: DataFrame, docs: DataFrame, lists: DataFrame, id_col: str, text: str, width: int, percent: int) -> None:
-        self.df, self.docs, self.text, self.width, self.percent, self.id_col = df, docs, text, width, percent, id_col
-        self.bins = lists.where("kind = 's'").select("key", "n", "blob").dropDuplicates(["key", "n"])
-        self.reps = docs.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"))
-        self.sets: DataFrame | None = None
-
-    def fetched(self, ends: DataFrame) -> DataFrame:
-        """``key, n, set`` of at least the classes ``ends``; sets of earlier rounds are kept."""
-        new = ends if self.sets is None else ends.join(self.sets.select("key", "n"), ["key", "n"], "left_anti")
-        wanted = stored(new.join(self.reps, ["key", "n"]).select("key", "n", "id"), "wanted")
-        size = wanted.count()
-        if not size and self.sets is not None:
-            return self.sets
-        docs, width = self.df.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text).cast("string").alias("text")), self.width
-        if size <= SENT_IDS:
-            docs, bits = docs.join(F.broadcast(wanted.select(F.col("id").alias("_id")).distinct()), F.col("id").eqNullSafe(F.col("_id")), "left_semi"), None
-        else:
-            bits = self.df.sparkSession.sparkContext.broadcast(np.packbits(id_filter(wanted.select("id"))))
-        fields = [("key", "long"), ("n", "int"), ("set", "binary")]
+def _ends() -> tuple[F.Column, F.Column]:
+    """The two classes of a pair ``a, n, b, m``."""
+    return F.struct(F.col("a").alias("key"), "n"), F.struct(F.col("b").alias("key"), F.col("m").alias("n"))
 
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set[tuple[int, int]] = set()
 
-            def rows() -> Iterator[tuple]:
-                for b in batches:
-                    texts = b.column(1)
-                    if bits is not None:
-                        texts = texts.filter(pa.array(np.unpackbits(bits.value).astype(bool)[id_cells(b.column(0).to_pylist())]))
-                    for t in as_bytes(texts):
-                        a = shingle_set(t, width)
-                        head = (set_key(a), len(a))
-                        if head not in sent:
-                            sent.add(head)
-                            yield *head, a.tobytes()
-
-            return emitted(rows(), fields, 512)
-
-        found = docs.mapInArrow(fetch, schema_of(fields)).join(wanted.select("key", "n"), ["key", "n"], "left_semi")
-        found = stored(found.dropDuplicates(["key", "n"]), "fetched")
-        self.sets = found if self.sets is None else self.sets.unionByName(found)
-        return self.sets
+def _overlapping(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """The suffix filter on two bins."""
+    most = _overlap_bound(x, y)
+    return most is None or most >= _need(n, m, percent)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among distinct pairs ``a, n, b, m``: suffix filter, then the sets themselves."""
-        percent = self.percent
-        names = [("a", "long"), ("n", "int"), ("b", "long"), ("m", "int")]
 
-        def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n, m, x, y = (b.column(c).to_pylist() for c in (1, 3, 4, 5))
-                keep = [(o := _overlap_bound(p, q)) is None or o >= _need(i, j, percent) for i, j, p, q in zip(n, m, x, y)]
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in range(4)], names=[f for f, _ in names]).filter(pa.array(keep, pa.bool_()))
+def _linked(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets reach the threshold."""
+    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    return 100 * both >= percent * (n + m - both)
 
-        x = self.bins.select(F.col("key").alias("a"), "n", F.col("blob").alias("x"))
-        y = self.bins.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("blob").alias("y"))
-        left = pairs.join(x, ["a", "n"]).join(y, ["b", "m"]).select("a", "n", "b", "m", "x", "y").mapInArrow(suffix, schema_of(names))
-        left = stored(left, "candidates")
 
-        ends = left.select(F.col("a").alias("key"), "n").unionByName(left.select(F.col("b").alias("key"), F.col("m").alias("n"))).distinct()
-        sets = self.fetched(ends)
+class _Join:
+    """Verifies pairs of classes ``a, n, b, m`` and remembers them."""
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
-                ok = []
-                for p, q in zip(x, y):
-                    u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(u) + len(v) - both))
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in range(4)], names=[f for f, _ in names]).filter(pa.array(ok, pa.bool_()))
-
-        x = sets.select(F.col("key").alias("a"), "n", F.col("set").alias("x"))
-        y = sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("set").alias("y"))
-        return stored(left.join(x, ["a", "n"]).join(y, ["b", "m"]).select("a", "n", "b", "m", "x", "y").mapInArrow(check, schema_of(names)), "links")
-
-
-def _labelled_documents(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
-    """Rows ``id, n, key, text_hash, label`` of every document; the label of an empty set is null."""
-    sets = _sets(df, id_col, text, width)
-    docs = sets.where("slice IS NULL").select("id", "n", "key", "text_hash")
-    lists = _prefixes(df, summed_cells(sets.where("slice IS NOT NULL").select("slice", "blob")), id_col, text, width, percent)
-    members, join = _members(lists), _Join(df, docs, lists, id_col, text, width, percent)
+    def __init__(self, sets: DataFrame, lists: DataFrame, percent: int, n_parts: int) -> None:
+        self.sets, self.percent, self.n_parts = sets, percent, n_parts
+        self.bins = lists.where("kind = 's'").select("key", "n", "blob").dropDuplicates(["key", "n"])
+        self.fetched: DataFrame | None = None
+        self.known: DataFrame | None = None
+
+    def new(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that were not verified before."""
+        if self.known is None:
+            return pairs
+        keyed = pairs.withColumns({"lo": F.least(*_ends()), "hi": F.greatest(*_ends())})
+        return keyed.join(self.known, ["lo", "hi"], "left_anti").drop("lo", "hi")
+
+    def wanted(self, ends: DataFrame) -> DataFrame:
+        """``key, n, blob``: the sets of at least the classes ``ends``; those of earlier rounds are kept."""
+        new = stored(ends if self.fetched is None else ends.join(self.fetched.select("key", "n"), ["key", "n"], "left_anti"), "wanted")
+        size = new.count()
+        if size or self.fetched is None:
+            asked = F.broadcast(new) if size <= SENT_CLASSES else new
+            found = self.sets.join(asked, ["key", "n"], "left_semi").dropDuplicates(["key", "n"]).withColumnRenamed("set", "blob")
+            found = stored(found, "fetched")
+            self.fetched = found if self.fetched is None else self.fetched.unionByName(found)
+        return self.fetched
+
+    def against(self, pairs: DataFrame, table: DataFrame, holds: Callable[..., bool], kind: str) -> DataFrame:
+        """The pairs for which ``holds(n, m, blob of a, blob of b)``; the blob of b comes once for each ``FAN`` pairs of it."""
+        fields, percent = [("a", "long"), ("n", "int"), ("b", "long"), ("m", "int")], self.percent
+        fans = stored(pairs.groupBy("b", "m").agg(F.count("*").alias("n_rows")).withColumn("fans", F.ceil(F.col("n_rows") / FAN).cast("int")), "fans")
+        members = join_counted(pairs, fans, ["b", "m"]).withColumn("fan", F.pmod(F.xxhash64("a"), "fans").cast("int"))
+        members = members.join(table.select(F.col("key").alias("a"), "n", "blob"), ["a", "n"]).select("b", "m", "fan", F.lit(1).alias("kind"), "a", "n", "blob")
+        hubs = fans.join(table.select(F.col("key").alias("b"), F.col("n").alias("m"), "blob"), ["b", "m"]).withColumn("fan", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)))
+        hubs = hubs.select("b", "m", "fan", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("int").alias("n"), "blob")
+        dealt = members.unionByName(hubs).repartition(self.n_parts, "b", "m", "fan").sortWithinPartitions("b", "m", "fan", "kind")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                hub, y = None, b""
+                for batch in batches:
+                    heads = zip(*(batch.column(c).to_pylist() for c in range(6)))
+                    for (b, m, fan, of, a, n), x in zip(heads, batch.column(6)):
+                        if of == 0:
+                            hub, y = (b, m, fan), x.as_py()
+                        elif hub != (b, m, fan):
+                            raise ValueError("a pair without the set of its second class")
+                        elif holds(n, m, x.as_py(), y, percent):
+                            yield a, n, b, m
+
+            return emitted(rows(), fields)
+
+        return stored(dealt.mapInArrow(run, schema_of(fields)), kind)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links among new distinct pairs: suffix filter, then the sets themselves."""
+        pairs = stored(pairs, "pairs")
+        left = self.against(pairs, self.bins, _overlapping, "candidates")
+        ends = left.select(F.col("a").alias("key"), "n").unionByName(left.select(F.col("b").alias("key"), F.col("m").alias("n"))).distinct()
+        links = self.against(left, self.wanted(ends), _linked, "links")
+        told = pairs.select(F.least(*_ends()).alias("lo"), F.greatest(*_ends()).alias("hi"))
+        self.known = told if self.known is None else self.known.unionByName(told)
+        return links
+
+
+def _labelled(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``id, n, key, text_hash`` of every document, and ``key, n, label, n_rows`` of every class; a label is one of its component's classes."""
+    n_bytes = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
+    bits = cell_bits(n_bytes)
+    made = _sets(df, id_col, text, width, bits)
+    docs, sets = made.where("slice IS NULL").select("id", "n", "key", "text_hash"), made.where("slice IS NULL AND set IS NOT NULL").select("key", "n", "set")
+    rare, mean = rarity(made.where("slice IS NOT NULL").select("slice", F.col("set").alias("blob")), bits)
+    lists = _prefixes(sets, rare, int(4 * np.sqrt(mean + CROWDED)), bits, n_parts, percent)
+    members, join = _members(lists, n_parts), _Join(sets, lists, percent, n_parts)
     entries, links, labels, most, few = members.count(), None, None, 0, False
+    own_label = F.struct("key", "n")
 
     def labelled() -> DataFrame:
         if labels is None:
-            return members.withColumn("label", F.col("key"))
-        return members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+            return members.withColumn("label", own_label)
+        return members.join(labels.select("node.key", "node.n", "label"), ["key", "n"], "left").withColumn("label", F.coalesce("label", own_label))
 
     for turn in range(MAX_ROUNDS + 1):
         own = stored(labelled(), "labelled")
         # Lists whose members are not yet one component, and the pairs left in them.
         per = own.groupBy("g", "label").agg(F.count("*").alias("c"))
-        open_lists = stored(per.groupBy("g").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("d")).where("d > 1").select("g", "s", "q"), "open")
+        open_lists = stored(per.groupBy("g").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("d")).where("d > 1").select("g", "s", "q", F.col("s").alias("n_rows")), "open")
         left = open_lists.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
         last = left <= PAIRS_PER_ENTRY * entries or few or turn == MAX_ROUNDS
-        own = own.join(open_lists.select("g"), "g", "left_semi")
         if last:
-            pairs = _pairs_within(own.join(open_lists.select("g", "s"), "g").join(join.bins, ["key", "n"]), percent).distinct()
+            within = join_counted(own, open_lists.select("g", "s", "n_rows"), ["g"]).join(join.bins, ["key", "n"])
+            pairs = join.new(_pairs_within(within, percent, n_parts).distinct())
         else:
             rank = F.struct("degree", "key") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "key"), "key")
             drawn = F.max_by(F.struct(F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("other")), rank)
-            heads = own.groupBy("g").agg(drawn.alias("h")).select("g", "h.*")
-            pairs = own.withColumnRenamed("key", "a").join(heads, "g").where((F.col("label") != F.col("other")) & _possible(percent))
-            best = pairs.groupBy("a", "n", "b", "m").agg(F.count("*").alias("c")).groupBy("a", "n").agg(F.max_by(F.struct("b", "m"), F.struct("c", "b")).alias("h"))
+            heads = own.groupBy("g").agg(drawn.alias("h")).join(open_lists.select("g", "n_rows"), "g")
+            met = join_counted(own, stored(heads.select("g", "h.*", "n_rows"), "heads"), ["g"])
+            pairs = met.where((F.col("label") != F.col("other")) & _possible(percent)).withColumnRenamed("key", "a").groupBy("a", "n", "b", "m").agg(F.count("*").alias("c"))
+            best = join.new(pairs).groupBy("a", "n").agg(F.max_by(F.struct("b", "m"), F.struct("c", "b")).alias("h"))
             pairs = best.select("a", "n", "h.b", "h.m")
-        found = join.verified(pairs).select("a", "b")
+        found = join.verified(pairs).select(*(c.alias(x) for c, x in zip(_ends(), "ab")))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if last:
             break
         size = found.count()
         most, few = max(most, size), 20 * size <= most
-    named = docs.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "key")))
-    return stored(named.select("id", "n", "key", "text_hash", "label"), "named")
+    classes = docs.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("n_rows"))
+    classes = classes.join(labels.select("node.key", "node.n", "label"), ["key", "n"], "left").withColumn("label", F.coalesce("label", own_label))
+    return docs, stored(classes, "classes")
+
+
+def _with_least(docs: DataFrame, classes: DataFrame, least: F.Column) -> DataFrame:
+    """``docs`` with ``least``, an aggregate of the rows of their component; null for empty sets."""
+    own = docs.where("n > 0").groupBy("key", "n").agg(least.alias("least")).join(classes, ["key", "n"])
+    own = stored(own, "class-least")
+    per = stored(own.groupBy("label").agg(F.min("least").alias("of_all"), F.count("*").alias("n_rows")), "component-least")
+    own = join_counted(own.select("key", "n", "label", F.col("n_rows").alias("docs")), per, ["label"])
+    return join_counted(docs, stored(own.select("key", "n", F.col("of_all").alias("least"), F.col("docs").alias("n_rows")), "class-told"), ["key", "n"], "left")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -457,9 +497,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
     Links: 100 |A and B| >= ``percent`` |A or B| of the sets of ``width``-word shingles.
     """
-    named = _labelled_documents(df, id_col, text, width, percent)
-    smallest = named.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
-    out = named.join(smallest, "label", "left")
+    out = _with_least(*_labelled(df, id_col, text, width, percent), F.min("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -469,14 +507,16 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     A null id is the last choice. Rows without words link with nothing and all
     stay; of rows that agree in id and text, one stays.
     """
-    named = _labelled_documents(df, id_col, text, width, percent).where("n > 0")
-    one = F.struct("id", "text_hash")
-    chosen = named.groupBy("label").agg(F.min_by(one, F.struct(F.col("id").isNull(), "id", "text_hash")).alias("one"))
-    lost = named.join(chosen, "label").where(~one.eqNullSafe(F.col("one"))).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    again = stored(named.groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), "again")
+    docs, classes = _labelled(df, id_col, text, width, percent)
+    docs = docs.where("n > 0")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    key, code = (free_name(df.columns, n) for n in ("kept_id", "kept_hash"))
+    named = _with_least(docs, classes, F.min(own))
+    lost = named.where(~own.eqNullSafe(F.col("least"))).select(F.col("id").alias(key), F.col("text_hash").alias(code)).distinct()
+    again = stored(docs.groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias(key), F.col("text_hash").alias(code)), "again")
 
     def same(other: DataFrame) -> F.Column:
-        return df[id_col].cast("long").eqNullSafe(other["__id"]) & (F.xxhash64(df[text]) == other["__hash"])
+        return df[id_col].cast("long").eqNullSafe(other[key]) & (F.xxhash64(df[text]) == other[code])
 
     rows = df.join(lost, same(lost), "left_anti")
     if not again.limit(1).count():

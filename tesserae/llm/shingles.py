@@ -9,47 +9,46 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tesserae.llm._common import emitted, schema_of
+from tesserae.llm._common import emitted, schema_of, stored
 
-CELL_BITS, SLICE_BITS = 20, 14
-#: Words are hashed in runs of so many, so tables of powers and memory stay small for very long texts.
-RUN_WORDS = 1 << 15
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_BYTE_VALUES = np.random.default_rng(20240101).integers(1, 1 << 64, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words are hashed in runs of so many, so temporary arrays stay small for very long texts.
+RUN_WORDS = 1 << 20
+_MASK, _START = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers 0 to n - 1 modulo 2^64, and their inverses."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
-            table = np.full(max(n, 1 << 16), base, np.uint64)
-            table[0] = 1
-            _POWERS[k] = np.multiply.accumulate(table)
-    return _POWERS[0][:n], _POWERS[1][:n]
+class _Words(dict):
+    """64-bit hashes of words; those of at most 48 bytes are remembered, up to 400,000."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 48:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_WORDS = _Words()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(29))
+    h = h ^ (h >> np.uint64(30))
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(31)
+    return h
 
 
-def _run(words: list[bytes], width: int) -> np.ndarray:
-    """Hashes of all ``width``-word windows: ranges of one running polynomial over the joined words."""
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    n = len(joined)
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[joined] * power[:n], out=total[1:])
-    gaps = np.flatnonzero(joined == 32)
-    starts = np.concatenate(([0], gaps[: len(gaps) + 1 - width] + 1))
-    ends = np.concatenate((gaps[width - 1 :], [n]))
-    return _mixed((total[ends] - total[starts]) * inverse[starts])
+def _windows(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of all ``width``-word windows: word hashes taken in one after another, each through a mixing step."""
+    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    n = len(words) - width + 1
+    h = np.full(n, (_START * width) & _MASK, np.uint64)
+    for k in range(width):
+        h = _mixed(h ^ w[k : k + n])
+    return h
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -60,9 +59,9 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
         return np.empty(0, np.uint64)
     width = min(n, width)
     if n <= RUN_WORDS:
-        out = _run(words, width)
+        out = _windows(words, width)
     else:
-        out = np.concatenate([_run(words[s : s + RUN_WORDS + width - 1], width) for s in range(0, n - width + 1, RUN_WORDS)])
+        out = np.concatenate([_windows(words[s : s + RUN_WORDS + width - 1], width) for s in range(0, n - width + 1, RUN_WORDS)])
     out.sort()
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
@@ -72,67 +71,78 @@ def set_key(a: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(a.tobytes()) - (1 << 63)
 
 
-class CellCounts:
-    """Counts of 2^20 cells of hashes, added up in a task and sent in 64 slices."""
+#: Cells grow with the corpus, about one for 32 shingles, up to 2^25: 64 MB once for each executor.
+LEAST_BITS, MOST_BITS, SLICE_BITS, DENSE_BITS = 16, 25, 14, 22
 
-    def __init__(self) -> None:
-        self.counts, self.held, self.size = np.zeros(1 << CELL_BITS, np.uint32), [], 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        self.held.append(cells(hashes))
-        self.size += len(hashes)
-        if self.size > 1 << 20:
-            self.flush()
+def cell_bits(n_bytes: int) -> int:
+    """Bits of the cell number for a corpus of so many bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, (n_bytes // 192).bit_length()))
 
-    def flush(self) -> None:
-        if self.held:
-            self.counts += np.bincount(np.concatenate(self.held), minlength=1 << CELL_BITS).astype(np.uint32)
-        self.held, self.size = [], 0
 
-    def slices(self) -> Iterator[tuple[int, bytes]]:
-        self.flush()
-        if self.counts.any():
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            for k, part in enumerate(self.counts.reshape(-1, 1 << SLICE_BITS)):
-                yield k, squeeze(part.tobytes())
+def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+class CellCounts:
+    """Counts of a task's hashes by cell, as rows ``(slice, blob)`` of cells within a slice and their counts."""
 
+    def __init__(self, bits: int) -> None:
+        self.bits, self.held, self.size = bits, [], 0
+        self.dense = np.zeros(1 << bits, np.uint32) if bits <= DENSE_BITS else None
 
-def summed_cells(slices: DataFrame) -> np.ndarray:
-    """Cell counts over all tasks from rows ``slice, blob``: 2^20 numbers, whatever the input."""
-    fields = [("slice", "int"), ("blob", "binary")]
+    def add(self, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        self.held.append(cells(hashes, self.bits).astype(np.uint32))
+        self.size += len(hashes)
+        if self.size > 1 << (19 if self.dense is not None else 22):
+            yield from self.flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(zstandard.decompress(blob), np.uint32).astype(np.int64)
-                sums[k] = sums[k] + part if k in sums else part
-        yield from emitted(((k, v.tobytes()) for k, v in sums.items()), fields)
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        if not self.held:
+            return
+        found = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        if self.dense is not None:
+            self.dense += np.bincount(found, minlength=1 << self.bits).astype(np.uint32)
+        else:
+            yield from self._slices(*np.unique(found, return_counts=True))
 
-    rows = slices.repartition(1 << (CELL_BITS - SLICE_BITS), "slice").mapInArrow(run, schema_of(fields)).collect()
-    out = np.zeros((1 << (CELL_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
-    for r in rows:
-        out[r.slice] = np.frombuffer(r.blob, np.int64)
-    return out.reshape(-1)
+    def end(self) -> Iterator[tuple[int, bytes]]:
+        yield from self.flush()
+        if self.dense is not None:
+            at = np.flatnonzero(self.dense)
+            yield from self._slices(at, self.dense[at])
 
+    def _slices(self, at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        owner = at >> SLICE_BITS
+        edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(at) else np.zeros(1, np.int64)
+        for s, e in zip(edges[:-1], edges[1:]):
+            yield int(owner[s]), squeeze((at[s:e] & (1 << SLICE_BITS) - 1).astype("<u2").tobytes() + n[s:e].astype("<u4").tobytes())
 
-def id_cells(ids: list[int | None]) -> np.ndarray:
-    """Cells of row ids; null has the cell of -1."""
-    x = np.array([-1 if i is None else i for i in ids], np.int64).astype(np.uint64)
-    return cells(_mixed(x + np.uint64(0x9E3779B97F4A7C15)))
 
+def rarity(slices: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """Of each cell four times the root of its count, as 16 bits, and the mean count.
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Which cells the ids in the first column of ``ids`` fall in; 2^20 bits, so a superset of the ids passes."""
+    The root of a count varies by a half, whatever the count, so equally rare
+    cells differ by noise only and frequent ones stand out at any corpus size.
+    """
+    fields = [("slice", "int"), ("blob", "binary"), ("total", "long")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = CellCounts()
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            np.maximum.at(c.counts, id_cells(b.column(0).to_pylist()), 1)
-        yield from emitted(c.slices(), [("slice", "int"), ("blob", "binary")])
-
-    return summed_cells(ids.select(F.col(ids.columns[0]).cast("long")).mapInArrow(run, schema_of([("slice", "int"), ("blob", "binary")]))) > 0
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = zstandard.decompress(blob)
+                n = len(data) // 6
+                own = sums.setdefault(k, np.zeros(1 << SLICE_BITS, np.int64))
+                own[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, "<u4", n, 2 * n)
+        yield from emitted(((k, np.minimum(4 * np.sqrt(v), 65535).astype("<u2").tobytes(), int(v.sum())) for k, v in sums.items()), fields, 64)
+
+    n_slices = 1 << (bits - SLICE_BITS)
+    rows = stored(slices.repartition(min(n_slices, int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "slice").mapInArrow(run, schema_of(fields)), "cells")
+    out, total = np.zeros((n_slices, 1 << SLICE_BITS), np.uint16), 0
+    for r in rows.toLocalIterator():
+        out[r.slice] = np.frombuffer(r.blob, "<u2")
+        total += r.total
+    return out.reshape(-1), total / (1 << bits)

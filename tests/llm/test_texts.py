@@ -399,12 +399,44 @@ def test_ngram_join(spark, monkeypatch, small):
         monkeypatch.setattr(ngram_join, "CROWDED", 3)
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
         monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", 0)
-        monkeypatch.setattr(ngram_join, "SENT_IDS", 0)
+        monkeypatch.setattr(ngram_join, "SENT_CLASSES", 0)
+        monkeypatch.setattr(ngram_join, "FAN", 2)
+        monkeypatch.setattr("tesserae.llm._common.HOT_SHARE", 0.02)
     rows = near_sets()
     got = ngram_join.near_duplicates(frame(spark, rows)).collect()
     assert Counter(map(tuple, got)) == plain_near(rows)
 
 
+def test_different_long_words_are_different_shingles(spark):
+    """Thue-Morse words and their complements, which a polynomial modulo 2^64 takes for equal."""
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{w} one two three four five"), (2, f"{other} one two three four five"), (3, w), (4, other), (5, f"x {w} y z u"), (6, f"x {other} y z u")]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {k: k for k, _ in rows}
+
+
+def test_cells_follow_the_corpus():
+    from tesserae.llm import shingles
+
+    assert [shingles.cell_bits(n) for n in (0, 10**8, 5 * 10**8, 10**14)] == [16, 19, 22, 25]
+    rng = np.random.default_rng(0)
+    h = np.sort(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2))
+    for bits in (16, 23):
+        counts, sums = shingles.CellCounts(bits), Counter()
+        rows = [*counts.add(h[:20_000]), *counts.add(h[20_000:]), *counts.add(h[:7]), *counts.end()]
+        import zstandard
+
+        for k, blob in rows:
+            data = zstandard.decompress(blob)
+            n = len(data) // 6
+            for at, c in zip(np.frombuffer(data, "<u2", n).tolist(), np.frombuffer(data, "<u4", n, 2 * n).tolist()):
+                sums[(k << 14) + at] += c
+        assert sums == Counter(shingles.cells(np.concatenate([h, h[:7]]), bits).tolist())
+
+
 def test_ngram_representatives(spark):
     rows = near_sets()
     df = frame(spark, rows)
