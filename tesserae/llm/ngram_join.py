@@ -4,7 +4,7 @@
    sets are written and all later steps read those. Equal sets are one class
    (key and size); only classes are joined.
 2. Order. Occurrences are counted over the whole corpus in hash cells, about one
-   for 32 shingles; how frequent a shingle's cell is, then its hash, is the
+   for 20 shingles; how frequent a shingle's cell is, then its hash, is the
    global order, rare first. Any order gives the same links; a good one gives
    short lists. At most 2^25 cells, so with a very large corpus what stands out
    are shingles more frequent than the noise of a cell.
@@ -45,6 +45,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ CROWDED = 20_000
 #: Rounds against a drawn member end when all remaining pairs are fewer than so many times the list entries.
 PAIRS_PER_ENTRY, MAX_ROUNDS = 16, 8
 FLUSH, BLOCK, MERGED = 250_000, 2048, 200_000
+#: Lists of so many tasks meet once more to be put together, so no task sees all lists of a large group.
+MET_TASKS = 1024
 #: Up to so many classes are told to all executors when sets are fetched: 24 MB; more are joined.
 SENT_CLASSES = 1_000_000
 #: Bytes of text for each task that gathers lists.
@@ -122,7 +125,7 @@ def _overlap_bound(x: bytes, y: bytes) -> int | None:
     return int(np.minimum(u.reshape(len(y), -1).sum(1), v).sum())
 
 
-#: Rows of lists: kind g: a = least key, n members; kind h: a = shingle, one member; kind s: key, n, bins.
+#: Rows of lists: kind g: a = least key, n members, pos = which tasks' lists it meets; kind h: a = shingle, one member; kind s: key, n, bins.
 ENTRY = [("kind", "string"), ("a", "long"), ("key", "long"), ("n", "int"), ("pos", "int"), ("blob", "binary")]
 _POST = np.dtype([("tok", "<u4"), ("bucket", "<u4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
@@ -242,7 +245,7 @@ def _prefixes(sets: DataFrame, rare: np.ndarray, crowd: int, bits: int, n_parts:
                 found.append(rows)
             found.sort(key=lambda x: int(x["key"][0]))
             for rows in _merged(iter(found)):
-                yield "g", int(rows["key"][0]), None, len(rows), None, rows.tobytes()
+                yield "g", int(rows["key"][0]), None, len(rows), TaskContext.get().partitionId() // MET_TASKS, rows.tobytes()
 
         def rows() -> Iterator[tuple]:
             for b in batches:
@@ -275,7 +278,7 @@ def _members(lists: DataFrame, n_parts: int) -> DataFrame:
             gid = set_key(np.ascontiguousarray(rows["key"]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), gid)), *(pa.array(rows[c].astype(t)) for c, t in (("key", np.int64), ("n", np.int32), ("pos", np.int32), ("deg", np.int64)))], names=[f for f, _ in fields])
 
-    grouped_lists = lists.where("kind = 'g'").select("a", "blob").repartition(n_parts, "a").sortWithinPartitions("a").mapInArrow(spread, schema_of(fields))
+    grouped_lists = lists.where("kind = 'g'").select("a", "blob", "pos").repartition(n_parts, "a", "pos").sortWithinPartitions("a", "pos").mapInArrow(spread, schema_of(fields))
     crowded = lists.where("kind = 'h'").select(F.col("a").alias("g"), "key", "n", "pos").distinct().withColumn("degree", F.lit(1).cast("long"))
     rows = stored(grouped_lists.unionByName(crowded), "entries")
     degree = rows.groupBy("key", "n").agg(F.sum("degree").alias("degree"))

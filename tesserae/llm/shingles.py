@@ -17,21 +17,6 @@ RUN_WORDS = 1 << 20
 _MASK, _START = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
-class _Words(dict):
-    """64-bit hashes of words; those of at most 48 bytes are remembered, up to 400,000."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -43,7 +28,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _windows(words: list[bytes], width: int) -> np.ndarray:
     """Hashes of all ``width``-word windows: word hashes taken in one after another, each through a mixing step."""
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(words) - width + 1
     h = np.full(n, (_START * width) & _MASK, np.uint64)
     for k in range(width):
@@ -71,13 +56,13 @@ def set_key(a: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(a.tobytes()) - (1 << 63)
 
 
-#: Cells grow with the corpus, about one for 32 shingles, up to 2^25: 64 MB once for each executor.
+#: Cells grow with the corpus, about one for 20 shingles, up to 2^25: 64 MB once for each executor.
 LEAST_BITS, MOST_BITS, SLICE_BITS, DENSE_BITS = 16, 25, 14, 22
 
 
 def cell_bits(n_bytes: int) -> int:
     """Bits of the cell number for a corpus of so many bytes of text."""
-    return min(MOST_BITS, max(LEAST_BITS, (n_bytes // 192).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (n_bytes // 128).bit_length()))
 
 
 def cells(hashes: np.ndarray, bits: int) -> np.ndarray:

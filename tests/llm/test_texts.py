@@ -421,7 +421,7 @@ def test_different_long_words_are_different_shingles(spark):
 def test_cells_follow_the_corpus():
     from tesserae.llm import shingles
 
-    assert [shingles.cell_bits(n) for n in (0, 10**8, 5 * 10**8, 10**14)] == [16, 19, 22, 25]
+    assert [shingles.cell_bits(n) for n in (0, 10**8, 5 * 10**8, 10**14)] == [16, 20, 22, 25]
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2))
     for bits in (16, 23):
