@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,23 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def reachable(spark: SparkSession) -> None:
     """Make the session fit for texts.
 
-    Python workers get this package. Arrow batches hold 2,000 rows, unless the
+    Python workers get this package. Arrow batches hold 1,000 rows, unless the
     session was given a number of its own: whole texts are large rows.
     """
     shipped(spark)
     if BATCH_ROWS not in spark.conf.getAll:
-        spark.conf.set(BATCH_ROWS, "2000")
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is computed within goes to Python in batches of at most ``rows``: for rows that hold whole sets."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +74,13 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
 
 
 def text_sample(df: DataFrame, text: str, rows: int, most: int = 1 << 16, seed: int = 1) -> list[str]:
-    """At most ``rows`` texts of at most ``most`` bytes, drawn by hash over the whole table; null is empty.
+    """About ``rows`` texts of at most ``most`` bytes, drawn row by row over the whole table; null is empty.
 
-    At most ``rows * most`` bytes come to the driver.
+    At most ``2 * rows`` texts come to the driver, ``2 * rows * most`` bytes.
     """
-    own = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.octet_length("t") <= most)
-    return [r.t for r in own.orderBy(F.xxhash64(F.lit(seed), "t"), "t").limit(rows).collect()]
+    n = df.count()
+    own = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).sample(min(1.0, rows / max(n, 1)), seed)
+    return [r.t for r in own.where(F.octet_length("t") <= most).limit(2 * rows).collect()]
 
 
 def free_name(taken: list[str], name: str) -> str:
@@ -99,7 +113,7 @@ def batch_of(rows: list[tuple], fields: list[tuple[str, str]]) -> pa.RecordBatch
     )
 
 
-def emitted(rows: Iterator[tuple], fields: list[tuple[str, str]], size: int = 4096, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def emitted(rows: Iterator[tuple], fields: list[tuple[str, str]], size: int = 4096, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Rows in Arrow batches of at most ``size``, closed once their binary values exceed ``most`` bytes."""
     held: list[tuple] = []
     binary, weight = [k for k, (_, t) in enumerate(fields) if t == "binary"], 0
@@ -114,6 +128,15 @@ def emitted(rows: Iterator[tuple], fields: list[tuple[str, str]], size: int = 40
         yield batch_of(held, fields)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker gives unused memory back, as it lives on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Runs of rows that agree in the first ``n_keys`` integer columns; rows come sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._common import as_bytes, emitted, free_name, grouped, join_counted, schema_of, stored
+from tesserae.llm._common import as_bytes, batches_of, emitted, free_name, grouped, join_counted, schema_of, stored, trimmed
 from tesserae.llm.components import components
 from tesserae.llm.shingles import CellCounts, cell_bits, cells, rarity, set_key, shingle_set
 
@@ -57,13 +57,15 @@ from tesserae.llm.shingles import CellCounts, cell_bits, cells, rarity, set_key,
 CROWDED = 20_000
 #: Rounds against a drawn member end when all remaining pairs are fewer than so many times the list entries.
 PAIRS_PER_ENTRY, MAX_ROUNDS = 16, 8
-FLUSH, BLOCK, MERGED = 250_000, 2048, 200_000
+FLUSH, BLOCK, MERGED = 250_000, 2048, 100_000
 #: Lists of so many tasks meet once more to be put together, so no task sees all lists of a large group.
 MET_TASKS = 1024
 #: Up to so many classes are told to all executors when sets are fetched: 24 MB; more are joined.
 SENT_CLASSES = 1_000_000
 #: Bytes of text for each task that gathers lists.
 TASK_BYTES = 128 << 20
+#: Rows with a set in an Arrow batch.
+SET_ROWS = 256
 #: Members of a pairing that share one copy of the set they are compared with.
 FAN = 512
 
@@ -103,7 +105,7 @@ def _sets(df: DataFrame, id_col: str, text: str, width: int, bits: int) -> DataF
             for k, blob in counts.end():
                 yield None, None, None, None, k, blob
 
-        return emitted(rows(), fields)
+        return trimmed(emitted(rows(), fields))
 
     return stored(df.select(F.col(id_col).cast("long"), F.col(text).cast("string"), F.xxhash64(text)).mapInArrow(run, schema_of(fields)), "sets")
 
@@ -221,7 +223,7 @@ def _prefixes(sets: DataFrame, rare: np.ndarray, crowd: int, bits: int, n_parts:
                         yield from flush()
             yield from flush()
 
-        return emitted(rows(), fields, 2048)
+        return trimmed(emitted(rows(), fields, 2048))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -263,10 +265,11 @@ def _prefixes(sets: DataFrame, rare: np.ndarray, crowd: int, bits: int, n_parts:
                         yield tuple(b.column(c)[k].as_py() for c in range(1, 7))
             yield from lists()
 
-        return emitted(rows(), ENTRY, 1024)
+        return trimmed(emitted(rows(), ENTRY, 1024))
 
     posted = sets.select("key", "n", "set").mapInArrow(emit, schema_of(fields))
-    return stored(posted.repartition(n_parts, "bucket").mapInArrow(gather, schema_of(ENTRY)), "prefixes")
+    with batches_of(sets.sparkSession, SET_ROWS):
+        return stored(posted.repartition(n_parts, "bucket").mapInArrow(gather, schema_of(ENTRY)), "prefixes")
 
 
 def _members(lists: DataFrame, n_parts: int) -> DataFrame:
@@ -351,7 +354,7 @@ def _pairs_within(members: DataFrame, percent: int, n_parts: int) -> DataFrame:
                         told.add(pair)
                         yield pair
 
-        return emitted(pairs(), fields)
+        return trimmed(emitted(pairs(), fields))
 
     return rows.repartition(n_parts, *names).sortWithinPartitions(*names).mapInArrow(run, schema_of(fields))
 
@@ -423,9 +426,10 @@ class _Join:
                         elif holds(n, m, x.as_py(), y, percent):
                             yield a, n, b, m
 
-            return emitted(rows(), fields)
+            return trimmed(emitted(rows(), fields))
 
-        return stored(dealt.mapInArrow(run, schema_of(fields)), kind)
+        with batches_of(pairs.sparkSession, SET_ROWS):
+            return stored(dealt.mapInArrow(run, schema_of(fields)), kind)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among new distinct pairs: suffix filter, then the sets themselves."""

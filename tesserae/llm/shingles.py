@@ -87,10 +87,11 @@ class CellCounts:
             return
         found = np.concatenate(self.held)
         self.held, self.size = [], 0
+        at, n = np.unique(found, return_counts=True)
         if self.dense is not None:
-            self.dense += np.bincount(found, minlength=1 << self.bits).astype(np.uint32)
+            self.dense[at] += n.astype(np.uint32)
         else:
-            yield from self._slices(*np.unique(found, return_counts=True))
+            yield from self._slices(at, n)
 
     def end(self) -> Iterator[tuple[int, bytes]]:
         yield from self.flush()
