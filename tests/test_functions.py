@@ -1,4 +1,5 @@
 import itertools
+import json
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae import cli
 from tesserae.functions import bounds, laws, metrics
-from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1, Invariant, as_square, distance_columns, distance_name, named, pairs, points_of, values_of, vr_persistence
+from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, NAMED, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1, Invariant, as_square, distance_columns, distance_name, named, pairs, points_of, values_of, vr_persistence
 from tesserae.functions.numeric import rounded
 
 ALL = [PAIRWISE_DISTANCE, HYPERBOLICITY_DEFICIT, VR_PERSISTENCE_4_1]
@@ -158,7 +159,13 @@ def test_command_line(capsys):
     assert "Proposition 6.6" in out and "1,324" in out
     cli.main(["accuracy", "-N", "1e6", "hyperbolicity_deficit"])
     out = capsys.readouterr().out
-    assert "N = 1,000,000" in out and "pairwise_distance" not in out
+    assert "1,000,000" in out and "Prop 6.6" in out and "statement" in out and "pairwise_distance" not in out
+    cli.main(["accuracy", "-N", "53433249", "-p", "1", "--as", "json"])
+    records = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [r["invariant"] for r in records] == list(NAMED) and {r["n_samples"] for r in records} == {53433249}
+    cli.main(["bound-real-valued", "-p", "1", "-e", "0.1", "-a", "0.95", "--as", "tsv"])
+    head, row = (x.split("\t") for x in capsys.readouterr().out.splitlines())
+    assert dict(zip(head, row))["tuples"] == "1324"
     with pytest.raises(SystemExit):
         cli.main(["accuracy", "-N", "100", "curvature"])
 
