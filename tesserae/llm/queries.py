@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, idfile, lattice, mixing, ngram_join, packing, quality, secret_scan, tokencount, warc
+from tesserae.llm import chat, hard_negatives, idfile, lattice, mixing, ngram_join, packing, pieces, quality, resampling, secret_scan, tokencount, warc
 from tesserae.llm._common import table
 
 
@@ -68,7 +68,22 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_ids, op4_source_mix, op5_embedding_dedup, op6_ngram_jaccard, op7_secret_scan, op8_warc, op9_packing, op10_chat_formatting)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_pieces(table(spark, sf_dir, "documents"))
+    spanned = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda s, n: s + n)
+    read = pieces.decode_pieces(coded.select("doc_id", "n_tokens", "ids", spanned.alias("spanned_bytes")))
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "spanned_bytes")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_token_ids, op4_source_mix, op5_embedding_dedup, op6_ngram_jaccard, op7_secret_scan, op8_warc, op9_packing, op10_chat_formatting, op11_importance_resampling, op12_sentencepiece, op13_hard_negatives)}
 
 #: Quality rules in SQL: the measures by word lists and 8-word windows, the verdict as one condition.
 OP1_SQL = r"""
@@ -169,4 +184,49 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 FROM least LEFT JOIN n USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_warc": OP8_SQL, "op10_chat_formatting": OP10_SQL}
+#: Resampling in SQL. The crc32 of a word runs over its bytes with the table of the reflected polynomial 0xEDB88320.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table(k, c, step) AS (
+  SELECT k::BIGINT, k::BIGINT, 0 FROM range(256) t(k)
+  UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM crc_table WHERE step < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY k) AS tab FROM crc_table WHERE step = 8
+), texts AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), words AS MATERIALIZED (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts
+), hexes AS (SELECT w, hex(w) AS h FROM (SELECT DISTINCT w FROM words)
+), codes AS (
+  SELECT w, list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: (strpos('0123456789ABCDEF', h[2*i+1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2*i+2]) - 1)) AS b FROM hexes
+), buckets AS MATERIALIZED (
+  SELECT w, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM codes, crc
+), found AS MATERIALIZED (SELECT side, id, bucket FROM words JOIN buckets USING (w)
+), n AS (SELECT count(*) FILTER (WHERE side = 0)::DOUBLE AS s, count(*) FILTER (WHERE side = 1)::DOUBLE AS t FROM found
+), own AS (SELECT bucket, count(*) FILTER (WHERE side = 0)::DOUBLE AS x, count(*) FILTER (WHERE side = 1)::DOUBLE AS y FROM found GROUP BY bucket
+), gains AS (SELECT bucket, floor(1000.0 * ln((y + 1.0) * (n.s + 10000.0) / ((x + 1.0) * (n.t + 10000.0))))::BIGINT AS gain FROM own, n
+), sums AS (SELECT id AS doc_id, count(*) AS n_features, sum(gain) AS total FROM found JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(floor(total / n_features), 0)::BIGINT AS weight,
+    floor(-1000.0 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS noise
+  FROM documents LEFT JOIN sums USING (doc_id)
+), ranks AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranks USING (doc_id)
+"""
+
+#: All products of anchors and rows, best five of the own label, then the best three in each window.
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_warc": OP8_SQL, "op10_chat_formatting": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_hard_negatives": OP13_SQL}
