@@ -46,6 +46,7 @@ def hamming_fields(names: Sequence[str]) -> Metric:
             total = total + F.when(a[n] != b[n], 1).otherwise(0)
         return total.cast("double")
 
+    metric.kernel = "fields"
     return metric
 
 
@@ -94,6 +95,10 @@ def from_python(func: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Metric:
     return lambda a, b: rows(a, b)
 
 
+#: How blocks of points are compared at once (``kernels``).
+euclidean.kernel, hamming.kernel, hamming_packed.kernel = "euclidean", "values", "packed"
+
+
 def resolve(metric: str | Metric) -> Metric:
     """The factory of a name, or the factory itself."""
     if callable(metric):

@@ -8,11 +8,12 @@ Points within the broadcast bound are looked up slot by slot. Larger tables are
 met once: the ids of all slots become rows, join the points, and meet again by
 tuple, so each coordinate array travels once. Points that hold a large share of
 a measure would pile up in one task; those few are sent to all executors.
+Points of many columns under a metric that adds up over columns are met block by
+block of their columns (``blocks``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import Invariant, distance_columns, distance_name, named, pairs, values_of
 from tesserae.functions.numeric import rounded
+from tesserae.operators.blocks import block_distances, blockwise
 from tesserae.operators.draws import checked, tuples
 from tesserae.operators.space import BROADCAST_BYTES, Space
+from tesserae.operators.tiles import distance_tiles, pair_rows
 
 #: Rows of distances collected to the driver are refused beyond this.
 MAX_BYTES = 4 << 30
@@ -39,6 +42,9 @@ def with_distances(space: Space, drawn: DataFrame, n: int, wanted: Sequence[tupl
             own = space.lookup(space.distances.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("d").alias(name)), space.n_points**2, 32)
             out = out.join(own, (out[f"i{a}"] == own["_i"]) & (out[f"i{b}"] == own["_j"])).drop("_i", "_j")
         return out
+    kernel = blockwise(space)
+    if kernel and not drawn.isStreaming:
+        return block_distances(space, drawn, wanted, kernel)
     used = sorted({k for p in wanted for k in p})
     out = drawn if space.small() else _gathered(space, drawn, used)
     for k in used if space.small() else ():
@@ -174,23 +180,6 @@ def batch_histogram(rows: DataFrame, f: Callable[[np.ndarray], Mapping], n: int,
     return parts.groupBy(*fields).agg(F.sum("cnt").cast("long").alias("cnt"))
 
 
-#: Points in a block of ``all_pairs``; there are at least ``MIN_BLOCKS`` blocks.
-PAIR_BLOCK, MIN_BLOCKS = 1024, 8
-
-
 def all_pairs(points: DataFrame, space: Space, n_points: int | None = None) -> DataFrame:
-    """Distances ``i, j, d`` of all pairs i < j of a table of points, such as a subsample.
-
-    Points are dealt to blocks, and each pair of blocks is a key of its own, so
-    the pairs are made by many tasks and nothing is broadcast. ``n_points`` is
-    counted if not given.
-    """
-    n = points.count() if n_points is None else n_points
-    blocks = max(MIN_BLOCKS, math.ceil(n / PAIR_BLOCK))
-    own = points.select(F.col("pid"), "x", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias("b"))
-    with_other = own.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keyed = with_other.select(F.least("b", "w").alias("lo"), F.greatest("b", "w").alias("hi"), "b", "pid", "x")
-    a = keyed.select("lo", "hi", F.col("b").alias("_p"), F.col("pid").alias("i"), F.col("x").alias("_a"))
-    b = keyed.select("lo", "hi", F.col("b").alias("_q"), F.col("pid").alias("j"), F.col("x").alias("_b"))
-    met = a.join(b.hint("shuffle_hash"), ["lo", "hi"]).where((F.col("i") < F.col("j")) & ((F.col("lo") == F.col("hi")) | (F.col("_p") != F.col("_q"))))
-    return met.select("i", "j", space.metric(F.col("_a"), F.col("_b")).alias("d"))
+    """Distances ``i, j, d`` of all pairs i < j of a table of points, such as a subsample, from packed tiles (``tiles``)."""
+    return pair_rows(distance_tiles(points, space, n_points))

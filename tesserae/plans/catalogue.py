@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import bounds, laws, metrics
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1, Invariant, gromov_product, vr_persistence
-from tesserae.operators import alignment, distributions, draws, histograms, mds, slices
+from tesserae.operators import alignment, distributions, draws, histograms, mds, slices, tiles
 from tesserae.operators.space import Space, precomputed, space
 from tesserae.plans import sql
 from tesserae.sources.shared import shipped
@@ -524,16 +524,10 @@ def q46_hb_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit.select("family", "time", F.posexplode("rho").alias("symbol", "prob")).withColumn("prob", F.round("prob", 12))
 
 
-#: All vectors of the test tables; of larger ones, so many landmarks.
-LANDMARKS = 2000
-
-
 @query()
 def q47_mds_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = space(read(spark, sf_dir, "embeddings"), "embedding", "euclidean", pid="vec_id", check=False)
-    points = draws.subsample(s.points, LANDMARKS, 5)
-    ids = [r.pid for r in points.select("pid").orderBy("pid").collect()]
-    return mds.embed(spark, mds.square(distributions.all_pairs(points, s), ids), ids)
+    return mds.embed(tiles.distance_tiles(s.points, s, s.n_points))
 
 
 @query(f"""WITH a AS (SELECT d01 AS x, count(*) / {SAMPLES}::DOUBLE AS p FROM ({part_distances(7, 2)}) GROUP BY 1), b AS (SELECT d01 AS x, -count(*) / {SAMPLES}::DOUBLE AS p FROM ({part_distances(8, 2)}) GROUP BY 1),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import bounds, laws
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1, distance_name, pairs
 from tesserae.functions.metrics import hamming_packed, pack_symbols
-from tesserae.operators import alignment, distributions, draws, histograms, mds, slices
+from tesserae.operators import alignment, distributions, draws, histograms, mds, slices, tiles
 from tesserae.operators.space import space
 from tesserae.sources import fasta, tables
 
@@ -89,8 +89,7 @@ def embed_forms(spark: SparkSession, out: str, accession: str | None = None, max
     points = forms.select(F.col("uid").alias("pid"), pack_symbols(F.col("seq")).alias("x"))
     s = space(points, F.col("x"), hamming_packed, check=False)
     chosen = draws.subsample(s.points, max_points, seed, pin=pin)
-    ids = [r.pid for r in chosen.select("pid").orderBy("pid").collect()]
-    e = mds.embed(spark, mds.square(distributions.all_pairs(chosen, s), ids), ids, n_init=n_init, max_iter=max_iter, seed=seed)
+    e = mds.embed(tiles.distance_tiles(chosen, s), n_init=n_init, max_iter=max_iter, seed=seed)
     own = e.select(F.col("pid").alias("uid"), F.col("x0").alias("x"), F.col("x1").alias("y"), "stress")
     full = own.join(forms.select("uid", "first_seen"), "uid").withColumn("is_reference", F.col("uid").eqNullSafe(F.lit(pin)))
     tables.write_embedding(full.orderBy("uid"), f"{out}/mds_embedding_max{max_points}")
@@ -120,8 +119,7 @@ def run_model(spark: SparkSession, out: str, length: int = 100, k: int = 4, beta
             s = draws.sequences(spark, list(r.rho), length, mds_samples, seed + len(own_layers) * f + i, "xx").select((F.col("t") + i * mds_samples).alias("pid"), F.col("symbols").alias("x"))
             points = s if points is None else points.unionByName(s)
         own = space(points, "x", "hamming")
-        ids = list(range(own.n_points))
-        e = mds.embed(spark, mds.square(distributions.all_pairs(own.points, own), ids), ids, n_init=mds_n_init, max_iter=mds_max_iter, seed=seed)
+        e = mds.embed(tiles.distance_tiles(own.points, own, own.n_points), n_init=mds_n_init, max_iter=mds_max_iter, seed=seed)
         e.select(F.lit(family).alias("family"), F.floor(F.col("pid") / mds_samples).cast("int").alias("layer_index"), "*").write.mode("append" if f else "overwrite").parquet(f"{out}/embedding")
 
 

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1
-from tesserae.functions.metrics import from_python
-from tesserae.operators import alignment, distributions, draws, histograms, mds, ordering, slices
+from tesserae.functions.metrics import from_python, hamming_packed, manhattan, pack_symbols
+from tesserae.operators import alignment, blocks, distributions, draws, histograms, mds, ordering, slices, tiles
 from tesserae.operators.space import precomputed, space
 from tesserae.sources import fasta, tables
 from tesserae.streaming import histograms as streamed
@@ -277,12 +277,95 @@ def test_subsample_and_embedding(spark):
     chosen = draws.subsample(s.points, 25, 4, pin=39)
     ids = sorted(r.pid for r in chosen.collect())
     assert len(ids) == 25 and 39 in ids and draws.subsample(s.points, 99, 4).count() == 40
-    d = mds.square(distributions.all_pairs(chosen, s), ids)
+    t = tiles.distance_tiles(chosen, s)
+    d = tiles.matrix(t.rows.first().asDict())
+    assert t.blocks == 1 and np.allclose(d, np.linalg.norm(flat[ids][:, None] - flat[ids][None], axis=2))
     _, history = mds.majorize(d, 1, max_iter=200)
     assert all(b <= a + 1e-9 * history[0] for a, b in zip(history, history[1:])), history[-5:]
-    out = mds.embed(spark, d, ids, n_init=4, max_iter=400).orderBy("pid").collect()
+    out = mds.embed(t, n_init=4, max_iter=400).orderBy("pid").collect()
     x = np.array([(r.x0, r.x1) for r in out])
-    assert np.abs(mds._distances(x) - d).max() < 0.1 * d.max()
+    assert [r.pid for r in out] == ids and np.abs(mds._distances(x) - d).max() < 0.1 * d.max()
+
+
+def test_embedding_over_many_tiles(spark, monkeypatch):
+    """Passes over tiles take the steps of one whole matrix, and the stress never rises."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(70, 3))
+    s = space(spark.createDataFrame([(7 * k, v.tolist()) for k, v in enumerate(x)], "pid long, x array<double>"), "x", "euclidean", check=False)
+    whole = tiles.distance_tiles(s.points, s)
+    monkeypatch.setattr(tiles, "TILE", 16)
+    cut = tiles.distance_tiles(s.points, s)
+    assert (cut.size, cut.blocks, cut.rows.count()) == (16, 5, 15)
+    d = tiles.matrix(whole.rows.first().asDict())
+    last, told = mds.histories(cut, 2, 12, 5, 2, 1e-9)
+    for k in range(2):
+        want, history = mds.majorize(d, 5 + k, max_iter=12, eps=1e-9)
+        assert np.allclose(told[k], history, rtol=1e-9) and all(b <= a * (1 + 1e-12) for a, b in zip(told[k], told[k][1:]))
+        assert np.allclose(last[k] - last[k].mean(0), want, atol=1e-8)
+    a, b = ({r.pid: (r.x0, r.x1, r.stress) for r in mds.embed(t, n_init=2, max_iter=12, seed=5).collect()} for t in (whole, cut))
+    assert a.keys() == b.keys() == {7 * k for k in range(70)} and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+    assert mds.embed(tiles.distance_tiles(s.points.limit(0), s)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1024, 7])
+def test_tiles_of_every_metric(spark, monkeypatch, size):
+    """Kernels give the distances of the column expressions, ties, nulls and NaN of fields included."""
+    monkeypatch.setattr(tiles, "TILE", size)
+    rng = np.random.default_rng(9)
+    seqs = ["".join(x) for x in rng.choice(list("ACGT"), (23, 100))]
+    seqs[4] = seqs[3]
+    df = spark.createDataFrame([(3 * k, v, rng.integers(0, 3, 70).tolist(), rng.normal(size=5).tolist(), None if k % 5 == 0 else f"b{k % 4}", float("nan") if k % 6 == 0 else k % 3 / 2) for k, v in enumerate(seqs)], "pid long, seq string, v array<int>, e array<double>, a string, f double")
+    cases = [
+        (space(df.withColumn("w", pack_symbols(F.col("seq"))), F.col("w"), hamming_packed, check=False), "packed"),
+        (space(df, "v", "hamming", check=False), "values"),
+        (space(df, "e", "euclidean", check=False), "euclidean"),
+        (space(df, ["a", "f"], "hamming", check=False), "fields"),
+        (space(df, "e", manhattan, check=False), None),
+    ]
+    for s, name in cases:
+        assert getattr(s.metric, "kernel", None) == name
+        p = s.points
+        want = p.alias("a").join(p.alias("b"), F.col("a.pid") < F.col("b.pid")).select(F.col("a.pid").alias("i"), F.col("b.pid").alias("j"), s.metric(F.col("a.x"), F.col("b.x")).alias("d"))
+        got = distributions.all_pairs(p, s)
+        assert got.count() == 253 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), name
+
+
+@pytest.mark.parametrize("block_bytes", [128 << 20, 8 * 60 * 5])
+def test_wide_points_by_column_blocks(spark, monkeypatch, block_bytes):
+    """The histograms of column blocks are those of whole arrays, heavy points and numpy draws included."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(10)
+    wide = rng.integers(0, 3, (60, 203))
+    wide[7] = wide[8]
+    text = ["".join("ACGT"[c] for c in rng.integers(0, 4, 2500)) for _ in range(60)]
+    rows = spark.createDataFrame([(k, v.tolist(), t, 1000 if k < 2 else 1) for k, (v, t) in enumerate(zip(wide, text))], "pid long, x array<int>, seq string, w long")
+    for coords, metric, weight in (("x", "hamming", None), ("x", "hamming", "w"), (pack_symbols(F.col("seq")), hamming_packed, None)):
+        s = space(rows, coords, metric, weight=weight)
+        kernel = blocks.blockwise(s)
+        assert kernel is not None
+        for mode in ("xx", "numpy"):
+            got = counts(distributions.distributions(s, ALL, 4, 1500, 7, mode))
+            measure = distributions.curvature_measure(s, 4, 200, 7, mode).orderBy("t").collect()
+            with monkeypatch.context() as m:
+                m.setattr(blocks, "WIDE", 1 << 30)
+                assert got == counts(distributions.distributions(s, ALL, 4, 1500, 7, mode))
+                assert measure == distributions.curvature_measure(s, 4, 200, 7, mode).orderBy("t").collect()
+
+
+def test_column_blocks_shuffle_what_they_say(spark, monkeypatch):
+    """Bytes a tuple: its ids and one number a pair for each block, whatever the columns in a block."""
+    rng = np.random.default_rng(11)
+    sent = {}
+    for width in (400, 1600):
+        s = space(spark.createDataFrame([(k, rng.integers(0, 3, width).tolist()) for k in range(40)], "pid long, x array<int>"), "x", "hamming")
+        monkeypatch.setattr(blocks, "BLOCK_BYTES", 8 * 40 * width // 4)
+        drawn = draws.tuples(s, 4, 0, 20_000, 3)
+        rows = blocks.block_distances(s, drawn, [(0, 1), (2, 3)], blocks.blockwise(s))
+        plan = rows._jdf.queryExecution().executedPlan()
+        rows.write.format("noop").mode("overwrite").save()
+        sent[width] = rows.count()
+        assert "BroadcastHashJoin" not in plan.toString() and "SortMergeJoin" not in plan.toString()
+    assert sent == {400: 20_000, 1600: 20_000}
 
 
 def test_sequences(spark):
