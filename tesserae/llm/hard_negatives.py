@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm._common import batches_of, reachable, stored, trimmed
+from tesserae.sources.shared import scratch
 
 #: Anchors of a group, and rows of a part: what one task holds, and what streams through it.
 GROUP, PART = 1024, 1 << 17
@@ -240,19 +241,19 @@ def hard_negatives(rows: DataFrame, every: int = 50, n_positives: int = 5, n_neg
     """
     spark = rows.sparkSession
     reachable(spark)
-    table = stored(usable(rows, scale, shift_every, n_labels, id_col, vector, label), "integer-vectors")
-    anchors = table.where(F.col("id") % every == 0)
-    n = table.agg(F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("anchors")).first()
-    with batches_of(spark, BATCH):
+    with scratch(spark) as keep, batches_of(spark, BATCH):
+        table = stored(usable(rows, scale, shift_every, n_labels, id_col, vector, label), "integer-vectors")
+        anchors = table.where(F.col("id") % every == 0)
+        n = table.agg(F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("anchors")).first()
         all_of = F.array(F.lit(_LOWEST + 1)), F.array(F.lit(1 << 62))
-        positives = stored(search(table, anchors.withColumns({"low": all_of[0], "high": all_of[1]}), n_positives, True, n.rows, n.anchors), "positives")
+        positives = keep(search(table, anchors.withColumns({"low": all_of[0], "high": all_of[1]}), n_positives, True, n.rows, n.anchors), "positives")
         # One window a positive: low <= 100 * score / positive <= high, in integers; empty where an anchor has fewer.
         own = positives.groupBy("anchor_id").agg(*(F.max(F.when(F.col("place") == k + 1, F.col("score"))).alias(f"s{k}") for k in range(n_positives)))
         there = [F.col(f"s{k}") >= 0 for k in range(n_positives)]
         lows = F.array(*(F.coalesce(F.when(ok, F.expr(f"s{k} div 100 * {low} + (s{k} % 100 * {low} + 99) div 100")), F.lit(1)) for k, ok in enumerate(there)))
         highs = F.array(*(F.coalesce(F.when(ok, F.expr(f"s{k} div 100 * {high} + s{k} % 100 * {high} div 100")), F.lit(0)) for k, ok in enumerate(there)))
         asked = anchors.join(own.select(F.col("anchor_id").alias("id"), lows.alias("low"), highs.alias("high")), "id")
-        negatives = stored(search(table, asked, n_negatives, False, n.rows, n.anchors), "negatives")
+        negatives = keep(search(table, asked, n_negatives, False, n.rows, n.anchors), "negatives")
     negatives = negatives.select("anchor_id", (F.col("slot") + 1).alias("at"), F.col("place").alias("rank"), F.col("row_id").alias("negative_id"), F.col("score").alias("negative_score"))
     positives = positives.select("anchor_id", F.col("place").alias("at"), F.col("row_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return negatives.join(positives, ["anchor_id", "at"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

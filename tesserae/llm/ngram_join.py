@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from tesserae.llm._common import as_bytes, batches_of, emitted, free_name, grouped, join_counted, schema_of, stored, trimmed
 from tesserae.llm.components import components
 from tesserae.llm.shingles import CellCounts, cell_bits, cells, rarity, set_key, shingle_set
+from tesserae.sources.shared import scratch
 
 #: Cells that hold so many shingles more than the mean send theirs as rows.
 CROWDED = 20_000
@@ -443,7 +444,16 @@ class _Join:
 
 
 def _labelled(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows ``id, n, key, text_hash`` of every document, and ``key, n, label, n_rows`` of every class; a label is one of its component's classes."""
+    """Rows ``id, n, key, text_hash`` of every document, and ``key, n, label, n_rows`` of every class; a label is one of its component's classes.
+
+    Both are tables of their own; sets, lists and pairs are removed.
+    """
+    with scratch(df.sparkSession) as keep:
+        docs, classes = _classes(df, id_col, text, width, percent)
+        return keep(docs, "documents"), keep(classes, "classes")
+
+
+def _classes(df: DataFrame, id_col: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     n_bytes = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     bits = cell_bits(n_bytes)
@@ -487,7 +497,7 @@ def _labelled(df: DataFrame, id_col: str, text: str, width: int, percent: int) -
         most, few = max(most, size), 20 * size <= most
     classes = docs.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("n_rows"))
     classes = classes.join(labels.select("node.key", "node.n", "label"), ["key", "n"], "left").withColumn("label", F.coalesce("label", own_label))
-    return docs, stored(classes, "classes")
+    return docs, classes
 
 
 def _with_least(docs: DataFrame, classes: DataFrame, least: F.Column) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm._common import reachable, stored
 from tesserae.operators.ordering import dense_index
+from tesserae.sources.shared import scratch
 
 #: Words of lower-cased texts: runs of ASCII letters and digits and of all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,16 +88,17 @@ def scored(docs: DataFrame, target: DataFrame, percent: int = 10, min_words: int
     """
     reachable(docs.sparkSession)
     own, also = F.col("_buckets"), ["doc"] if carry else []
-    parts = docs.select(F.col(id_col).alias("id"), words(F.col(text)).alias("_words"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []))
-    parts = stored(parts.select("id", F.size("_words").alias("n_words"), features(F.col("_words"), lo, hi, buckets).alias("_buckets"), *also), "features")
-    aim = bucket_counts(target.select(features(words(F.col(text)), lo, hi, buckets).alias("_buckets")), "_buckets", buckets)
-    gain = F.from_json(F.lit(str(gains(bucket_counts(parts, "_buckets", buckets), aim))), "array<bigint>")  # folded to one literal
-
-    n = F.size(own).cast("long")
-    total = F.aggregate(own, F.lit(0).cast("long"), lambda s, b: s + F.get(gain, b))
-    weight = F.when(n > 0, F.floor(total / n)).otherwise(F.lit(0)).cast("long")
-    rows = parts.select("id", n.alias("n_features"), weight.alias("weight"), (F.col("n_words") >= min_words).alias("_in"), F.monotonically_increasing_id().alias("_row"), *also)
-    rows = stored(rows.withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "scores")
+    with scratch(docs.sparkSession) as keep:
+        parts = docs.select(F.col(id_col).alias("id"), words(F.col(text)).alias("_words"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if carry else []))
+        parts = stored(parts.select("id", F.size("_words").alias("n_words"), features(F.col("_words"), lo, hi, buckets).alias("_buckets"), *also), "features")
+        aim = bucket_counts(target.select(features(words(F.col(text)), lo, hi, buckets).alias("_buckets")), "_buckets", buckets)
+        gain = F.from_json(F.lit(str(gains(bucket_counts(parts, "_buckets", buckets), aim))), "array<bigint>")  # folded to one literal
+
+        n = F.size(own).cast("long")
+        total = F.aggregate(own, F.lit(0).cast("long"), lambda s, b: s + F.get(gain, b))
+        weight = F.when(n > 0, F.floor(total / n)).otherwise(F.lit(0)).cast("long")
+        rows = parts.select("id", n.alias("n_features"), weight.alias("weight"), (F.col("n_words") >= min_words).alias("_in"), F.monotonically_increasing_id().alias("_row"), *also)
+        rows = keep(rows.withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "scores")
     return ranked(rows, percent)
 
 

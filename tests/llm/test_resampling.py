@@ -58,8 +58,8 @@ def test_ranks(spark, monkeypatch, split, percent, lo, hi):
     ranked = sorted((r for r in got if r[4]), key=lambda r: r[4])
     assert [r[4] for r in ranked] == list(range(1, len(ranked) + 1)) and len(ranked) == len([k for k in want.elements() if k[4]])
     assert [r[:4] for r in ranked] == [r[:4] for r in sorted(ranked, key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))]
-    least, long = min(r[3] for r in ranked), {k for k, t in ROWS if len(grams(t, 1, 1)[0]) >= 20}
-    assert all(r[4] for r in got if r[3] > least and r[0] in long and r[0] is not None)
+    least, short = min(r[3] for r in ranked), {k for k, t in ROWS if len(grams(t, 1, 1)[0]) < 20}
+    assert all(r[4] for r in got if r[3] > least and r[0] not in short)
 
 
 def test_defined_cases(spark):
