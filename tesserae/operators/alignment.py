@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 ALLOWED = "ACGTacgt-"
@@ -42,9 +42,18 @@ def verdict(header: Column, seq: Column) -> Column:
     return F.when(~clean(seq), "bad characters").when(complete_date(header).isNull(), "no date").otherwise("complete")
 
 
-def complete(records: DataFrame) -> DataFrame:
-    """Records that are clean and dated, with ``epi_isl`` and ``date``."""
-    own = records.where(verdict(F.col("header"), F.col("seq")) == "complete")
+def complete(records: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Records that are clean and dated, with ``epi_isl`` and ``date``.
+
+    ``seen``: an observation that counts, in the pass that computes the result,
+    all ``records`` and how many of them were dropped for ``bad_characters`` and
+    for ``no_date``.
+    """
+    own = records.withColumn("_verdict", verdict(F.col("header"), F.col("seq")))
+    if seen is not None:
+        dropped = {k: F.count_if(F.col("_verdict") == k.replace("_", " ")).alias(k) for k in ("bad_characters", "no_date")}
+        own = own.observe(seen, F.count("*").alias("records"), *dropped.values())
+    own = own.where(F.col("_verdict") == "complete").drop("_verdict")
     return own.withColumns({"epi_isl": accession(F.col("header")), "date": complete_date(F.col("header"))})
 
 
@@ -57,9 +66,11 @@ def _symbols(seqs: pa.Array, width: int | None) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
 
 
-def width_of(records: DataFrame) -> int:
-    """The common width; an error if rows differ or there are none."""
-    r = records.agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi")).first()
+def width_of(records: DataFrame, expected: int | None = None) -> int:
+    """The common width; an error if rows differ, if there are none, or not the ``expected`` number of them."""
+    r = records.agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"), F.count("*").alias("n")).first()
+    if expected is not None and r.n != expected:
+        raise ValueError(f"the alignment has {r.n} records, not {expected}")
     if r.lo is None:
         raise ValueError("the alignment has no records")
     if r.lo != r.hi:
@@ -143,11 +154,17 @@ def project(records: DataFrame, keep: Sequence[int]) -> DataFrame:
     return records.mapInArrow(run, records.schema)
 
 
-def ungapped(records: DataFrame, theta: float = 0.0005) -> DataFrame:
-    """Columns with a gap share of at most ``theta``, rows without a dash left in them."""
+def ungapped(records: DataFrame, theta: float = 0.0005, seen: Observation | None = None) -> DataFrame:
+    """Columns with a gap share of at most ``theta``, rows without a dash left in them.
+
+    ``seen`` counts rows dropped for a gap (``gap``) while the result is computed.
+    """
     columns = gap_columns(records)
     keep = [r.pos for r in columns.where(F.col("frac") <= theta).select("pos").collect()]
-    return project(records, keep).where(~F.contains("seq", F.lit("-")))
+    cut = project(records, keep)
+    if seen is not None:
+        cut = cut.observe(seen, F.count_if(F.contains("seq", F.lit("-"))).alias("gap"), F.count("*").alias("aligned"))
+    return cut.where(~F.contains("seq", F.lit("-")))
 
 
 def polymorphic_columns(records: DataFrame) -> DataFrame:

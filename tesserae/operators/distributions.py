@@ -18,15 +18,18 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import Invariant, distance_columns, distance_name, named, pairs, values_of
 from tesserae.functions.numeric import rounded
 from tesserae.operators.blocks import block_distances, blockwise
 from tesserae.operators.draws import checked, tuples
+from tesserae.operators.progress import progress
 from tesserae.operators.space import BROADCAST_BYTES, Space
 from tesserae.operators.tiles import distance_tiles, pair_rows
+from tesserae.sources import tables
+from tesserae.sources.shared import stored
 
 #: Rows of distances collected to the driver are refused beyond this.
 MAX_BYTES = 4 << 30
@@ -78,14 +81,42 @@ def sample_tuples(space: Space, n: int, n_samples: int, seed: int = 0, mode: str
     return with_distances(space, tuples(space, n, start, start + n_samples, seed, mode, partitions), n)
 
 
-def curvature_measure(space: Space, n: int, n_samples: int, seed: int = 0, mode: str = "xx", decimals: int | None = None, out: str | None = None) -> DataFrame:
-    """The empirical measure of distance rows: ``t, d01..``; written to ``out`` as Parquet and read back if given."""
-    rows = sample_tuples(space, n, n_samples, seed, mode)
-    rows = rows.select("t", *(rounded(F.col(distance_name(*p)), decimals).alias(distance_name(*p)) for p in pairs(n)))
+#: Tuples of a block of a written measure, which is a folder of its own.
+MEASURE_BLOCK = 1 << 20
+
+
+def curvature_measure(space: Space, n: int, n_samples: int, seed: int = 0, mode: str = "xx", decimals: int | None = None, out: str | None = None, block: int = MEASURE_BLOCK, overwrite: bool = False) -> DataFrame:
+    """The empirical measure of distance rows: ``t, d01..``.
+
+    With ``out`` it is written as one folder a ``block`` of consecutive tuples,
+    each committed as a whole: a broken run goes on with the blocks that are
+    missing, and ``measure_slice`` reads only the blocks it needs. A larger
+    ``n_samples`` adds to what is there. Blocks tell nothing of the space, the
+    seed or the mode: each of these needs an ``out`` of its own, or ``overwrite``.
+    """
+    n, n_samples = checked(n, n_samples)
+
+    def rows(start: int, stop: int) -> DataFrame:
+        own = with_distances(space, tuples(space, n, start, stop, seed, mode), n)
+        return own.select("t", *(rounded(F.col(distance_name(*p)), decimals).alias(distance_name(*p)) for p in pairs(n)))
+
     if out is None:
-        return rows
-    rows.write.mode("overwrite").parquet(out)
-    return space.spark.read.parquet(out)
+        return rows(0, n_samples)
+    for k in range(-(-n_samples // block)):
+        stop = min((k + 1) * block, n_samples)
+        tables.once(space.spark, f"{out}/block={k}/stop={stop}", lambda k=k, stop=stop: rows(k * block, stop), overwrite)
+    return measure_slice(space.spark, out, 0, n_samples, block)
+
+
+def measure_slice(spark: SparkSession, out: str, start: int, stop: int, block: int = MEASURE_BLOCK) -> DataFrame:
+    """The tuples start <= t < stop of a written measure; the files of other blocks are not opened."""
+    paths = []
+    for k in range(start // block, -(-stop // block)):
+        ends = [int(name.removeprefix("stop=")) for name in tables.children(spark, f"{out}/block={k}") if tables.finished(spark, f"{out}/block={k}/{name}")]
+        if max(ends, default=0) < min(stop, (k + 1) * block):  # a block may have been written short, and then longer
+            raise ValueError(f"block {k} of {out} is not written up to {min(stop, (k + 1) * block)}")
+        paths.append(f"{out}/block={k}/stop={max(ends)}")
+    return spark.read.parquet(*paths).where((F.col("t") >= start) & (F.col("t") < stop))
 
 
 def collected(measure: DataFrame, n_samples: int, max_bytes: int | None = MAX_BYTES) -> list:
@@ -125,17 +156,20 @@ def row_histogram(rows: DataFrame, invariants: Invariant | Mapping[str, object]
     return histogram(tagged_values(rows, named(invariants, n), n, decimals))
 
 
-def distributions(space: Space, invariants: Invariant | Mapping[str, object] | Sequence[object], n: int, n_samples: int, seed: int = 0, mode: str = "xx", decimals: int | None = None, start: int = 0, partitions: int | None = None) -> DataFrame:
+def distributions(space: Space, invariants: Invariant | Mapping[str, object] | Sequence[object], n: int, n_samples: int, seed: int = 0, mode: str = "xx", decimals: int | None = None, start: int = 0, partitions: int | None = None, report: bool = False) -> DataFrame:
     """Histograms of several invariants on one sample: ``invariant, v0[, v1..], cnt``.
 
     An invariant of k points reads the first k of each tuple. Plain functions
-    of all distance columns count as invariants of n points.
+    of all distance columns count as invariants of n points. ``report``: compute
+    at once, with progress on stderr.
     """
     n, n_samples = checked(n, n_samples)
     found = named(invariants, n)
     used = max(f.n if isinstance(f, Invariant) else n for _, f in found)
     drawn = tuples(space, n, start, start + n_samples, seed, mode, partitions, slots=used)
-    return histogram(tagged_values(with_distances(space, drawn, used), found, used, decimals))
+    with progress(space.spark, "tuples", report):
+        out = histogram(tagged_values(with_distances(space, drawn, used), found, used, decimals))
+        return stored(out, "histograms") if report else out
 
 
 def distribution(space: Space, invariant: object, n: int, n_samples: int, **options: object) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.ordering import cumulated
+
 
 def merge(*histograms: DataFrame, cnt: str = "cnt") -> DataFrame:
     """Counts of equal values added over histograms of the same columns."""
@@ -18,9 +20,16 @@ def merge(*histograms: DataFrame, cnt: str = "cnt") -> DataFrame:
     return out.groupBy(*keys).agg(F.sum(cnt).cast("long").alias(cnt))
 
 
+def with_total(df: DataFrame, column: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``name``: the sum of ``column`` within ``by``, or of all rows, which then meet it as one broadcast number."""
+    if by:
+        return df.withColumn(name, F.sum(column).over(Window.partitionBy(*by)))
+    return df.join(F.broadcast(df.agg(F.sum(column).alias(name))))
+
+
 def pmf(histogram: DataFrame, by: Sequence[str] = (), cnt: str = "cnt") -> DataFrame:
     """Add ``prob``: the share of each value within ``by``."""
-    return histogram.withColumn("prob", F.col(cnt) / F.sum(cnt).over(Window.partitionBy(*by)))
+    return with_total(histogram, cnt, "_total", by).withColumn("prob", F.col(cnt) / F.col("_total")).drop("_total")
 
 
 def _share(when: Column, cnt: Column, scale: float = 1.0) -> Column:
@@ -63,8 +72,7 @@ def persistence_stats(histogram: DataFrame, by: Sequence[str] = (), birth: str =
 def weighted_median(histogram: DataFrame, by: Sequence[str] = (), v: str = "v0", cnt: str = "cnt") -> DataFrame:
     """The first value at which the cumulative count reaches half the total: ``median``."""
     per = histogram.groupBy(*by, v).agg(F.sum(cnt).alias("_c"))
-    own = Window.partitionBy(*by)
-    cum = per.withColumn("_s", F.sum("_c").over(own.orderBy(v))).withColumn("_t", F.sum("_c").over(own))
+    cum = with_total(cumulated(per, by, v, F.col("_c"), "_s"), "_c", "_t", by)
     return cum.groupBy(*by).agg(F.min(F.when(F.col("_s") * 2 >= F.col("_t"), F.col(v))).alias("median"))
 
 
@@ -73,11 +81,12 @@ def density_thresholds(cells: DataFrame, masses: Sequence[float], density: str =
     if not all(0 < m < 1 for m in masses):
         raise ValueError("masses must lie in (0, 1)")
     per = cells.where((F.col(density) > 0) & ~F.isnan(F.col(density).cast("double"))).groupBy(*by, F.col(density).alias("_d")).agg((F.count("*") * F.first(F.col(density))).alias("_m"))
-    own = Window.partitionBy(*by)
-    cum = per.withColumn("_cum", F.sum("_m").over(own.orderBy(F.desc("_d"))) / F.sum("_m").over(own)).withColumn("_least", F.min("_d").over(own))
-    asked = cum.withColumn("mass", F.explode(F.array(*(F.lit(float(m)) for m in masses))))
-    reached = F.max(F.when(F.col("_cum") >= F.col("mass"), F.col("_d")))
-    return asked.groupBy(*by, "mass").agg(F.coalesce(reached, F.min("_least")).alias("threshold"))
+    cum = with_total(cumulated(per, by, "_d", F.col("_m"), "_s", descending=True), "_m", "_t", by).withColumn("_cum", F.col("_s") / F.col("_t"))
+    # Rows of a group are aggregated at once: the level of each mass, or the least there is.
+    levels = [F.coalesce(F.max(F.when(F.col("_cum") >= F.lit(float(m)), F.col("_d"))), F.min("_d")).alias(f"_m{k}") for k, m in enumerate(masses)]
+    rows = cum.groupBy(*by).agg(*levels)
+    pairs = F.array(*(F.struct(F.lit(float(m)).alias("mass"), F.col(f"_m{k}").alias("threshold")) for k, m in enumerate(masses)))
+    return rows.select(*by, F.inline(pairs)).where(F.col("threshold").isNotNull())
 
 
 def kde_curve(histogram: DataFrame, bandwidth: float, resolution: int, v: str = "v0", cnt: str = "cnt", upper: float | None = None) -> DataFrame:
@@ -119,18 +128,16 @@ def density_grid(cells: DataFrame, length: int, ymax: int, samples: int, sigma:
 
 def wasserstein1(a: DataFrame, b: DataFrame, v: str = "v0", cnt: str = "cnt") -> DataFrame:
     """Wasserstein distance of order 1 between two histograms on the line: one row ``w1``. An extension."""
-    p = a.select(F.col(v).alias("x"), (F.col(cnt) / F.sum(cnt).over(Window.partitionBy())).alias("d"))
-    q = b.select(F.col(v).alias("x"), (-F.col(cnt) / F.sum(cnt).over(Window.partitionBy())).alias("d"))
-    steps = p.unionByName(q).groupBy("x").agg(F.sum("d").alias("d"))
-    order = Window.orderBy("x")
-    steps = steps.withColumn("gap", F.sum("d").over(order)).withColumn("next", F.lead("x").over(order))
+    p, q = (pmf(h.select(F.col(v).alias("x"), F.col(cnt).alias("cnt"))) for h in (a, b))
+    steps = p.select("x", F.col("prob").alias("d")).unionByName(q.select("x", (-F.col("prob")).alias("d"))).groupBy("x").agg(F.sum("d").alias("d"))
+    steps = cumulated(steps, (), "x", F.col("d"), "gap", following="next")
     return steps.agg(F.coalesce(F.sum(F.abs("gap") * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("w1"))
 
 
 def integer_pmf(histogram: DataFrame, scale: float = 1.0, v: str = "v0", cnt: str = "cnt") -> DataFrame:
     """Shares by ``rint(scale * v)``: ``value, prob``."""
     per = histogram.groupBy(F.rint(F.col(v) * F.lit(float(scale))).cast("long").alias("value")).agg(F.sum(cnt).alias("c"))
-    return per.select("value", (F.col("c") / F.sum("c").over(Window.partitionBy())).alias("prob"))
+    return pmf(per, cnt="c").select("value", "prob")
 
 
 def axis_limits(histogram: DataFrame, v: str = "v0", cnt: str = "cnt", pad: float = 0.7) -> DataFrame:

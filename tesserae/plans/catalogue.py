@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tesserae.functions import bounds, laws, metrics
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1, Invariant, gromov_product, vr_persistence
 from tesserae.operators import alignment, distributions, draws, histograms, mds, slices, tiles
+from tesserae.operators.ordering import dense_index
 from tesserae.operators.space import Space, precomputed, space
 from tesserae.plans import sql
-from tesserae.sources.shared import shipped
+from tesserae.sources.shared import shipped, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -576,3 +577,35 @@ def q53_pattern_law_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q54_hyperbolicity_exact_law_all_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = laws.hyperbolicity_law(laws.pair_sum_law(laws.model_layers(spark)), LENGTH, ["family", "time"])
     return out.withColumn("prob", F.round(F.abs("prob"), 10))
+
+
+# Wide points: 2,048 symbols a document, from hashes of its text, packed to 64 words; met by blocks of columns.
+WIDE = 64
+WIDE_SYMBOLS = "ACGTACGTACGTACGT"
+_WIDE_SEQ = " || ".join(f"md5(coalesce(text, '') || ':{k}')" for k in range(WIDE))
+WIDE_SQL = f"(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pid, translate({_WIDE_SEQ}, '0123456789abcdef', '{WIDE_SYMBOLS}') AS seq FROM documents)"
+WIDE_SAMPLES = 5_000
+
+
+def wide_documents(spark: SparkSession, sf_dir: str) -> Space:
+    docs = dense_index(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "pid")
+    digests = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit(":"), k.cast("string")))), "")
+    points = docs.select("pid", metrics.pack_symbols(F.translate(digests, "0123456789abcdef", WIDE_SYMBOLS)).alias("x"))
+    return space(stored(points, "wide-points"), "x", metrics.hamming_packed, check=False)
+
+
+@query(f"""WITH p AS MATERIALIZED {WIDE_SQL}, d AS (SELECT t, {", ".join(f"hamming(p{a}.seq, p{b}.seq)::DOUBLE AS d{a}{b}" for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))}
+FROM {sql.joined(sql.uniform(15, 4, WIDE_SAMPLES, "SELECT count(*) FROM documents"), "p", [0, 1, 2, 3])})
+SELECT 'pairwise_distance' AS invariant, d01 AS v0, NULL::DOUBLE AS v1, count(*) AS cnt FROM d GROUP BY 2
+UNION ALL SELECT 'hyperbolicity_deficit', {sql.DEFICIT}, NULL, count(*) FROM d GROUP BY 2
+UNION ALL SELECT 'vr_persistence_4_1', {_B4}, {_D4}, count(*) FROM d GROUP BY 2, 3""")
+def q55_wide_points_by_column_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = wide_documents(spark, sf_dir)
+    return distributions.distributions(s, ALL, **sampled(s, 15, 4, WIDE_SAMPLES))
+
+
+@query(f"""WITH p AS MATERIALIZED {WIDE_SQL} SELECT hamming(a.seq, b.seq)::DOUBLE AS v0, count(*) AS cnt
+FROM p a JOIN p b ON a.pid < b.pid GROUP BY 1""")
+def q56_all_pairs_of_wide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = wide_documents(spark, sf_dir)
+    return tiles.tile_histogram(tiles.distance_tiles(s.points, s, s.n_points))

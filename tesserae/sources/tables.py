@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,13 @@ def finished(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+
+
 def write_slices(histograms: DataFrame, metadata: DataFrame, path: str) -> None:
     """Histograms partitioned by cutoff, and one metadata row a cutoff, written after them."""
     histograms.repartition("cutoff").write.mode("overwrite").partitionBy("cutoff").parquet(f"{path}/histograms")
@@ -68,6 +76,22 @@ def write_embedding(embedding: DataFrame, path: str) -> None:
     embedding.select(*cells).write.mode("overwrite").csv(path, header=True)
 
 
-def largest_run(runs: DataFrame, by: str = "max_points") -> DataFrame:
-    """The rows of the run with the largest ``by``."""
-    return runs.join(F.broadcast(runs.agg(F.max(by).alias(by))), by, "left_semi")
+def read_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The results of a model job by name, those of ``distance``, ``hyperbolicity``, ``persistence`` and ``embedding`` that are there.
+
+    Sampled persistence gets the share ``prob`` of each value within its layer.
+    """
+    from tesserae.operators.histograms import pmf
+
+    found = {k: read_if_there(spark, f"{path}/{k}") for k in ("distance", "hyperbolicity", "persistence", "embedding")}
+    found = {k: v for k, v in found.items() if v is not None}
+    if "persistence" in found:
+        found["persistence"] = pmf(found["persistence"], ["family", "time"])
+    return found
+
+
+def largest_embedding(spark: SparkSession, path: str) -> DataFrame | None:
+    """The finished embedding of the most points among ``mds_embedding_max<N>`` under ``path``, or None."""
+    names = children(spark, path)
+    sizes = sorted((int(m[1]) for m in (re.fullmatch(r"mds_embedding_max(\d+)", x) for x in names) if m and finished(spark, f"{path}/{m[0]}")), reverse=True)
+    return spark.read.csv(f"{path}/mds_embedding_max{sizes[0]}", header=True, inferSchema=True) if sizes else None

@@ -22,7 +22,19 @@ def test_fasta_to_statistics(spark, tmp_path, capsys):
     cutoffs, out = ["2020-06-30", "2021-04-30", "2021-10-31", "2022-03-01", "2024-01-31"], str(tmp_path / "out")
     records, forms = jobs.prepare(spark, str(tmp_path / "in.fasta"), out)
     assert records.count() == 200 and forms.agg(F.sum("multiplicity")).first()[0] == 200
+    told = spark.read.parquet(f"{out}/report").first()
+    assert (told.records, told.bad_characters, told.no_date, told.gap, told.kept, told.width, told.ungapped_width) == (202, 1, 1, 0, 200, 300, 300)
     got = jobs.run_sequences(spark, str(tmp_path / "in.fasta"), out, cutoffs, n_samples=400).orderBy("cutoff").collect()
+    meta = {str(r.cutoff): r for r in spark.read.parquet(f"{out}/slices/metadata").collect()}
+    last = meta[cutoffs[-1]]
+    assert len(meta) == 5 and len(last) == 29 and (last.n_sites, last.n_samples, last.n_events, last.n, last.p) == (300, 400, 15, 4, 1.0)
+    assert last.alpha_event == 1 - 0.05 / 15 and last.epsilon_distance < last.epsilon_persistence and last.runtime_seconds > 0
+    assert last.diam == spark.read.parquet(f"{out}/slices/histograms").where(f"cutoff = '{cutoffs[-1]}' AND invariant = 'pairwise_distance'").agg(F.max("v0")).first()[0]
+    import shutil
+
+    shutil.rmtree(f"{out}/slices/histograms/cutoff={cutoffs[1]}")  # a slice that is missing is made again, the others stay
+    again = jobs.run_sequences(spark, str(tmp_path / "in.fasta"), out, cutoffs, n_samples=400).orderBy("cutoff").collect()
+    assert again == got and {str(r.cutoff): r.finished for r in spark.read.parquet(f"{out}/slices/metadata").collect() if str(r.cutoff) != cutoffs[1]} == {k: r.finished for k, r in meta.items() if k != cutoffs[1]}
     assert [r.n_sequences for r in got] == [40, 80, 120, 160, 200]
     assert [r.dist_mean for r in got] == sorted(r.dist_mean for r in got) and all(0 <= r.hyp_p_zero <= 1 for r in got)
     counts = spark.read.parquet(f"{out}/slices/histograms").groupBy("cutoff", "invariant").agg(F.sum("cnt").alias("c")).collect()
@@ -37,6 +49,11 @@ def test_model_job(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "hyperbolicity")).select("family", "time").distinct().count() == 10
     assert {r.s for r in spark.read.parquet(str(tmp_path / "persistence")).groupBy("family", "time").agg(F.sum("cnt").alias("s")).collect()} == {300}
     assert spark.read.parquet(str(tmp_path / "embedding")).count() == 30
+    from tesserae.sources import tables
+
+    found = tables.read_model(spark, str(tmp_path))
+    assert set(found) == {"distance", "hyperbolicity", "persistence", "embedding"} and tables.read_model(spark, str(tmp_path / "none")) == {}
+    assert all(abs(r.s - 1) < 1e-9 for r in found["persistence"].groupBy("family", "time").agg(F.sum("prob").alias("s")).collect())
 
 
 def test_model_job_embeds_each_family_by_default(spark, tmp_path):
@@ -66,6 +83,9 @@ def test_embedding_of_forms(spark, tmp_path, capsys):
         assert len({r.uid for r in got}) == len(got) == min(size, len(first)) and all(r.first_seen == first[r.uid] for r in got)
         assert [r.uid for r in got if r.is_reference] == [want]
     assert spark.read.csv(f"{out}/mds_embedding_max12", header=True).columns == ["uid", "x", "y", "stress", "first_seen", "is_reference"]
+    from tesserae.sources import tables
+
+    assert tables.largest_embedding(spark, out).count() == len(first) and tables.largest_embedding(spark, str(tmp_path / "none")) is None
     assert not any(r.is_reference for r in jobs.embed_forms(spark, out, "none", max_points=5).collect())
     jobs.main(["mds", out, "--reference", "E000013", "--max-points", "4"])
     assert "4 forms embedded" in capsys.readouterr().out

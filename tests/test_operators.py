@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1
 from tesserae.functions.metrics import from_python, hamming_packed, manhattan, pack_symbols
-from tesserae.operators import alignment, blocks, distributions, draws, histograms, mds, ordering, slices, tiles
+from tesserae.operators import alignment, blocks, distributions, draws, histograms, mds, ordering, progress, slices, tiles
 from tesserae.operators.space import precomputed, space
 from tesserae.sources import fasta, tables
 from tesserae.streaming import histograms as streamed
@@ -108,9 +108,157 @@ def test_checks(spark, symbols):
 
 
 def test_measure_written_and_read(spark, symbols, tmp_path):
-    a = distributions.curvature_measure(symbols, 3, 300, out=str(tmp_path / "m"))
-    b = distributions.curvature_measure(symbols, 3, 300)
-    assert distributions.collected(a, 300) == distributions.collected(b, 300)
+    """Blocks are written once, a broken or shorter run goes on, and a slice opens only its blocks."""
+    out = str(tmp_path / "m")
+    b = distributions.collected(distributions.curvature_measure(symbols, 3, 300), 300)
+    a = distributions.curvature_measure(symbols, 3, 250, out=out, block=100)
+    assert distributions.collected(a, 250) == b[:250]
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "m" / "block=0").rglob("*.parquet")}
+    (tmp_path / "m" / "block=1" / "stop=200" / "_SUCCESS").unlink()  # as a write that broke leaves it
+    with pytest.raises(ValueError):
+        distributions.measure_slice(spark, out, 0, 250, 100)
+    a = distributions.curvature_measure(symbols, 3, 300, out=out, block=100)
+    assert distributions.collected(a, 300) == b and stamps == {p: p.stat().st_mtime_ns for p in stamps}
+    part = distributions.measure_slice(spark, out, 120, 190, 100)
+    assert distributions.collected(part, 70) == b[120:190] and {f.split("/block=")[1][:10] for f in part.inputFiles()} == {"1/stop=200"}
+    with pytest.raises(ValueError):
+        distributions.measure_slice(spark, out, 0, 301, 100)
+
+
+def test_cumulated_over_ranges(spark):
+    """Sums over ranges are those of one window, by group, in both directions, null groups and empty tables included."""
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v), int(c)) for g in ("a", "b", None) for v, c in zip(rng.choice(500, 40, replace=False), rng.integers(1, 9, 40))]
+    df = spark.createDataFrame(rows, "g string, v double, c long")
+    for down in (False, True):
+        for by in ((), ("g",)):
+            own = df if by else df.groupBy("v").agg(F.sum("c").alias("c"))
+            got = ordering.cumulated(own, by, "v", F.col("c"), "s", down, "next").collect()
+            groups = {}
+            for r in own.collect():
+                groups.setdefault(r.g if by else 0, []).append((r.v, r.c))
+            want = set()
+            for g, held in groups.items():
+                held.sort(reverse=down)
+                sums = np.cumsum([c for _, c in held]).tolist()
+                want |= {(g, v, s, held[k + 1][0] if k + 1 < len(held) else None) for k, ((v, _), s) in enumerate(zip(held, sums))}
+            assert {(r.g if by else 0, r.v, r.s, r.next) for r in got} == want and len(got) == len(want)
+    assert ordering.cumulated(df.limit(0), (), "v", F.col("c"), "s").count() == 0
+
+
+def test_reductions_have_no_window_over_everything(spark):
+    """Medians, thresholds, transport distances and shares of long histograms; plans cut them to ranges."""
+    rng = np.random.default_rng(7)
+    v, c = rng.normal(size=4000), rng.integers(1, 5, 4000)
+    h = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, c)], "v0 double, cnt long")
+    other = spark.createDataFrame([(float(a) + 0.5, int(b)) for a, b in zip(v, c)], "v0 double, cnt long")
+    order = np.argsort(v)
+    cum = np.cumsum(c[order])
+    results = [histograms.weighted_median(h), histograms.wasserstein1(h, other), histograms.integer_pmf(h, 2), histograms.pmf(h)]
+    assert results[0].first().median == v[order][np.searchsorted(cum * 2, cum[-1])]
+    assert results[1].first().w1 == pytest.approx(0.5)
+    assert sum(r.prob for r in results[2].collect()) == pytest.approx(1) and sum(r.prob for r in results[3].collect()) == pytest.approx(1)
+    d = histograms.density_thresholds(h.withColumn("prob", F.abs("v0")), (0.5, 0.9))
+    down = np.sort(np.abs(v))[::-1]
+    assert [r.threshold for r in d.orderBy("mass").collect()] == [down[np.searchsorted(np.cumsum(down), m * down.sum())] for m in (0.5, 0.9)]
+    for df in [*results, d]:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Window" in line and "_stride" not in line for line in plan.split("\n")), plan
+
+
+def test_progress(spark, symbols, capsys):
+    """Shares rise in steps, each printed once; the last is 100 and only of an action that ended well."""
+    import io
+
+    out = io.StringIO()
+    steps = progress.Steps("x", out)
+    for done, total in ((0, 0), (1, 40), (2, 40), (2, 40), (1, 40), (13, 40), (39, 40), (30, 80)):
+        steps.at(done, total)
+    steps.end()
+    steps.end()
+    assert out.getvalue().split("\n") == ["x: 5 %", "x: 30 %", "x: 95 %", "x: 100 %", ""]
+    out = io.StringIO()
+    with progress.progress(spark, "sum", out=out):
+        slow = spark.range(0, 40, 1, 40).mapInArrow(lambda batches: (__import__("time").sleep(0.15) or b for b in batches), "id long")
+        assert slow.agg(F.sum("id")).first()[0] == 780
+    lines = out.getvalue().strip().split("\n")
+    shares = [int(x.removeprefix("sum: ").removesuffix(" %")) for x in lines]
+    assert len(shares) > 2 and shares == sorted(set(shares)) and shares[-1] == 100 and all(x % 5 == 0 for x in shares)
+    out = io.StringIO()
+    with pytest.raises(ZeroDivisionError), progress.progress(spark, "x", out=out):
+        1 / 0
+    assert "100" not in out.getvalue() and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    want = counts(distributions.distributions(symbols, ALL, 4, 500, 7))
+    capsys.readouterr()
+    assert counts(distributions.distributions(symbols, ALL, 4, 500, 7, report=True)) == want
+    assert capsys.readouterr().err.strip().split("\n")[-1] == "tuples: 100 %"
+    distributions.distributions(symbols, ALL, 4, 500, 7).count()
+    assert "%" not in capsys.readouterr().err
+
+
+def test_fasta_ranges(spark, tmp_path):
+    """Any cut of the bytes gives each record once, with the same number; nothing is shuffled."""
+    import gzip
+
+    rng = np.random.default_rng(12)
+    folder = tmp_path / "f"
+    folder.mkdir()
+    want = []
+    for k, name in enumerate(("a.fa", "b.fa", "c.fa")):
+        text, ends = "" if k else "no header yet\nACGT\n", "\r\n" if k == 1 else "\n"
+        for j in range(25):
+            seq = "".join(rng.choice(list("ACGT-"), rng.integers(0, 90)))
+            body = ends.join(seq[x : x + 20] for x in range(0, len(seq), 20))
+            want.append(((k << 40) + len(text), f"s{k}.{j}|x>y", seq))
+            text += f">s{k}.{j}|x>y{ends}" + body + ends * bool(body)
+        text = text.removesuffix("\n") if k == 2 else text
+        (folder / name).write_bytes(text.encode())
+    (folder / "_SUCCESS").write_text("")
+    (folder / "empty.fa").write_text("")
+    for size in (1, 7, 64, 1000, 1 << 20):
+        df = fasta.read_fasta(spark, str(folder), size) if size > 1 else fasta.read_fasta(spark, str(folder), 13)
+        assert sorted(map(tuple, df.collect())) == want
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, fasta.read_fasta(spark, f"file://{folder}", 100).collect())) == want
+    with gzip.open(tmp_path / "z.fa.gz", "wb") as f:
+        f.write((folder / "a.fa").read_bytes())
+    assert sorted(map(tuple, fasta.read_fasta(spark, str(tmp_path / "z.fa.gz"), 50).collect())) == want[:25]
+    (tmp_path / "none.fa").write_text("no records\n")
+    assert fasta.read_fasta(spark, str(tmp_path / "none.fa")).count() == 0
+    with pytest.raises(Exception, match="none such"):
+        fasta.read_fasta(spark, str(tmp_path / "none such")).count()
+
+
+def test_fasta_records_longer_than_reads(monkeypatch):
+    """What was read is let go, and a range within a record finds no header of its own."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(fasta, "READ_BYTES", 11)
+    text = b"xx\n>a\n" + b"ACGTACGT\n" * 30 + b">b\nAC\n>c\n>d\n" + b"G" * 100
+    whole = [(k, text[k + 1 :].split(b"\n>")[0]) for k in range(len(text)) if text[k : k + 1] == b">"]
+    for size in (1, 2, 3, 5, 17, 100, 1000):
+        got = []
+        for start in range(0, len(text), size):
+            f = pa.BufferReader(text)
+            f.seek(max(start - 1, 0))
+            got += fasta.record_bytes(f, start, min(start + size, len(text)))
+        assert got == whole, size
+
+
+def test_drops_are_counted_while_writing(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    rows = [(0, "v|E1|2021-01-01", "ACG-"), (1, "v|E2|2021-01", "ACGT"), (2, "v|E3|2021-01-02", "ACNT"), (3, "v|E4|2021-01-03", "ACGT"), (4, "v", "NNNN")]
+    records = spark.createDataFrame(rows, "rec_no long, header string, seq string")
+    seen, gaps = Observation("complete"), Observation("gaps")
+    alignment.complete(records, seen).write.parquet(str(tmp_path / "c"))
+    assert seen.get == {"records": 5, "bad_characters": 2, "no_date": 1}
+    kept = spark.read.parquet(str(tmp_path / "c"))
+    alignment.ungapped(kept, 0.6, gaps).write.parquet(str(tmp_path / "u"))
+    assert gaps.get == {"gap": 1, "aligned": 2} and kept.columns == ["rec_no", "header", "seq", "epi_isl", "date"]
+    assert alignment.width_of(kept, 2) == 4
+    with pytest.raises(ValueError, match="2 records, not 3"):
+        alignment.width_of(kept, 3)
 
 
 def test_plan_reads_only_needed_slots(symbols):
@@ -399,3 +547,21 @@ def test_streamed_histogram_is_the_batch_one(spark, symbols, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert counts(spark.table("hist")) == counts(distributions.distributions(symbols, ALL, 4, 500, 7))
+
+
+def test_windowed_histogram_with_late_rows(spark, tmp_path):
+    """Windows close behind the watermark, and rows that come later than that are dropped."""
+    at = lambda minute, second=0: datetime.datetime(2024, 1, 1, 10, minute, second)
+    batches = [[(at(0), 1.0), (at(0, 30), 1.0), (at(1), 2.0)], [(at(0, 45), 1.0), (at(9), 5.0)], [(at(0, 50), 1.0), (at(20), 7.0)], [(at(21), 7.0)]]
+    (tmp_path / "in").mkdir()
+    rows = spark.readStream.schema("ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = None
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, "ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        (part,) = (tmp_path / f"b{k}").glob("part-*.parquet")
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        q = q or streamed.windowed_histogram(rows, "v", "ts", "1 minute", "2 minutes").writeStream.format("memory").queryName("windows").outputMode("append").start()
+        q.processAllAvailable()
+    q.stop()
+    got = {(r.m, r.v0, r.cnt) for r in spark.table("windows").selectExpr("minute(window.start) AS m", "v0", "cnt").collect()}
+    assert got == {(0, 1.0, 3), (1, 2.0, 1), (9, 5.0, 1)}
