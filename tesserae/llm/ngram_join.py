@@ -14,10 +14,12 @@
    ``CROWDED`` more frequent than the mean travel as rows, not as lists, so no
    task holds a long list.
 4. Candidates are members of one list that pass the length filter (t), the
-   positional filter (what can still overlap before and after the shared
-   shingle), and the suffix filter: both sets are partitioned by hash range,
-   and the sum of the smaller counts bounds the overlap. A list that took in
-   others keeps no places: there the positional filter rules nothing out.
+   positional filter, and the suffix filter: both sets are partitioned by hash
+   range, and the sum of the smaller counts bounds the overlap. The positional
+   filter takes the shared shingle for the first one of the pair, so that all of
+   the overlap lies from there on: a linked pair passes it in the list of its
+   first shared shingle. In a list that took in others a member has the least of
+   its places, with which no such pair is lost.
 5. Verification intersects the two sets, once a pair; pairs are remembered. The
    set met by many others is sent once for each 512 of them.
 
@@ -151,9 +153,8 @@ def _merged(lists: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def _put_together(lists: list[np.ndarray]) -> list[np.ndarray]:
-    """Each pair of members of a list is in one of the results. Members of a list
-    that took in others have place 0, with which the positional filter rules
-    nothing out. Degrees of a member add up.
+    """Each pair of members of a list is in one of the results, each member with the
+    least of its places in the lists that it stands for. Degrees of a member add up.
     """
     kept: list[dict[tuple[int, int], list[int]]] = []
     home: dict[tuple[int, int], int] = {}
@@ -164,18 +165,14 @@ def _put_together(lists: list[np.ndarray]) -> list[np.ndarray]:
         # ``votes`` only sees each member's first list; the best one is then counted in full.
         if best is not None and most and sum(h in kept[best] for h in heads) >= SHARED * len(heads):
             own = kept[best]
-            if len(own) > len(heads) or any(h not in own for h in heads) or any(own[h][0] != p for h, p in zip(heads, rows["pos"].tolist())):
-                for member in own.values():
-                    member[0] = 0
         else:
             best, own = len(kept), {}
             kept.append(own)
-        fresh = best == len(kept) - 1 and not own
         for h, p, d in zip(heads, rows["pos"].tolist(), rows["deg"].tolist()):
             if h in own:
-                own[h][1] += d
+                own[h] = [min(own[h][0], p), own[h][1] + d]
             else:
-                own[h] = [p if fresh else 0, d]
+                own[h] = [p, d]
             home.setdefault(h, best)
     out = []
     for own in kept:
@@ -292,8 +289,7 @@ def _members(lists: DataFrame, n_parts: int) -> DataFrame:
 def _possible(percent: int) -> F.Column:
     """Length and positional filter of the columns n, pos (of a) and m, at (of b)."""
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
-    most = F.least("pos", "at") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("at") - 1)
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (most >= need)
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") - F.col("pos") >= need) & (F.col("m") - F.col("at") >= need)
 
 
 def _need(n: int, m: int, percent: int) -> int:
@@ -321,8 +317,7 @@ class _List:
         for i in range(len(n) - 1):
             m, at = n[i + 1 :], pos[i + 1 :]
             need = -(-percent * (n[i] + m) // (100 + percent))
-            most = np.minimum(pos[i], at) + 1 + np.minimum(n[i] - pos[i] - 1, m - at - 1)
-            ok = (self.label[i + 1 :] != self.label[i]) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)) & (most >= need)
+            ok = (self.label[i + 1 :] != self.label[i]) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)) & (n[i] - pos[i] >= need) & (m - at >= need)
             if across:
                 ok &= self.part[i + 1 :] != self.part[i]
             hits = np.flatnonzero(ok)

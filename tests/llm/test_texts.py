@@ -407,6 +407,21 @@ def test_ngram_join(spark, monkeypatch, small):
     assert Counter(map(tuple, got)) == plain_near(rows)
 
 
+def test_documents_of_one_template(spark, monkeypatch):
+    """No pair of documents that share most words, but too few, is verified; those that share enough are linked."""
+    counted = []
+    verified = ngram_join._Join.verified
+    monkeypatch.setattr(ngram_join._Join, "verified", lambda self, pairs: counted.append(pairs.count()) or verified(self, pairs))
+    rng = random.Random(11)
+    shared = " ".join(f"t{k}" for k in range(84))
+    rows = [(k, f"{shared} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(16))) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {k: k for k, _ in rows} and sum(counted) <= 2 * len(rows), counted
+    close = [(300 + k, f"{shared} " + " ".join(f"v{k}.{j}" for j in range(8)) + " the end of it all is near now") for k in range(20)]
+    got = Counter(map(tuple, ngram_join.near_duplicates(frame(spark, rows[:40] + close)).collect()))
+    assert got == plain_near(rows[:40] + close) and any(c[2] == 300 and c[0] > 300 for c in got)
+
+
 def test_different_long_words_are_different_shingles(spark):
     """Thue-Morse words and their complements, which a polynomial modulo 2^64 takes for equal."""
     w = "a"
