@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.ordering import running_total
-from tesserae.operators.space import Space
+from tesserae.operators.space import BROADCAST_BYTES, Space
 from tesserae.sources.shared import stored
 
 BLOCK_SIZE = 1024
@@ -163,11 +163,15 @@ def _numpy_draws(space: Space, n: int, start: int, stop: int, seed: int, partiti
 
 
 def subsample(df: DataFrame, size: int, seed: int, key: str = "pid", pin: int | None = None) -> DataFrame:
-    """``size`` rows without replacement by the order of hashes; all if there are no more; ``pin`` is always in."""
+    """``size`` rows without replacement by the order of hashes of their distinct ``key``; all if there are no more; ``pin`` is always in.
+
+    Only keys are ordered; the rows then meet the chosen keys.
+    """
     order = [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
     if pin is not None:
         order.insert(0, F.col(key) != F.lit(pin))
-    return df.orderBy(*order).limit(size)
+    chosen = df.select(key).orderBy(*order).limit(size)
+    return df.join(F.broadcast(chosen) if 64 * size <= BROADCAST_BYTES else chosen, key, "left_semi")
 
 
 def sequences(spark, rho: list[float], length: int, samples: int, seed: int, mode: str = "md5") -> DataFrame:  # noqa: ANN001

@@ -24,10 +24,12 @@ def evaluated(spark, f, n, values):
 
 
 def test_hand_computed_quadruples(spark):
-    assert evaluated(spark, HYPERBOLICITY_DEFICIT, 4, [(2, 12, 12, 12, 12, 2), (1, 2, 1, 1, 2, 1)]) == [(0.0,), (1.0,)]
-    rect = lambda a, b: (a, a + b, b, b, a + b, a)
-    got = evaluated(spark, VR_PERSISTENCE_4_1, 4, [rect(1, 1), rect(1, 9), rect(4, 6), rect(3, 5), (7,) * 6])
-    assert got == [(1, 2), (9, 10), (6, 10), (5, 8), (0, 0)]
+    star = [sum(x) for x in ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4))]  # leaves at 1, 2, 3 and 4 from one middle
+    cycle = (3, 6, 3, 3, 6, 3)  # four places on a circle of length 12
+    odd = (4, 6, 5, 5, 7, 4)
+    assert evaluated(spark, HYPERBOLICITY_DEFICIT, 4, [star, cycle, odd]) == [(0.0,), (3.0,), (1.5,)]
+    # The second largest distance of each point, at most; the largest of each, at least.
+    assert evaluated(spark, VR_PERSISTENCE_4_1, 4, [star, cycle, odd, (2, 9, 7, 7, 9, 2), (5,) * 6]) == [(0, 0), (3, 6), (5, 6), (7, 9), (0, 0)]
     assert evaluated(spark, vr_persistence(2), 2, [(3,)]) == [(0.0, 3.0)]
 
 
@@ -50,8 +52,9 @@ def test_invariants_like_numpy(spark, n):
 
 
 def test_first_points_are_read(spark):
-    values = np.arange(20, dtype=float).reshape(2, 10)
-    assert evaluated(spark, HYPERBOLICITY_DEFICIT, 5, values) == evaluated(spark, HYPERBOLICITY_DEFICIT, 4, values[:, [0, 1, 2, 4, 5, 7]])
+    values = np.random.default_rng(15).integers(1, 99, (30, 15)).astype(float)
+    first = [k for k, (_, b) in enumerate(pairs(6)) if b < 4]
+    assert evaluated(spark, HYPERBOLICITY_DEFICIT, 6, values) == evaluated(spark, HYPERBOLICITY_DEFICIT, 4, values[:, first])
 
 
 def test_invariant_checks():
