@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.ordering import running_total
@@ -74,6 +74,26 @@ def uniform_words(seed: int, n: int, mode: str, total: int) -> list[Column]:
     return [w % F.lit(total) for w in out]
 
 
+def register_draws(spark: SparkSession) -> None:
+    """SQL functions ``draw_xx`` and ``draw_md5`` of (seed, t, slot, size): the ids that ``tuples`` draws uniformly.
+
+    They are expressions, inlined by the planner: ``SELECT id AS t, draw_xx(7, id,
+    0, 500) AS i0 FROM range(100, 200)`` makes tuples 100 to 199, and slots that a
+    query doesn't read are never computed.
+    """
+
+    def words_of(again: int) -> dict[str, str]:
+        more = f", {again}" if again else ""
+        digest = "md5(concat_ws(':', string(seed), string(t), string(slot div 2)" + (f", '{again}'" if again else "") + "))"
+        return {"xx": f"shiftrightunsigned(xxhash64(seed, t, slot{more}), {64 - WORD_BITS})", "md5": f"bigint(conv(substr({digest}, 16 * (slot % 2) + 1, {WORD_BITS // 4}), 16, 10))"}
+
+    tries = [words_of(k) for k in range(TRIES)]
+    for mode in ("xx", "md5"):
+        limit = f"{WORD} - {WORD} % size"
+        cases = " ".join(f"WHEN {w[mode]} < {limit} THEN {w[mode]}" for w in tries[:-1])
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION draw_{mode}(seed BIGINT, t BIGINT, slot INT, size BIGINT) RETURNS BIGINT RETURN (CASE {cases} ELSE {tries[-1][mode]} END) % size")
+
+
 def unit_words(seed: int, n: int, mode: str) -> list[Column]:
     """n columns of uniform multiples of 2^-53 in [0, 1)."""
     return [F.shiftright(w, WORD_BITS - 53) / F.lit(float(1 << 53)) for w in words(seed, n, mode)]

@@ -609,3 +609,13 @@ FROM p a JOIN p b ON a.pid < b.pid GROUP BY 1""")
 def q56_all_pairs_of_wide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = wide_documents(spark, sf_dir)
     return tiles.tile_histogram(tiles.distance_tiles(s.points, s, s.n_points))
+
+
+@query(f"""WITH d AS ({sql.uniform(16, 4, 4_000, N_PARTS, 1_000)})
+SELECT a.p_brand AS first_brand, b.p_brand AS third_brand, count(*) AS cnt FROM d JOIN part a ON a.p_partkey = i0 JOIN part b ON b.p_partkey = i2 GROUP BY 1, 2""")
+def q57_draws_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws.register_draws(spark)
+    part = read(spark, sf_dir, "part")
+    text = """WITH d AS (SELECT id AS t, draw_md5(16, id, 0, {n}) AS i0, draw_md5(16, id, 1, {n}) AS i1, draw_md5(16, id, 2, {n}) AS i2 FROM range(1000, 5000))
+    SELECT a.p_brand AS first_brand, b.p_brand AS third_brand, count(*) AS cnt FROM d JOIN {part} a ON a.p_partkey = i0 JOIN {part} b ON b.p_partkey = i2 GROUP BY 1, 2"""
+    return spark.sql(text, part=part, n=part.count())

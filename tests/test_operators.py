@@ -41,6 +41,20 @@ def test_prefix_and_partitions(spark, symbols, mode):
     assert abs(share - 1 / 60).max() < 0.006
 
 
+def test_draws_as_sql_functions(spark, symbols):
+    """They are the draws of ``tuples``; ranges and unread slots are pruned."""
+    draws.register_draws(spark)
+    for mode in ("xx", "md5"):
+        text = "SELECT id AS t, " + ", ".join(f"draw_{mode}(7, id, {k}, 60) AS i{k}" for k in range(3)) + " FROM range(50, 400)"
+        assert sorted(map(tuple, spark.sql(text).collect())) == sorted(map(tuple, draws.tuples(symbols, 3, 50, 400, 7, mode).collect()))
+        plan = spark.sql(f"SELECT t, i1 FROM ({text})")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (50, 400" in plan and "AS i1" in plan and "AS i0" not in plan and "AS i2" not in plan
+    big = 3 << 56  # tries beyond the last multiple
+    got = spark.sql(f"SELECT draw_xx(1, id, 0, {big}) AS u FROM range(2000)")
+    want = spark.range(2000).withColumnRenamed("id", "t").select(draws.uniform_words(1, 1, "xx", big)[0].alias("u"))
+    assert sorted(r.u for r in got.collect()) == sorted(r.u for r in want.collect())
+
+
 def test_numpy_draws_follow_the_generator(spark, symbols):
     rng = np.random.default_rng(np.random.SeedSequence(5, spawn_key=(1,)))
     want = rng.integers(0, 60, (1024, 3))
