@@ -3,7 +3,7 @@
 A text is normalised by the longest prefixes of the model's compiled character
 map, which keeps for every normalised byte the source byte it comes from
 (``charmap``). The normalised text falls into chunks that no piece of the
-vocabulary crosses: marks and what follows them up to the next mark. A chunk's
+vocabulary crosses: before marks, and between letters and the rest. A chunk's
 neighbouring symbols are merged by the pieces' scores, highest first and
 leftmost among equals; distinct chunks are merged once and remembered in a memo
 of bounded size. Pieces are then laid over the normalised bytes, and their borders
@@ -25,7 +25,7 @@ import codecs
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,9 @@ from tesserae.llm.charmap import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, UNUSED, U
 from tesserae.llm.tokenization import _Memo, public_path
 
 #: Chunks of one generation of the memo (there are two), and ids of an output batch.
-MEMO_CHUNKS, BATCH_IDS = 250_000, 1 << 18
+MEMO_CHUNKS, BATCH_IDS = 400_000, 1 << 18
+#: Latin letters: few vocabularies have pieces of these and of others.
+LETTERS = "A-Za-z\u00c0-\u024f"
 #: Characters of a chunk up to which the best pair is looked for by a plain search.
 SHORT = 64
 
@@ -67,13 +69,21 @@ class Pieces:
         self.cost = {p: -s for p, s, t in model.pieces if t in (NORMAL, UNUSED)}
         self.unused = {p for p, _, t in model.pieces if t == UNUSED}
         self.unknown, self.bos, self.eos = (model.id_of(*x) for x in (("<unk>", UNKNOWN), ("<s>", CONTROL), ("</s>", CONTROL)))
-        crossing = any(MARK in p.lstrip(MARK) for p in self.cost) or model.mark_last
-        self.chunks = (lambda text: [text] if text else []) if crossing else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.chunks = self._chunker()
         self.packed = _Packed(model, self.unknown)
         self.memo = _Memo(lambda chunk: b"".join(map(self.packed.__getitem__, self.merged(chunk))), MEMO_CHUNKS)
         self.control = np.array([t == CONTROL for _, _, t in model.pieces])
         self.surface = [self._surface(k) for k in range(len(model.pieces))]
 
+    def _chunker(self) -> Callable[[str], list[str]]:
+        """Cuts normalised texts at places that no piece of the vocabulary crosses."""
+        bodies = [p.lstrip(MARK) for p in self.cost]
+        if self.model.mark_last or any(MARK in p for p in bodies):
+            return lambda text: [text] if text else []
+        if any(len({bool(x) for x in map(re.compile(f"[{LETTERS}]").match, p)}) > 1 for p in bodies):
+            return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        return re.compile(f"{MARK}*[{LETTERS}]+|{MARK}*[^{MARK}{LETTERS}]+|{MARK}+").findall
+
     def _surface(self, k: int) -> bytes:
         piece, _, kind = self.model.pieces[k]
         if kind == BYTE:
