@@ -43,18 +43,21 @@ def blockwise(space: Space) -> Kernel | None:
 
 
 def block_distances(space: Space, drawn: DataFrame, wanted: Sequence[tuple[int, int]], kernel: Kernel) -> DataFrame:
-    """``drawn`` (longs only) with the distance columns of the ``wanted`` pairs of its ids."""
+    """``drawn`` (``t`` and ids ``i0``, ``i1``, ...) with the distance columns of the ``wanted`` pairs of ids."""
     spark, names = space.spark, drawn.columns
     shipped(spark)
     used = sorted({k for p in wanted for k in p})
     width = width_of(space)
     per = max(1, min(width, BLOCK_BYTES // (8 * space.n_points)))
     blocks = -(-width // per)
+    # The smallest number types that hold an id, and a count within a block.
+    id_type, part_type = "<i4" if space.n_points < 1 << 31 else "<i8", kernel.code(per)
+    types = {c: "<i8" if c == "t" else id_type for c in names}
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().astype("<i8").tobytes()], pa.binary()) for c in b.columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().astype(types[c]).tobytes()], pa.binary()) for c in names], names=names)
 
     packed = stored(drawn.mapInArrow(pack, ", ".join(f"`{c}` binary" for c in names)).withColumn("key", F.monotonically_increasing_id()), "tuples")
     splits = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks), -(-packed.count() // SPLIT_ROWS))
@@ -84,9 +87,9 @@ def block_distances(space: Space, drawn: DataFrame, wanted: Sequence[tuple[int,
                     ids, x = (np.concatenate([h[j] for h in held]) for j in (0, 1))
                     held = []
                 for row in part.to_pylist():
-                    where_at = [np.searchsorted(ids, np.frombuffer(row[c], "<i8")) for c in asked]
+                    where_at = [np.searchsorted(ids, np.frombuffer(row[c], id_type)) for c in asked]
                     n = len(where_at[0])
-                    out, step = np.zeros((len(wanted), n), "<u4"), max(1, AT_ONCE // max(1, x.itemsize * x.shape[1]))
+                    out, step = np.zeros((len(wanted), n), part_type), max(1, AT_ONCE // max(1, x.itemsize * x.shape[1]))
                     for k in range(0, n, step):
                         for j, (p, q) in enumerate(wanted):
                             out[j, k : k + step] = kernel.rows(x[where_at[slot[p]][k : k + step]], x[where_at[slot[q]][k : k + step]])
@@ -100,16 +103,16 @@ def block_distances(space: Space, drawn: DataFrame, wanted: Sequence[tuple[int,
 
         def done() -> Iterator[pa.RecordBatch]:
             if now is not None:
-                columns = [np.frombuffer(now[c], "<i8") for c in names]
+                columns = [np.frombuffer(now[c], types[c]).astype(np.int64) for c in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *sums.reshape(len(wanted), -1).astype(np.float64)]], names=[*names, *distances])
 
         for b in batches:
             for row in b.to_pylist():
                 if row["part"] is None:
                     yield from done()
-                    now, sums = row, np.zeros(len(row[names[0]]) // 8 * len(wanted), np.int64)
+                    now, sums = row, np.zeros(len(row[names[0]]) // np.dtype(types[names[0]]).itemsize * len(wanted), np.int64)
                 else:
-                    sums += np.frombuffer(row["part"], "<u4")
+                    sums += np.frombuffer(row["part"], part_type)
         yield from done()
 
     every = packed.select("key", none.cast("binary").alias("part"), *names).unionByName(parts.select("key", "part", *(none.cast("binary").alias(c) for c in names)))
