@@ -62,14 +62,18 @@ def hamming_packed(a: Column, b: Column) -> Column:
 
 def pack_symbols(seq: Column, alphabet: str = "ACGT") -> Column:
     """A string over at most four symbols as an array of 64-bit integers, 32 symbols each; the rest is zero."""
-    codes = F.translate(seq, alphabet, "0123"[: len(alphabet)])
-    words = F.ceil(F.length(seq) / 32).cast("int")
 
-    def word(k: Column) -> Column:
-        part = F.rpad(F.substr(codes, k * 32 + 1, F.lit(32)), 32, "0")
-        return F.aggregate(F.split(part, "(?<=.)(?=.)"), F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 2).bitwiseOR(c.cast("long")))
+    def packed(codes: Column) -> Column:
+        words = F.ceil(F.length(codes) / 32).cast("int")
 
-    return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), word)).otherwise(F.array().cast("array<bigint>"))
+        def word(k: Column) -> Column:
+            part = F.rpad(F.substr(codes, k * 32 + 1, F.lit(32)), 32, "0")
+            return F.aggregate(F.split(part, "(?<=.)(?=.)"), F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 2).bitwiseOR(c.cast("long")))
+
+        return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), word)).otherwise(F.array().cast("array<bigint>"))
+
+    # As the element of an array the string is computed once, not anew for each word.
+    return F.element_at(F.transform(F.array(F.translate(seq, alphabet, "0123"[: len(alphabet)])), packed), 1)
 
 
 def absolute_difference(a: Column, b: Column) -> Column:
