@@ -20,8 +20,27 @@ def test_query(spark, name):
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
-def test_ten_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+def test_queries_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_tables(spark, tmp_path, empty):
+    """Empty tables; nulls, repeated rows, a very long text and columns of clashing names, which all come along."""
+    long = " ".join(f"tok{k % 5003}x{k}" for k in range(60_000))
+    rows = [(1, long, "a"), (2, None, None), (3, "", "b"), (None, "no id " * 3 + long[:4000], "a"), (4, long[9000:15_000], None), (4, long[9000:15_000], None), (5, f"password = aB3dE5gH7jK9mN1p {long[20_000:26_000]}", "b")]
+    docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string, source string")
+    docs = docs.selectExpr("doc_id", "text", "'en' AS lang", "source", "length(text) AS n_chars", "1 AS key", "2 AS hash", "3 AS label", "4 AS row", "5 AS draw", "6 AS n_rows", "7 AS kept")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if not empty and k == 2:
+            kept = docs.collect()
+            assert {r.doc_id for r in kept} == {1, None, 4, 5} and len(kept) == 4
+            assert "aB3dE5gH7jK9mN1p" not in next(r.text for r in kept if r.doc_id == 5) and all(r.n_chars == len(r.text) for r in kept)
+    assert (docs.count() == 0) == empty
 
 
 @pytest.fixture(scope="module")
