@@ -469,6 +469,33 @@ def test_embedding_over_many_tiles(spark, monkeypatch):
     assert mds.embed(tiles.distance_tiles(s.points.limit(0), s)).count() == 0
 
 
+def test_a_pass_over_tiles_is_one_job(spark, monkeypatch):
+    """No pass reads stored tiles anew or shuffles parts that are small; a shuffle of larger ones changes nothing."""
+    s = space(spark.range(40).selectExpr("id AS pid", "array(sin(id), cos(3 * id), id % 7) AS x"), "x", "euclidean", check=False)
+    monkeypatch.setattr(tiles, "TILE", 16)
+    t = tiles.distance_tiles(s.points, s)
+    spark.sparkContext.setJobGroup("passes", "passes")
+    last, told = mds.histories(t, 2, 6, 1, 2, 0.0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(h) for h in told] == [6, 6]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes")) <= 8
+    monkeypatch.setattr(mds, "COLLECTED", 0)
+    other, again = mds.histories(t, 2, 6, 1, 2, 0.0)
+    assert np.allclose(last, other, atol=1e-9) and np.allclose(told, again, rtol=1e-9)
+
+
+def test_points_that_lie_on_each_other():
+    """They don't pull, at whatever place in a tile, and their distance counts as an error."""
+    x = np.array([[[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]]])
+    d = np.array([[1.0, 1.0, 2.0], [1.0, 3.0, 1.0], [2.0, 1.0, 0.0]])
+    errors, rows, columns = mds._pulls(d, x, x)
+    now = np.linalg.norm(x[0][:, None] - x[0][None], axis=2)
+    ratio = np.divide(d, now, out=np.zeros((3, 3)), where=now > 0)
+    assert np.allclose(errors, ((now - d) ** 2).sum())
+    for got, r in ((rows, ratio), (columns, ratio.T)):
+        assert np.allclose(got[0], r.sum(1)[:, None] * x[0] - r @ x[0])
+
+
 @pytest.mark.parametrize("size", [1024, 7])
 def test_tiles_of_every_metric(spark, monkeypatch, size):
     """Kernels give the distances of the column expressions, ties, nulls and NaN of fields included."""
