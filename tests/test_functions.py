@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae import cli
-from tesserae.functions import bounds, laws, metrics
+from tesserae.functions import bounds, kernels, laws, metrics
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, NAMED, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1, Invariant, as_square, distance_columns, distance_name, named, pairs, points_of, values_of, vr_persistence
 from tesserae.functions.numeric import rounded
 
@@ -208,3 +208,14 @@ def test_model_sampler_counts_all_and_comes_near_the_law(spark):
     assert a == {(r.birth, r.lifetime): r.cnt for r in laws.model_persistence(spark, patterns, probs, 30, 5000, 3, partitions=7).collect()}
     b = {(r.birth, r.lifetime): r.cnt for r in laws.model_persistence(spark, patterns, probs, 30, 5000, 3, mode="md5").collect()}
     assert sum(abs(a.get(k, 0) - b.get(k, 0)) for k in {*a, *b}) / 5000 < 0.15
+
+
+def test_packed_tiles_are_exact():
+    """Two rows a product: equal, opposite and random words, odd and even numbers of rows, several widths."""
+    rng = np.random.default_rng(12)
+    for n, m, width in ((1, 1, 1), (5, 3, 21), (4, 7, 22), (7, 2, 64), (2, 2, 850)):
+        a, b = (rng.integers(-(2**63), 2**63 - 1, (k, width)) for k in (n, m))
+        b[0], b[-1] = a[0], ~a[-1]
+        want = [[kernels.packed_rows(x[None].copy(), y[None])[0] for y in b] for x in a]
+        assert (kernels.packed_tile(a, b) == np.array(want)).all()
+    assert kernels._WORDS * 96 < float(kernels._TWO) / 2

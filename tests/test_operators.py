@@ -1,4 +1,5 @@
 import datetime
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -474,16 +475,36 @@ def test_a_pass_over_tiles_is_one_job(spark, monkeypatch):
     s = space(spark.range(40).selectExpr("id AS pid", "array(sin(id), cos(3 * id), id % 7) AS x"), "x", "euclidean", check=False)
     monkeypatch.setattr(tiles, "TILE", 16)
     t = tiles.distance_tiles(s.points, s)
-    spark.sparkContext.setJobGroup("passes", "passes")
-    last, told = mds.histories(t, 2, 6, 1, 2, 0.0)
+    jobs = {}
+    for steps in (2, 6):
+        spark.sparkContext.setJobGroup(f"passes-{steps}", "passes")
+        last, told = mds.histories(t, 2, steps, 1, 2, 0.0)
+        jobs[steps] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"passes-{steps}"))
+        assert [len(h) for h in told] == [steps, steps]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert [len(h) for h in told] == [6, 6]
-    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("passes")) <= 8
+    assert jobs[6] - jobs[2] == 4
     monkeypatch.setattr(mds, "COLLECTED", 0)
     other, again = mds.histories(t, 2, 6, 1, 2, 0.0)
     assert np.allclose(last, other, atol=1e-9) and np.allclose(told, again, rtol=1e-9)
 
 
+def test_counted_tiles_are_not_written(spark, monkeypatch):
+    """Histograms and pairs of whole and other numbers come from tiles that are gone after that, whatever the groups."""
+    monkeypatch.setattr(tiles, "TILE", 16)
+    for group in (tiles.GROUP_BYTES, 1 << 11):
+        monkeypatch.setattr(tiles, "GROUP_BYTES", group)
+        s = space(spark.range(100).selectExpr("id AS pid", "array(id % 3, id % 5, id % 7) AS x"), "x", "hamming", check=False)
+        written = []
+        with monkeypatch.context() as m:
+            m.setattr(tiles, "stored", lambda df, kind: written.append(kind))
+            t = tiles.distance_tiles(s.points, s, 100, numbered=True)
+            got = {r.v0: r.cnt for r in tiles.tile_histogram(t).collect()}
+            rows = tiles.pair_rows(t).collect()
+        want = {(i, j): sum(i % m != j % m for m in (3, 5, 7)) for j in range(100) for i in range(j)}
+        assert not written and got == dict(Counter(want.values())) and len(rows) == len(want)
+        assert {(r.i, r.j): r.d for r in rows} == want
+
+
 def test_points_that_lie_on_each_other():
     """They don't pull, at whatever place in a tile, and their distance counts as an error."""
     x = np.array([[[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]]])
