@@ -562,6 +562,23 @@ def test_wide_points_by_column_blocks(spark, monkeypatch, block_bytes):
                 assert measure == distributions.curvature_measure(s, 4, 200, 7, mode).orderBy("t").collect()
 
 
+def test_column_blocks_send_points_that_are_asked_for(spark, monkeypatch):
+    """A few tuples of many points send few points, each key to a task of its own; in many pieces the distances are the same."""
+    s = space(spark.range(3000).selectExpr("id AS pid", "transform(sequence(1, 70), k -> cast(xxhash64(id, k) % 3 AS int)) AS x"), "x", "hamming", check=False)
+    for piece in (blocks.PIECE_BYTES, 8 * 70 * 3):
+        monkeypatch.setattr(blocks, "PIECE_BYTES", piece)
+        drawn = draws.tuples(s, 2, 0, 50, 3)
+        with monkeypatch.context() as m:
+            m.setattr(blocks, "WIDE", 1 << 30)
+            want = sorted(map(tuple, distributions.with_distances(s, drawn, 2).collect()))
+        with_blocks = blocks.block_distances(s, drawn, [(0, 1)], blocks.blockwise(s))
+        plan = with_blocks._jdf.queryExecution().toString()
+        assert sorted(map(tuple, with_blocks.select(drawn.columns + ["d01"]).collect())) == want
+        assert "LeftSemi" in plan and "hashpartitioning(b#" not in plan
+    many = draws.tuples(s, 2, 0, 4000, 3)
+    assert "LeftSemi" not in blocks.block_distances(s, many, [(0, 1)], blocks.blockwise(s))._jdf.queryExecution().toString()
+
+
 def test_column_blocks_shuffle_what_they_say(spark, monkeypatch):
     """Bytes a tuple: its ids and one number a pair for each block, whatever the columns in a block."""
     rng = np.random.default_rng(11)
