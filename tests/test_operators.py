@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import kernels
 from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTANCE, VR_PERSISTENCE_4_1
 from tesserae.functions.metrics import from_python, hamming_packed, manhattan, pack_symbols
 from tesserae.operators import alignment, blocks, distributions, draws, histograms, mds, ordering, progress, slices, tiles
@@ -488,6 +489,26 @@ def test_a_pass_over_tiles_is_one_job(spark, monkeypatch):
     assert np.allclose(last, other, atol=1e-9) and np.allclose(told, again, rtol=1e-9)
 
 
+def test_passes_over_vectors_keep_points_and_no_pairs(spark, monkeypatch):
+    """What executors keep grows with the points, not with their pairs; copies and near copies far from the origin have exact distances."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4)) + 1000
+    x[100:140], x[140:180] = x[0], x[1:41] + 1e-6
+    s = space(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "pid long, x array<double>"), "x", "euclidean", check=False)
+    monkeypatch.setattr(tiles, "TILE", 16)
+    t = tiles.distance_tiles(s.points, s)
+    held = mds._held(t)
+    assert held.map(lambda r: r[-1].nbytes).sum() <= (t.groups + 1) * x.nbytes < 300 * 300 * 8 / 2
+    assert not held.getStorageLevel().useMemory
+    held.unpersist()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(kernels.euclidean_again(x)(x), d, rtol=1e-9, atol=0)
+    last, told = mds.histories(t, 2, 8, 5, 2, 1e-9)
+    for k in range(2):
+        want, history = mds.majorize(d, 5 + k, max_iter=8, eps=1e-9)
+        assert np.allclose(told[k], history, rtol=1e-9) and np.allclose(last[k] - last[k].mean(0), want, atol=1e-8)
+
+
 def test_counted_tiles_are_not_written(spark, monkeypatch):
     """Histograms and pairs of whole and other numbers come from tiles that are gone after that, whatever the groups."""
     monkeypatch.setattr(tiles, "TILE", 16)
