@@ -219,3 +219,17 @@ def test_packed_tiles_are_exact():
         want = [[kernels.packed_rows(x[None].copy(), y[None])[0] for y in b] for x in a]
         assert (kernels.packed_tile(a, b) == np.array(want)).all()
     assert kernels._WORDS * 96 < float(kernels._TWO) / 2
+
+
+def test_ready_rows_and_columns_are_exact():
+    """Three rows a product: all symbols alike, all different, and random ones, any number of rows, pieces of up to 255 symbols."""
+    rng = np.random.default_rng(13)
+    for n, m, width in ((1, 1, 1), (2, 3, 8), (4, 5, 7), (5, 300, 64), (6, 2, 85)):
+        a, b = (rng.integers(-(2**63), 2**63 - 1, (k, width)) for k in (n, m))
+        b[0], b[-1], a[-1] = a[0], ~a[0], -1 if n > 1 else a[-1]
+        if n > 3:
+            a[:2], b[1] = -1, -1
+            a[2] = 0
+        got = kernels.packed_columns(b)(kernels.packed_ready(a))
+        assert got.dtype == np.uint16 and (got == [[kernels.packed_rows(x[None].copy(), y[None])[0] for y in b] for x in a]).all()
+    assert kernels._COUNTED * (1 + 256 + 256**2) < 1 << 24

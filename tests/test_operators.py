@@ -526,6 +526,27 @@ def test_counted_tiles_are_not_written(spark, monkeypatch):
         assert {(r.i, r.j): r.d for r in rows} == want
 
 
+def test_packed_tiles_make_columns_ready_once(spark, monkeypatch):
+    """Rows of a block are made ready once for all blocks that they meet, columns once for several; counts are those of all pairs."""
+    monkeypatch.setattr(tiles, "TILE", 16)
+    monkeypatch.setattr(tiles, "GOING", 2)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(2**63), 2**63 - 1, (150, 3))
+    x[7], x[149] = x[0], ~x[0]
+    s = space(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "pid long, x array<long>"), "x", hamming_packed, check=False)
+    want = {(i, j): int(kernels.packed_rows(x[i : i + 1].copy(), x[j : j + 1])[0]) for j in range(150) for i in range(j)}
+    for bound in (tiles.READY_BYTES, 0):
+        monkeypatch.setattr(tiles, "READY_BYTES", bound)
+        t = tiles.distance_tiles(s.points, s, 150, numbered=True)
+        assert {r.v0: r.cnt for r in tiles.tile_histogram(t).collect()} == dict(Counter(want.values()))
+        assert {(r.i, r.j): r.d for r in tiles.pair_rows(t).collect()} == want
+    blocks = [(0, 0, b, (np.arange(16), x[16 * b : 16 * b + 16])) for b in range(2)] + [(0, 1, b, (np.arange(16), x[16 * b : 16 * b + 16])) for b in range(2, 6)]
+    made = Counter()
+    told = kernels.Kernel(None, None, ("long",), 32, None, lambda a: made.update(["ready"]) or kernels.packed_ready(a), lambda b: made.update(["columns"]) or kernels.packed_columns(b))
+    met = list(tiles._by_columns(blocks, told, lambda lo, hi, i, j, code, d: iter([(lo, hi, d.shape)])))
+    assert sorted(met) == [(lo, hi, (16, 16)) for lo in range(2) for hi in range(2, 6)] and made == {"ready": 4, "columns": 4}
+
+
 def test_points_that_lie_on_each_other():
     """They don't pull, at whatever place in a tile, and their distance counts as an error."""
     x = np.array([[[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]]])
