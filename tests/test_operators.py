@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -10,6 +11,7 @@ from tesserae.functions.invariants import HYPERBOLICITY_DEFICIT, PAIRWISE_DISTAN
 from tesserae.functions.metrics import from_python, hamming_packed, manhattan, pack_symbols
 from tesserae.operators import alignment, blocks, distributions, draws, histograms, mds, ordering, progress, slices, tiles
 from tesserae.operators.space import precomputed, space
+from tesserae.plans import catalogue
 from tesserae.sources import fasta, tables
 from tesserae.streaming import histograms as streamed
 
@@ -547,6 +549,33 @@ def test_packed_tiles_make_columns_ready_once(spark, monkeypatch):
     assert sorted(met) == [(lo, hi, (16, 16)) for lo in range(2) for hi in range(2, 6)] and made == {"ready": 4, "columns": 4}
 
 
+def test_copies_are_counted_without_their_pairs(spark, monkeypatch):
+    """Points met once with how often they are there give the counts of all pairs of all copies, in tiles of one block and of two."""
+    monkeypatch.setattr(tiles, "TILE", 16)
+    rng = np.random.default_rng(6)
+    x, copies = rng.integers(-(2**63), 2**63 - 1, (60, 2)), np.where(np.arange(60) % 5, 1, np.arange(60) % 7 + 1)
+    x[9] = x[8]
+    points = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, copies))], "pid long, x array<long>, copies long")
+    s = space(points, "x", hamming_packed, check=False)
+    every = [k for k, c in enumerate(copies) for _ in range(c)]
+    want = Counter(int(kernels.packed_rows(x[i : i + 1].copy(), x[j : j + 1])[0]) for k, j in enumerate(every) for i in every[:k])
+    for numbered in (True, False):
+        t = tiles.distance_tiles(points, s, 60, numbered, ids="copies")
+        assert {r.v0: r.cnt for r in tiles.tile_histogram(t, copies=True).collect()} == dict(want)
+
+
+def test_wide_documents_are_met_once(spark, tmp_path):
+    """Equal texts, and null and empty ones, are one point of as many copies; its words are the packed digests."""
+    texts = ["one", None, "two", "one", "", "drei \u00fc", "one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    s = catalogue.wide_documents(spark, str(tmp_path), distinct=True)
+    got = {tuple(r.x): (r.pid, r.copies) for r in s.points.collect()}
+    digits = {t: "".join(hashlib.md5(f"{t}:{k}".encode()).hexdigest() for k in range(catalogue.WIDE)) for t in ("one", "", "two", "drei \u00fc")}
+    words = {t: spark.range(1).select(pack_symbols(F.lit(d.translate(str.maketrans("0123456789abcdef", catalogue.WIDE_SYMBOLS))))).first()[0] for t, d in digits.items()}
+    assert got == {tuple(words["one"]): (0, 3), tuple(words[""]): (1, 2), tuple(words["two"]): (2, 1), tuple(words["drei \u00fc"]): (3, 1)}
+    assert s.n_points == 4 and catalogue.wide_documents(spark, str(tmp_path)).n_points == 7
+
+
 def test_points_that_lie_on_each_other():
     """They don't pull, at whatever place in a tile, and their distance counts as an error."""
     x = np.array([[[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]]])
