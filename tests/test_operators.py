@@ -511,6 +511,20 @@ def test_passes_over_vectors_keep_points_and_no_pairs(spark, monkeypatch):
         assert np.allclose(told[k], history, rtol=1e-9) and np.allclose(last[k] - last[k].mean(0), want, atol=1e-8)
 
 
+def test_passes_over_packed_points_keep_tiles_on_disk(spark, monkeypatch):
+    """Where distances are not made again, tiles are kept, and not in memory; the steps are those of one whole matrix."""
+    x = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, (40, 2))
+    s = space(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "pid long, x array<long>"), "x", hamming_packed, check=False)
+    monkeypatch.setattr(tiles, "TILE", 16)
+    t = tiles.distance_tiles(s.points, s)
+    held = mds._held(t)
+    assert held.map(lambda r: r[-1].nbytes).sum() == 2 * (3 * 16 * 16 + 2 * 16 * 8 + 8 * 8) and not held.getStorageLevel().useMemory
+    held.unpersist()
+    _, told = mds.histories(t, 1, 5, 3, 2, 0.0)
+    _, want = mds.majorize(kernels.packed_tile(x, x), 3, max_iter=5, eps=0.0)
+    assert np.allclose(told[0], want, rtol=1e-9)
+
+
 def test_counted_tiles_are_not_written(spark, monkeypatch):
     """Histograms and pairs of whole and other numbers come from tiles that are gone after that, whatever the groups."""
     monkeypatch.setattr(tiles, "TILE", 16)
